@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolith.llm import chat, decontaminate, mixing, pii, quality
+from foliolith.llm import chat, decontaminate, mixing, neardup, pii, quality
 from foliolith.llm.util import load
 
 
@@ -30,6 +30,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of ``documents`` on shingles of 4 words."""
+    d = neardup.link(spark, load(spark, sf_dir, "documents"), words=4, percent=80)
+    return d.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations`` and conversation -7, formatted and read back."""
     rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_quality": op2_quality,
+        "op3_neardup": op3_neardup,
         "op8_chat": op8_chat,
         "op9_decontaminate": op9_decontaminate,
         "op10_mixing": op10_mixing,
