@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolith.llm import chat, decontaminate, mixing, neardup, pii, quality
-from foliolith.llm.util import load
+from foliolith.llm import chat, decontaminate, lm, mixing, neardup, pii, quality
+from foliolith.llm.util import crc_mod, load
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts of ``documents`` by a model of those that aren't held out."""
+    s = lm.score(spark, load(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) != 1)
+    return s.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations`` and conversation -7, formatted and read back."""
     rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_quality": op2_quality,
         "op3_neardup": op3_neardup,
+        "op5_lm": op5_lm,
         "op8_chat": op8_chat,
         "op9_decontaminate": op9_decontaminate,
         "op10_mixing": op10_mixing,
