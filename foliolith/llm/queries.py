@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolith.llm import chat, decontaminate, lm, mixing, neardup, pii, quality
+from foliolith.llm import chat, decontaminate, langid, lm, mixing, neardup, pii, quality
 from foliolith.llm.util import crc_mod, load
 
 
@@ -42,6 +42,13 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of ``documents``, learned from those that aren't held out."""
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    d = langid.identify(spark, load(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held)
+    return d.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations`` and conversation -7, formatted and read back."""
     rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
@@ -82,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_neardup": op3_neardup,
         "op5_lm": op5_lm,
+        "op7_langid": op7_langid,
         "op8_chat": op8_chat,
         "op9_decontaminate": op9_decontaminate,
         "op10_mixing": op10_mixing,

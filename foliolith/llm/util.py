@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; documents can be long, so a batch stays small.
 ARROW_ROWS = 512
+ARROW_BYTES = "32m"
 
 #: White space of every word definition, as a character class of both regex dialects.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -30,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 class Stage:
