@@ -98,7 +98,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     """The divisor of the logits that makes held-back labels most likely."""
     if not len(labels):
         return 1.0
-    grid = np.exp(np.linspace(np.log(0.02), np.log(20), 120))
+    grid = np.exp(np.linspace(np.log(0.5), np.log(20), 80))
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(labels)), labels], 1e-12)).mean() for t in grid]
     return float(grid[int(np.argmin(loss))])
 

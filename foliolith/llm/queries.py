@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolith.llm import chat, decontaminate, langid, lm, mixing, neardup, pii, quality
+from foliolith.llm import chat, decontaminate, html, langid, lm, mixing, neardup, pii, quality
 from foliolith.llm.util import crc_mod, load
 
 
@@ -42,6 +42,12 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``."""
+    d = html.extract(spark, load(spark, sf_dir, "pages"))
+    return d.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text of ``documents``, learned from those that aren't held out."""
     held = crc_mod(F.col("doc_id"), 4) == 2
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_neardup": op3_neardup,
         "op5_lm": op5_lm,
+        "op6_html": op6_html,
         "op7_langid": op7_langid,
         "op8_chat": op8_chat,
         "op9_decontaminate": op9_decontaminate,
