@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolith.llm import chat, decontaminate, html, langid, lm, mixing, neardup, pii, quality
+from foliolith.llm import chat, decontaminate, html, langid, lm, mixing, neardup, pii, quality, suffix
 from foliolith.llm.util import crc_mod, load
 
 
@@ -36,6 +36,13 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 100-byte strings of ``documents``."""
+    d = suffix.repeated(spark, load(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("bigint"), lambda acc, x: acc + x["ends"] - x["starts"])
+    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all texts of ``documents`` by a model of those that aren't held out."""
     s = lm.score(spark, load(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) != 1)
@@ -94,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_quality": op2_quality,
         "op3_neardup": op3_neardup,
+        "op4_suffix": op4_suffix,
         "op5_lm": op5_lm,
         "op6_html": op6_html,
         "op7_langid": op7_langid,
