@@ -1,0 +1,171 @@
+"""LaTeX sources: a tokenizer and a stack of groups give blocks with their formats."""
+
+from __future__ import annotations
+
+import re
+
+Block = tuple[str, dict, bool]
+
+# Sizes of the size commands by base size, font packages, environments.
+SIZES = {
+    10: {"tiny": 5, "scriptsize": 7, "footnotesize": 8, "small": 9, "normalsize": 10, "large": 12, "Large": 14.4, "LARGE": 17.28, "huge": 20.74, "Huge": 24.88},
+    11: {"tiny": 6, "scriptsize": 8, "footnotesize": 9, "small": 10, "normalsize": 10.95, "large": 12, "Large": 14.4, "LARGE": 17.28, "huge": 20.74, "Huge": 24.88},
+    12: {"tiny": 6, "scriptsize": 8, "footnotesize": 10, "small": 10.95, "normalsize": 12, "large": 14.4, "Large": 17.28, "LARGE": 20.74, "huge": 24.88, "Huge": 24.88},
+}
+FONTS = {"times": "Times New Roman", "mathptmx": "Times New Roman", "newtxtext": "Times New Roman", "helvet": "Helvetica", "palatino": "Palatino", "mathpazo": "Palatino", "courier": "Courier", "libertine": "Libertine", "lmodern": "Latin Modern"}
+ALIGN = {"center": "center", "flushleft": "left", "flushright": "right"}
+HEADINGS = ("section", "subsection", "subsubsection", "paragraph", "chapter")
+SILENT = {"label", "ref", "cite", "citep", "citet", "usepackage", "documentclass", "includegraphics", "vspace", "hspace", "setlength", "bibliographystyle", "bibliography", "pagestyle", "thispagestyle", "input", "include", "geometry", "newcommand", "renewcommand", "linespread", "setcounter"}
+BREAKS = {"item", "bibitem", "par", "newpage", "clearpage", "maketitle", "tableofcontents"}
+_TOKEN = re.compile(r"\\begin\{([^}]*)\}|\\end\{([^}]*)\}|\\([A-Za-z]+)\*?|\\(.)|([{}])|(\n[ \t]*\n\s*)|(\$\$?)|([^\\{}$\n]+|\n)", re.S)
+
+
+def decode(data: bytes) -> str:
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+def strip(source: str) -> str:
+    """Without comments and verbatim material."""
+    source = re.sub(r"\\begin\{(verbatim|lstlisting|comment)\*?\}.*?\\end\{\1\*?\}", "", source, flags=re.S)
+    return re.sub(r"(?<!\\)%[^\n]*\n?", "", source)
+
+
+def argument(s: str, at: int) -> tuple[str, int]:
+    """The braced argument at or after a place, and where it ends; optional ones are skipped."""
+    while at < len(s) and s[at] in " \t\n[":
+        at = s.find("]", at) + 1 if s[at] == "[" and s.find("]", at) >= 0 else at + 1
+    if at >= len(s) or s[at] != "{":
+        return "", at
+    depth, i = 0, at
+    while i < len(s):
+        if s[i] == "\\":
+            i += 2
+            continue
+        depth += (s[i] == "{") - (s[i] == "}")
+        i += 1
+        if not depth:
+            return s[at + 1 : i - 1], i
+    return s[at + 1 :], len(s)
+
+
+def plain(s: str) -> str:
+    """Text without commands."""
+    s = re.sub(r"\\(?:cite|ref|label|thanks|footnote)\w*\s*(?:\[[^\]]*\])?\{[^{}]*\}", "", s)
+    s = re.sub(r"\\([%&#_$])", r"\1", s)
+    s = re.sub(r"\\\\|\\and\b|~", " ", s)
+    s = re.sub(r"\\[A-Za-z]+\*?\s*(?:\[[^\]]*\])?", "", s)
+    return re.sub(r"\s+", " ", s.replace("{", "").replace("}", "").replace("$", "")).strip()
+
+
+def source_facts(source: str) -> dict:
+    """What the preamble says: class, options, packages, geometry, spacing, counts."""
+    s = strip(source)
+    cls = re.search(r"\\documentclass\s*(?:\[([^\]]*)\])?\{([^}]*)\}", s)
+    packages = [p.strip() for m in re.findall(r"\\usepackage\s*(?:\[[^\]]*\])?\{([^}]*)\}", s) for p in m.split(",")]
+    spread = re.search(r"\\linespread\{([0-9.]+)\}|\\baselinestretch\}\{([0-9.]+)\}", s)
+    return {
+        "document_class": cls[2] if cls else None, "options": [o.strip() for o in (cls[1] or "").split(",") if o.strip()] if cls else [], "packages": packages,
+        "geometry": (re.search(r"\\usepackage\s*\[([^\]]*)\]\{geometry\}|\\geometry\{([^}]*)\}", s) or [None, None])[1], "line_spread": float(next(x for x in spread.groups() if x)) if spread else None,
+        "figures": len(re.findall(r"\\begin\{figure\*?\}", s)), "tables": len(re.findall(r"\\begin\{table\*?\}", s)), "page_breaks": len(re.findall(r"\\(?:newpage|clearpage)\b", s)), "bibliography_items": len(re.findall(r"\\bibitem\b", s)),
+    }
+
+
+def parse_latex(data: bytes) -> list[Block]:
+    """(text, format, heading) of title, authors, headings, abstract and paragraphs."""
+    source = strip(decode(data))
+    facts = source_facts(source)
+    if facts["document_class"] is None and "\\begin{document}" not in source:
+        raise ValueError("no LaTeX document")
+    base = next((int(o[:-2]) for o in facts["options"] if o in ("10pt", "11pt", "12pt")), 10)
+    font = next((FONTS[p] for p in facts["packages"] if p in FONTS), "Computer Modern")
+    size = SIZES[base]
+    out: list[Block] = []
+    meta = {k: plain(argument(source, m.end())[0]) for k in ("title", "author") if (m := re.search(rf"\\{k}\b", source))}
+    start = source.find("\\begin{document}")
+    s = source[start + len("\\begin{document}") :] if start >= 0 else source
+    state = {"font_family": font, "font_size_pt": float(size["normalsize"]), "bold": False, "italic": False, "alignment": "justified", "line_spacing": facts["line_spread"]}
+    stack: list[tuple[str, dict]] = []
+    buf: list[tuple[str, dict]] = []
+
+    def flush(heading: bool = False) -> None:
+        text = re.sub(r"\s+", " ", "".join(t for t, _ in buf)).strip()
+        if text:
+            weight: dict = {}
+            for t, f in buf:
+                key = tuple(f.items())
+                weight[key] = weight.get(key, 0) + len(t.strip())
+            out.append((text, {k: v for k, v in max(weight, key=weight.get) if v is not None}, heading))
+        buf.clear()
+
+    if meta.get("title"):
+        out.append((meta["title"], {**state, "font_size_pt": float(size["LARGE"]), "alignment": "center"}, False))
+    if meta.get("author"):
+        out.append((meta["author"], {**state, "font_size_pt": float(size["large"]), "alignment": "center"}, False))
+    at = 0
+    while at < len(s):
+        m = _TOKEN.match(s, at)
+        if not m:
+            at += 1
+            continue
+        at = m.end()
+        begin, end, command, escaped, brace, blank, _, text = m.groups()
+        if begin is not None:
+            env = begin.rstrip("*")
+            if env == "document":
+                continue
+            flush()
+            stack.append((env, dict(state)))
+            if env == "abstract":
+                out.append(("Abstract", {**state, "bold": True, "alignment": "center"}, True))
+            elif env == "thebibliography":
+                _, at = argument(s, at)
+                out.append(("References", {**state, "bold": True, "font_size_pt": float(size["Large"])}, True))
+            if env in ALIGN:
+                state["alignment"] = ALIGN[env]
+        elif end is not None:
+            if end.rstrip("*") == "document":
+                break
+            flush()
+            while stack:
+                env, old = stack.pop()
+                state.update(old)
+                if env == end.rstrip("*"):
+                    break
+        elif command is not None:
+            if command in HEADINGS:
+                flush()
+                head, at = argument(s, at)
+                out.append((plain(head), {**state, "bold": True, "font_size_pt": float(size["Large" if command == "section" else "large"])}, True))
+            elif command in size:
+                state["font_size_pt"] = float(size[command])
+            elif command in ("bfseries", "itshape", "em"):
+                state["bold" if command == "bfseries" else "italic"] = True
+            elif command in ("centering", "raggedright", "raggedleft"):
+                state["alignment"] = {"centering": "center", "raggedright": "left", "raggedleft": "right"}[command]
+            elif command in ("textbf", "textit", "emph"):
+                inner, at = argument(s, at)
+                buf.append((plain(inner), {**state, "bold" if command == "textbf" else "italic": True}))
+            elif command in ("title", "author", "date", "thanks", "footnote") or command in SILENT:
+                _, at = argument(s, at)
+            elif command in BREAKS:
+                flush()
+            elif command == "keywords":
+                flush()
+                words, at = argument(s, at)
+                out.append((f"Keywords: {plain(words)}", dict(state), False))
+        elif escaped is not None:
+            buf.append((" " if escaped in "\\,; " else escaped, dict(state)))
+        elif brace == "{":
+            stack.append(("{", dict(state)))
+        elif brace == "}":
+            if stack and stack[-1][0] == "{":
+                state.update(stack.pop()[1])
+        elif blank is not None:
+            flush()
+        elif text is not None:
+            buf.append((text.replace("~", " "), dict(state)))
+    flush()
+    return out
