@@ -14,21 +14,24 @@ from foliolith.llm.util import Stage, components, small_batches
 #: Retained values of a sketch. A link has its 64 smallest union values in common with
 #: chance 0.8 each, so fewer than half of them (see MIN_SHARE) is six sigma away.
 SKETCH = 64
-#: Values of a sketch that go into inverted lists: all 12 miss a link with chance 0.2 ** 12.
-LISTED = 12
-#: Lists longer than this are hot; documents with hot values list up to COLD more others.
+#: Inverted lists stand under pairs of neighbouring values among the first LISTED of a sketch;
+#: that no two neighbours are shared by a link has a chance of 5e-10. A set of at most SMALL
+#: values is also listed under each of them, a set of at least OVERLAP under pairs, so the
+#: sets of a link have a kind of list in common.
+LISTED, SMALL, OVERLAP = 32, 30, 24
+#: Lists longer than this are hot. A link with nothing but hot keys in common has at least
+#: 0.89 of its values in hot passages and so about 0.79 of its keys hot; only documents with
+#: MOSTLY_HOT of their keys hot stay in hot lists.
 HOT = 64
-COLD = 24
-#: Share of hot values from which two documents may have nothing but hot values in common.
-MOSTLY_HOT = 0.6
+MOSTLY_HOT = 0.4
+#: Lists that a member must share with its leader to be compared in the first round.
+AT_LEAST = 2
 #: Pairs whose sketches estimate less than this are not verified.
 MIN_SHARE = 0.5
 #: Members that one task compares with a leader's set.
 BUCKET = 64
-#: Rounds of leaders at most before the rest is paired directly, and pairs for each listed
-#: value beyond which another round comes first. Neither bound drops a pair.
-ROUNDS = 4
-PAIRS_PER_ENTRY = 4
+#: Members of a block of a hot family, all of whose sets a task compares two blocks at once.
+FAMILY_BLOCK = 256
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -110,25 +113,82 @@ def _verified(spark: SparkSession, stage: Stage, docs: DataFrame, pairs: DataFra
 
 
 def _entries(stage: Stage, reps: DataFrame) -> DataFrame:
-    """(value, id): the lists that a document stands in.
-
-    Its first LISTED values; if some of its sketch is hot, its first COLD others as well.
-    Of two linked documents either share a value that isn't hot in these, or both are
-    mostly hot; so only those stay in hot lists.
+    """(value, id, lead, hot): the lists with at least two members that a document stands in, and
+    each list's smallest member. Lists are counted before rows are kept, and most documents
+    have few shared keys, so what follows is small."""
+    first = F.slice("sketch", 1, LISTED)
+    pair = F.transform(F.sequence(F.lit(0), F.size(first) - 2), lambda i: F.xxhash64(F.get(first, i), F.get(first, i + 1)))
+    none = F.array().cast("array<bigint>")
+    keys = F.concat(F.when((F.col("n") >= OVERLAP) & (F.size(first) > 1), pair).otherwise(none), F.when(F.col("n") <= SMALL, F.col("sketch")).otherwise(none))
+    flat = reps.select(F.explode(keys).alias("value"), "id", F.size(keys).alias("of"))
+    stat = flat.groupBy("value").agg(F.count("*").alias("size"), F.min("id").alias("lead")).filter("size > 1")
+    live = stage.cut(flat.join(stat, "value"))
+    hot = live.filter(F.col("size") > HOT)
+    mostly = hot.groupBy("id").agg(F.count("*").alias("hot"), F.first("of").alias("of")).filter(F.col("hot") >= MOSTLY_HOT * F.col("of")).select("id")
+    live = live.filter(F.col("size") <= HOT).unionByName(hot.join(mostly, "id", "left_semi").select(*live.columns))
+    return live.select("value", "id", "lead", (F.col("size") > HOT).alias("hot"))
+
+
+def _families(stage: Stage, docs: DataFrame, hot: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components among the members of hot lists.
+
+    Members of lists that overlap are one family, dealt into blocks; each task takes two
+    blocks, holds their sets and gives the links between different components. Within a
+    family every two members meet once, inside tasks of bounded size; no pair is sent or
+    written but links.
     """
-    all_values = reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("size")).filter(F.col("size") > HOT)
-    hot = stage.cut(all_values.select("value"))
+    spark = stage.spark
+    schema = "a bigint, b bigint"
+    hot = stage.cut(hot)
     if hot.isEmpty():
-        return reps.select(F.explode(F.slice("sketch", 1, LISTED)).alias("value"), "id")
-    flat = reps.select("id", F.posexplode("sketch").alias("pos", "value"))
-    hits = flat.join(hot, "value", "left_semi").groupBy("id").agg(F.collect_set("value").alias("hots"))
-    e = reps.join(hits, "id", "left").withColumn("hots", F.coalesce("hots", F.array().cast("array<bigint>")))
-    cold = F.filter("sketch", lambda v: ~F.array_contains(F.col("hots"), v))
-    first = F.slice("sketch", 1, LISTED)
-    mostly = F.size("hots") >= MOSTLY_HOT * F.size("sketch")
-    chosen = F.when(F.size("hots") == 0, first).otherwise(F.array_union(
-        F.filter(first, lambda v: mostly | ~F.array_contains(F.col("hots"), v)), F.slice(cold, 1, COLD)))
-    return e.select(F.explode(chosen).alias("value"), "id")
+        return spark.createDataFrame([], schema)
+    lead = hot.groupBy("value").agg(F.min("id").alias("v"))
+    fam = components(stage, hot.join(lead, "value").select(F.col("id").alias("a"), F.col("v").alias("b")))
+    members = hot.select("id", "comp").distinct().join(fam.select("id", F.col("comp").alias("family")), "id")
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"), (F.min("comp") < F.max("comp")).alias("open")).filter("open")
+    members = members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(members.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    full = members.join(texts, "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.select("family", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own", "id", "comp", "text")
+
+    def links(ids, comps, owns, sets, i, j):
+        every, back = np.unique(np.concatenate(sets), return_inverse=True)
+        size = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        often = np.bincount(back, minlength=len(every)) > 1
+        keep = often[back]
+        row, col = row[keep], (np.cumsum(often) - 1)[back[keep]]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(often.sum()), 4096):
+            m = np.zeros((len(sets), 4096), np.float32)
+            part = (col >= at) & (col < at + 4096)
+            m[row[part], col[part] - at] = 1
+            both += m @ m.T
+        near = (100 * both >= percent * (size[:, None] + size[None] - both)) & (comps[:, None] < comps[None])
+        if i != j:
+            near &= owns[:, None] != owns[None]
+        x, y = np.nonzero(near)
+        return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
+
+    def run(batches):
+        seen, key, held = WordHash(), None, []
+
+        def close():
+            ids, comps, owns, sets = zip(*held, strict=True)
+            return links(np.array(ids), np.array(comps), np.array(owns), list(sets), key[1], key[2])
+
+        for batch in batches:
+            for family, i, j, own, doc, comp, text in zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True):
+                if (family, i, j) != key:
+                    if len(held) > 1:
+                        yield close()
+                    key, held = (family, i, j), []
+                held.append((doc, comp, own, shingles(text, words, seen)))
+        if len(held) > 1:
+            yield close()
+
+    return full.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, schema)
 
 
 def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -142,9 +202,10 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     null doc_id are linked with nothing and have a null component_id.
 
     In a list, every member is first compared with one leader, which takes one pair a row;
-    components of what was confirmed shrink the lists; further rounds take other leaders
-    while many pairs would remain; at last every pair of a list in two different components
-    is compared. No list or pair is dropped for its size.
+    components of what was confirmed shrink the lists to those that are still open. Then the
+    pairs of a list in two different components are compared, and members of hot lists, which
+    may have nothing but hot passages in common, in blocks. No list or pair is dropped for
+    its size.
     """
     small_batches(spark)
     stage = Stage(spark, "neardup")
@@ -153,28 +214,19 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     reps = classes.groupBy("id").agg(F.min_by("n", "d1").alias("n"), F.min_by("sketch", "d1").alias("sketch"))
     reps = stage.cut(reps.withColumn("sketch", _unsigned_order("sketch")))
     entries = stage.cut(_entries(stage, reps))
-    edges = comps = None
-    for round_no in range(ROUNDS):
-        e = entries if comps is None else entries.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        key = "id" if comps is None else "comp"
-        if comps is not None:
-            per = e.groupBy("value", "comp").agg(F.count("*").alias("k")).groupBy("value").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count("*").alias("m"))
-            live = stage.cut(per.filter("m > 1").select("value", (F.col("s") * F.col("s") - F.col("q")).alias("pairs"), "s"))
-            left, size = live.agg(F.coalesce(F.sum("pairs") / 2, F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
-            if not left:
-                break
-            e = stage.cut(e.join(live.select("value"), "value", "left_semi"))
-            if left <= PAIRS_PER_ENTRY * size or round_no == ROUNDS - 1:
-                other = e.select("value", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-                pairs = e.select("value", F.col("id").alias("a"), "comp").join(other, "value").filter("comp < comp_b").select("a", "b")
-                edges = _more(stage, edges, _check(spark, stage, docs, pairs, reps, words, percent))
-                comps = stage.cut(components(stage, edges))
-                break
-        order = F.col(key) if round_no == 0 else F.xxhash64(F.col(key), F.lit(round_no))
-        leaders = e.groupBy("value").agg(F.min_by("id", F.struct(order, F.col("id"))).alias("a"), F.min_by(key, F.struct(order, F.col("id"))).alias("lead"))
-        pairs = e.join(leaders, "value").filter(F.col(key) != F.col("lead")).select("a", F.col("id").alias("b"))
-        edges = _more(stage, edges, _check(spark, stage, docs, pairs, reps, words, percent))
-        comps = stage.cut(components(stage, edges))
+    stars = entries.filter("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("lists"))
+    edges = _check(spark, stage, docs, stars.filter(F.col("lists") >= AT_LEAST).select("a", "b"), reps, words, percent)
+    edges = stage.cut(edges)
+    comps = stage.cut(components(stage, edges))
+    e = entries.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    live = e.groupBy("value").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("value")
+    e = stage.cut(e.join(live, "value", "left_semi"))
+    cold = e.filter("not hot")
+    other = cold.select("value", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
+    pairs = cold.select("value", F.col("id").alias("a"), "comp").join(other, "value").filter("comp < comp_b").select("a", "b").distinct()
+    more = _check(spark, stage, docs, pairs, reps, words, percent)
+    edges = edges.unionByName(more).unionByName(_families(stage, docs, e.filter("hot"), words, percent))
+    comps = stage.cut(components(stage, stage.cut(edges)))
     ids = classes.select("d1", "d2", "id")
     out = sk.join(ids, ["d1", "d2"], "left").join(comps, "id", "left")
     own = F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id"))
@@ -182,14 +234,10 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
 
 
 def _check(spark, stage, docs, pairs, reps, words, percent) -> DataFrame:
-    near = stage.cut(_estimated(pairs.distinct(), reps, percent))
+    near = stage.cut(_estimated(pairs, reps, percent))
     return _verified(spark, stage, docs, near, words, percent)
 
 
-def _more(stage: Stage, edges: DataFrame | None, new: DataFrame) -> DataFrame:
-    return stage.cut(new if edges is None else edges.unionByName(new))
-
-
 def dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component (that with the smallest id), with the columns of ``docs``.
 
