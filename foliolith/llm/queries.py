@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolith.llm import chat, decontaminate, html, langid, lm, mixing, neardup, pii, quality, suffix
+from foliolith.llm import chat, decontaminate, html, langid, lm, mixing, neardup, oracles, pii, quality, suffix
 from foliolith.llm.util import crc_mod, load
 
 
@@ -112,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
