@@ -134,7 +134,7 @@ def person_names(text: Column, title: Column) -> Column:
     good = lambda c: c.rlike("^[A-Z]") & ~F.lower(c).isin(*NO_NAMES)
     # Words that break a run become a bar; runs are what stands between bars.
     marked = F.transform(bare, lambda s: F.array_join(F.transform(F.split(s, r"\s+"), lambda w: F.when(good(part(w)), part(w)).otherwise("|")), " "))
-    runs = F.flatten(F.transform(marked, lambda s: F.transform(F.split(s, r"\|"), F.trim)))
+    runs = F.flatten(F.transform(marked, lambda s: F.transform(F.split(s, r"\|"), lambda r: F.trim(r))))
     sized = F.filter(runs, lambda r: F.size(F.split(r, " ")).between(2, 4))
     return F.array_distinct(F.filter(sized, lambda r: ~F.forall(F.split(r, " "), lambda w: F.array_contains(title_words, F.lower(w)))))
 
@@ -167,7 +167,7 @@ def reference_parts(text: Column) -> Column:
 
 
 def keyword_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "[,;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def footnotes(text: Column) -> Column:

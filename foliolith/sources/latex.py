@@ -152,6 +152,8 @@ def parse_latex(data: bytes) -> list[Block]:
                 _, at = argument(s, at)
             elif command in BREAKS:
                 flush()
+                if command == "bibitem":
+                    _, at = argument(s, at)
             elif command == "keywords":
                 flush()
                 words, at = argument(s, at)
