@@ -140,7 +140,14 @@ def disclosures(docs: DataFrame, found: DataFrame, stage: Stage, threshold: floa
     entities = hits.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("ce"))
     pairs = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(_terms(s), lambda t: F.struct(s["entity"].alias("entity"), t["term"].alias("term"))))))
     joint = hits.select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("cet")).filter(F.col("cet") >= min_docs)
-    joint = stage.cut(joint)
+    # c(t) is at least the number of documents that have t near any entity; terms that fail
+    # with that bound fail with c(t), and common words need no count over the corpus.
+    near = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(_terms(s), lambda t: t["term"]))))
+    least = hits.select(F.explode(near).alias("term")).groupBy("term").agg(F.count("*").alias("cx"))
+    ic = F.log2(F.col("n") / F.col("ce"))
+    # n is one row of one number.
+    joint = joint.join(entities, "entity").join(least, "term").join(F.broadcast(n))
+    joint = stage.cut(joint.filter((ic > 0) & (ic + F.log2(F.col("cet") / F.col("cx")) >= threshold * ic)).drop("cx"))
     terms = joint.select("term").distinct()
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
@@ -148,11 +155,8 @@ def disclosures(docs: DataFrame, found: DataFrame, stage: Stage, threshold: floa
         counts = seen.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("ct"))
     else:
         counts = seen.groupBy("term").agg(F.count("*").alias("ct")).join(terms, "term", "left_semi")
-    ic = F.log2(F.col("n") / F.col("ce"))
     pmi = ic + F.log2(F.col("cet") / F.col("ct"))
-    # n is one row of one number.
-    out = joint.join(entities, "entity").join(counts, "term").join(F.broadcast(n))
-    return out.filter((ic > 0) & (pmi >= threshold * ic)).select("entity", "term", (F.col("cet") >= F.col("ct")).alias("total"))
+    return joint.join(counts, "term").filter(pmi >= threshold * ic).select("entity", "term", (F.col("cet") >= F.col("ct")).alias("total"))
 
 
 def all_spans(spark: SparkSession, docs: DataFrame, threshold: float = DISCLOSURE, min_docs: int = MIN_DOCS) -> DataFrame:
