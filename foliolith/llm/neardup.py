@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliolith.llm.hashing import WordHash, shingles
-from foliolith.llm.util import Stage, components, small_batches
+from foliolith.llm.util import Stage, components, let, small_batches
 
 #: Retained values of a sketch. A link has its 64 smallest union values in common with
 #: chance 0.8 each, so fewer than half of them (see MIN_SHARE) is six sigma away.
@@ -116,11 +116,13 @@ def _entries(stage: Stage, reps: DataFrame) -> DataFrame:
     """(value, id, lead, hot): the lists with at least two members that a document stands in, and
     each list's smallest member. Lists are counted before rows are kept, and most documents
     have few shared keys, so what follows is small."""
-    first = F.slice("sketch", 1, LISTED)
-    pair = F.transform(F.sequence(F.lit(0), F.size(first) - 2), lambda i: F.xxhash64(F.get(first, i), F.get(first, i + 1)))
     none = F.array().cast("array<bigint>")
-    keys = F.concat(F.when((F.col("n") >= OVERLAP) & (F.size(first) > 1), pair).otherwise(none), F.when(F.col("n") <= SMALL, F.col("sketch")).otherwise(none))
-    flat = reps.select(F.explode(keys).alias("value"), "id", F.size(keys).alias("of"))
+    paired, single = (F.col("n") >= OVERLAP) & (F.size("sketch") > 1), F.col("n") <= SMALL
+    # Bound once: inside the function the slice would be cut anew for each pair.
+    pairs = let(F.slice("sketch", 1, LISTED), lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 2), lambda i: F.xxhash64(F.get(v, i), F.get(v, i + 1))))
+    keys = F.concat(F.when(paired, pairs).otherwise(none), F.when(single, F.col("sketch")).otherwise(none))
+    of = F.when(paired, F.least(F.size("sketch"), F.lit(LISTED)) - 1).otherwise(0) + F.when(single, F.size("sketch")).otherwise(0)
+    flat = reps.select(F.explode(keys).alias("value"), "id", of.alias("of"))
     stat = flat.groupBy("value").agg(F.count("*").alias("size"), F.min("id").alias("lead")).filter("size > 1")
     live = stage.cut(flat.join(stat, "value"))
     hot = live.filter(F.col("size") > HOT)
