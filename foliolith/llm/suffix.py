@@ -22,16 +22,17 @@ WIDTH = 100
 #: at the same place; only suffixes that start at anchors are sorted.
 GRAM = 32
 #: Text bytes of one block of documents, of a range of anchor hashes, and of a merge task.
-BLOCK = 12_000_000
-RANGE = 64_000_000
-MERGE = 32_000_000
+BLOCK = 2_500_000
+RANGE = 24_000_000
+MERGE = 12_000_000
 #: Window starts that one vectorised step handles.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Suffixes with the same GRAM that a merge task holds at once; a larger group is resolved
 #: by a distributed minimum over its windows.
 GROUP = 4096
-#: Anchors drawn for the borders of the merge tasks, for each task.
-SAMPLE = 40
+#: Bytes of the anchor's hash before each suffix: suffixes are ordered by it and then by
+#: their bytes, so equal ranges of hashes make equal merge tasks without a sample.
+HEAD = 8
 _COLS = "abcdefgh"
 _BLOCKS = "block bigint, kind int, r int, " + ", ".join(f"{c} binary" for c in _COLS)
 _ORDER = ["block", "kind", "r", *_COLS]
@@ -155,21 +156,6 @@ def _twice(table: pa.Table) -> pa.Table:
     return _rows(out)
 
 
-def _drawn(each: int):
-    """A few anchors of each block by their hashes: (hash, the suffix that starts there)."""
-
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                x = Block([row])
-                h = unpack_sorted(row["e"])[x.which]
-                pick = np.argsort(h, kind="stable")[:each]
-                suffix = [x.text[a : a + WIDTH] for a in x.at[pick].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array((h[pick] >> np.uint64(1)).astype(np.int64)), pa.array(suffix, pa.binary())], names=["h", "suffix"])
-
-    return run
-
-
 def common(a: bytes, b: bytes, i: int = 0) -> int:
     """The length of the common prefix, known to be at least i."""
     n = min(len(a), len(b))
@@ -264,9 +250,9 @@ class Marks:
         return [(b, 4, -1, *(pack(np.array(c, np.int64)) for c in zip(*x, strict=True))) for b, x in self.by.items()]
 
 
-def _resolve(group: list[tuple], marks: Marks) -> list[tuple[bytes, tuple]]:
+def _resolve(group: list[tuple], marks: Marks, firsts: bool) -> list[tuple[bytes, tuple]]:
     """Marks the repeats within a group of (suffix, (left, doc, position, block, row)) and
-    returns the windows that come first in it: (window, (doc, start, block, row))."""
+    returns, if asked for, the windows that come first in it: (window, (doc, start, block, row))."""
     whole: dict[tuple, tuple] = {}
     for s, (left, doc, pos, _, _) in group:
         key = (left, s)
@@ -276,11 +262,11 @@ def _resolve(group: list[tuple], marks: Marks) -> list[tuple[bytes, tuple]]:
     stay = []
     for s, load in group:
         left, doc, pos, block, row = load
-        span = len(left) + len(s) - WIDTH
+        span = len(left) + len(s) - HEAD - WIDTH
         if (doc, pos) > whole[left, s]:
             marks.add(block, row, pos, pos + span)
             continue
-        stay.append((left + s, span, load))
+        stay.append((left + s[HEAD:], span, load))
     for text, span, (_, doc, pos, _, _) in stay:
         for j in range(span + 1):
             w = text[j : j + WIDTH]
@@ -288,16 +274,20 @@ def _resolve(group: list[tuple], marks: Marks) -> list[tuple[bytes, tuple]]:
                 first[w] = (doc, pos + j)
     out = []
     for text, span, (_, doc, pos, block, row) in stay:
-        for j in range(span + 1):
-            w = text[j : j + WIDTH]
-            if first[w] < (doc, pos + j):
-                marks.add(block, row, pos + j, pos + j)
-            else:
-                out.append((w, (doc, pos + j, block, row)))
+        start = None
+        for j in range(span + 2):
+            late = j <= span and first[text[j : j + WIDTH]] < (doc, pos + j)
+            if late and start is None:
+                start = j
+            elif not late and start is not None:
+                marks.add(block, row, pos + start, pos + j - 1)
+                start = None
+            if firsts and j <= span and not late:
+                out.append((text[j : j + WIDTH], (doc, pos + j, block, row)))
     return out
 
 
-def _runs(borders: list[bytes]):
+def _runs(tasks: int):
     """Kind 3, a block's sorted run for each merge task, and kind 4, repeats within the block."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -309,8 +299,9 @@ def _runs(borders: list[bytes]):
             row = np.searchsorted(b.starts, b.at[hit], side="right") - 1
             at, left, span = b.at[hit], b.left[hit], b.span[hit]
             pos = at - left - b.starts[row]
-            for a, k, n, doc, p, r in zip(at.tolist(), left.tolist(), span.tolist(), b.doc[row].tolist(), pos.tolist(), row.tolist(), strict=True):
-                key = (b.text[a : a - k + n + WIDTH], b.text[a - k : a])
+            heads = unpack_sorted(next(x for x in b.rows if x["kind"] == 0)["e"])[b.which[hit]].astype(">u8").tobytes()
+            for q, (a, k, n, doc, p, r) in enumerate(zip(at.tolist(), left.tolist(), span.tolist(), b.doc[row].tolist(), pos.tolist(), row.tolist(), strict=True)):
+                key = (heads[HEAD * q : HEAD * q + HEAD] + b.text[a : a - k + n + WIDTH], b.text[a - k : a])
                 items.append((*key, doc, p, r, n))
                 if key not in best or (doc, p) < best[key]:
                     best[key] = (doc, p)
@@ -321,12 +312,10 @@ def _runs(borders: list[bytes]):
             else:
                 keep.append((s, left, doc, p, r))
         keep.sort()
-        out, at = marks.rows(), 0
-        grams = [x[0][:GRAM] for x in keep]
-        for part, end in enumerate([*np.searchsorted(np.array(grams, object), np.array(borders, object)).tolist(), len(keep)]) if keep else ():
-            if end > at:
-                out.append((b.name, 3, part, *front_code(keep[at:end])))
-            at = end
+        out = marks.rows()
+        first = np.array([int.from_bytes(x[0][:HEAD], "big") for x in keep], np.uint64)
+        for part, i, j in slices(first, tasks):
+            out.append((b.name, 3, part, *front_code(keep[i:j])))
         return _rows(out)
 
     return run
@@ -342,14 +331,12 @@ def _merge(table: pa.Table) -> pa.Table:
     def close(last: bool):
         nonlocal chunks
         if len(group) > 1 or chunks or not last:
-            first = _resolve(group, marks)
-            if chunks or not last:
-                big.extend(first)
+            big.extend(_resolve(group, marks, bool(chunks or not last)))
         chunks = 0 if last else chunks + 1
         group.clear()
 
     for lcp, s, load in merged([decoded(r) for r in rows]):
-        if lcp < GRAM and (group or chunks):
+        if lcp < HEAD + GRAM and (group or chunks):
             close(True)
         elif len(group) >= GROUP:
             close(False)
@@ -420,22 +407,18 @@ def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Blocks of documents find their anchors and learn from ranges of the hash space which
     occur elsewhere. Suffixes at those are sorted in each block (its own repeats are marked
     at once and go no further, so copies are combined before the exchange), front-coded,
-    dealt by borders and merged. A suffix is sent with the bytes before it that its windows
+    dealt by ranges of their anchors' hashes and merged. A suffix is sent with the bytes before it that its windows
     hold, so the suffixes with an anchor's bytes, neighbours in the order, tell the first of
     each window. A group larger than GROUP is handled in pieces, and the windows first in
-    theirs meet in a distributed minimum. Nothing grows on the driver but the borders, in
-    proportion to the merge tasks.
+    theirs meet in a distributed minimum. Nothing is collected on the driver.
     """
     small_batches(spark)
     stage = Stage(spark, "suffix")
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
     ranges, tasks = int(max(1, -(-size // RANGE))), int(max(1, -(-size // MERGE)))
     blocks = stage.cut(_blocks(docs))
-    draw = blocks.mapInArrow(_drawn(SAMPLE * 4), "h bigint, suffix binary").orderBy("h", "suffix").limit(SAMPLE * tasks)
-    drawn = sorted(bytes(r["suffix"])[:GRAM] for r in draw.collect()) if tasks > 1 else []
-    borders = sorted({drawn[len(drawn) * i // tasks] for i in range(1, tasks)}) if drawn else []
     twice = blocks.mapInArrow(_ask(ranges), _BLOCKS).groupBy("r").applyInArrow(_twice, _BLOCKS)
-    runs = stage.cut(blocks.unionByName(twice).groupBy("block").applyInArrow(_runs(borders), _BLOCKS))
+    runs = stage.cut(blocks.unionByName(twice).groupBy("block").applyInArrow(_runs(tasks), _BLOCKS))
     found = stage.cut(runs.filter("kind = 3").groupBy("r").applyInArrow(_merge, _BLOCKS))
     marks = runs.filter("kind = 4").unionByName(found.filter("kind = 4"))
     big = found.filter("kind = 5")
