@@ -125,5 +125,7 @@ def assess(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 def filter_quality(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns only."""
     names = docs.columns
-    keep = assess(docs.select(F.col("text"), F.struct(*names).alias("__row")), thresholds).filter("kept")
+    judged = assess(docs.select(F.col("text"), F.struct(*names).alias("__row")), thresholds)
+    # A plain filter would be pushed below the measures and repeat them in its condition.
+    keep = judged.select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row"))
     return keep.select("__row.*")
