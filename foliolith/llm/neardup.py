@@ -19,11 +19,8 @@ SKETCH = 64
 #: values is also listed under each of them, a set of at least OVERLAP under pairs, so the
 #: sets of a link have a kind of list in common.
 LISTED, SMALL, OVERLAP = 32, 30, 24
-#: Lists longer than this are hot. A link with nothing but hot keys in common has at least
-#: 0.89 of its values in hot passages and so about 0.79 of its keys hot; only documents with
-#: MOSTLY_HOT of their keys hot stay in hot lists.
+#: Lists longer than this are hot: their members are compared in blocks, not by pairs of rows.
 HOT = 64
-MOSTLY_HOT = 0.4
 #: Lists that a member must share with its leader to be compared in the first round.
 AT_LEAST = 2
 #: Pairs whose sketches estimate less than this are not verified.
@@ -121,17 +118,26 @@ def _entries(stage: Stage, reps: DataFrame) -> DataFrame:
     # Bound once: inside the function the slice would be cut anew for each pair.
     pairs = let(F.slice("sketch", 1, LISTED), lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 2), lambda i: F.xxhash64(F.get(v, i), F.get(v, i + 1))))
     keys = F.concat(F.when(paired, pairs).otherwise(none), F.when(single, F.col("sketch")).otherwise(none))
-    of = F.when(paired, F.least(F.size("sketch"), F.lit(LISTED)) - 1).otherwise(0) + F.when(single, F.size("sketch")).otherwise(0)
-    flat = reps.select(F.explode(keys).alias("value"), "id", of.alias("of"))
+    flat = reps.select(F.explode(keys).alias("value"), "id")
     stat = flat.groupBy("value").agg(F.count("*").alias("size"), F.min("id").alias("lead")).filter("size > 1")
-    live = stage.cut(flat.join(stat, "value"))
-    hot = live.filter(F.col("size") > HOT)
-    mostly = hot.groupBy("id").agg(F.count("*").alias("hot"), F.first("of").alias("of")).filter(F.col("hot") >= MOSTLY_HOT * F.col("of")).select("id")
-    live = live.filter(F.col("size") <= HOT).unionByName(hot.join(mostly, "id", "left_semi").select(*live.columns))
-    return live.select("value", "id", "lead", (F.col("size") > HOT).alias("hot"))
+    return flat.join(stat, "value").select("value", "id", "lead", (F.col("size") > HOT).alias("hot"))
 
 
-def _families(stage: Stage, docs: DataFrame, hot: DataFrame, words: int, percent: int) -> DataFrame:
+def _open(hot: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of ``hot`` whose document can pass the estimate with one of another component.
+
+    What passes shares MIN_SHARE of the union sketch, which is no smaller than either
+    sketch; so a document of which fewer values stand in sketches of other components
+    passes with none of them.
+    """
+    members = hot.select("id", "comp").distinct().join(reps.select("id", "sketch"), "id")
+    flat = members.select("id", "comp", F.size("sketch").alias("of"), F.explode("sketch").alias("v"))
+    both = flat.groupBy("v").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("v")
+    some = flat.join(both, "v", "left_semi").groupBy("id").agg(F.count("*").alias("shared"), F.first("of").alias("of"))
+    return hot.join(some.filter(F.col("shared") >= MIN_SHARE * F.col("of")).select("id"), "id", "left_semi")
+
+
+def _families(stage: Stage, docs: DataFrame, hot: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between components among the members of hot lists.
 
     Members of lists that overlap are one family, dealt into blocks; each task takes two
@@ -141,7 +147,7 @@ def _families(stage: Stage, docs: DataFrame, hot: DataFrame, words: int, percent
     """
     spark = stage.spark
     schema = "a bigint, b bigint"
-    hot = stage.cut(hot)
+    hot = stage.cut(_open(hot, reps))
     if hot.isEmpty():
         return spark.createDataFrame([], schema)
     lead = hot.groupBy("value").agg(F.min("id").alias("v"))
@@ -227,7 +233,7 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     other = cold.select("value", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
     pairs = cold.select("value", F.col("id").alias("a"), "comp").join(other, "value").filter("comp < comp_b").select("a", "b").distinct()
     more = _check(spark, stage, docs, pairs, reps, words, percent)
-    edges = edges.unionByName(more).unionByName(_families(stage, docs, e.filter("hot"), words, percent))
+    edges = edges.unionByName(more).unionByName(_families(stage, docs, e.filter("hot"), reps, words, percent))
     comps = stage.cut(components(stage, stage.cut(edges)))
     ids = classes.select("d1", "d2", "id")
     out = sk.join(ids, ["d1", "d2"], "left").join(comps, "id", "left")

@@ -69,6 +69,16 @@ def test_star_and_chain(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_short_copies_of_hot_families(spark):
+    rng = random.Random(7)
+    rows = []
+    for g in range(8):  # 34 shared shingles and an own one; the copy has 29 and an own one
+        w = [f"g{g}w{rng.randrange(10**6)}" for _ in range(37)]
+        rows += [(len(rows) + k, " ".join([*w, f"o{g}x{k}"])) for k in range(100)]
+        rows.append((len(rows), " ".join([*w[:32], f"c{g}"])))
+    check(spark, rows)
+
+
 def test_awkward_rows(spark):
     d = docs(spark, extra=True)
     out = neardup.link(spark, d)
