@@ -187,25 +187,39 @@ def shared(a: list[int], b: list[int], most: int = 2_000_000) -> list[int]:
     return ends[0] + [lo + i for i in middle] + ends[1]
 
 
-#: A neighbour that shares more of the lines outside furniture is a copy, not a sibling of
-#: the same template, and tells nothing about which lines belong to the template.
+#: A neighbour that shares more of a page's lines may be a copy, whose shared lines are no
+#: template; further neighbours tell which of them are.
 COPY = 0.7
 
 
-def main_text(page: list[tuple[str, int]], neighbour: list[int] | None) -> str:
-    """The text of a page's lines without those that its neighbour shares.
+def counted(kinds: list[int]) -> list[int]:
+    """The lines that can be main text: those in an article or main element, or all without one."""
+    return [i for i, k in enumerate(kinds) if k == MAIN] or list(range(len(kinds)))
 
-    Lines in an article or main element are the page's own and stay, even where another
-    page repeats the article; if there are such lines, only they count.
+
+def template(keys: list[int], kinds: list[int], neighbours: list[list[int]]) -> list[int]:
+    """Positions of the counted lines that are shared with the neighbours, nearest first.
+
+    The first neighbour that shares at most COPY of the lines decides. Of those that share
+    more, each may be a copy, so the next is asked; if all share more, the lines that all
+    share go. Pages that agree in all lines tell nothing.
     """
-    own = [i for i, (_, kind) in enumerate(page) if kind == MAIN]
-    if not own:
-        keys = [line_key(t) for t, _ in page]
-        gone = set(shared(keys, neighbour)) if neighbour else set()
-        if gone and len(gone) > COPY * len(page):
-            gone = set()
-        own = [i for i in range(len(page)) if i not in gone]
-    return " ".join(page[i][0] for i in own)
+    own = counted(kinds)
+    mine, gone = [keys[i] for i in own], None
+    for other in neighbours:
+        found = set(shared(mine, other))
+        if len(found) <= COPY * len(own):
+            gone = found
+            break
+        if len(found) < len(own):
+            gone = found if gone is None else gone & found
+    return sorted(own[i] for i in gone or ())
+
+
+def main_text(page: list[tuple[str, int]], gone: list[int] | None) -> str:
+    """The text of a page's counted lines without those at the positions ``gone``."""
+    drop = set(gone or ())
+    return " ".join(page[i][0] for i in counted([k for _, k in page]) if i not in drop)
 
 
 def line_key(text: str) -> int:
@@ -265,39 +279,48 @@ def _numbered(stage: Stage, df: DataFrame, order: list[str]) -> DataFrame:
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """The rows of ``pages`` without html, with ``text``: the main text of each page.
 
-    Pages whose markup tells the article (an article or main element) keep just its lines.
-    The others are sorted by host, path and page; of those before and after it on its host,
-    a page's neighbour is that with the longer common path (the one before on ties). Their
-    lines are aligned by a longest common subsequence and shared lines deleted. Pages alone
-    on their host, and a null or empty url among its likes, keep all lines outside
+    The pages of a host, equal ones as one, are sorted by path and page. Neighbours of a
+    page are the two before and after it, by the longer common path and then by distance;
+    first among the pages that mark their article (an article or main element) or don't,
+    as the page itself, then among all of the host. Its lines are aligned with theirs by
+    longest common subsequences and shared lines deleted (see ``template``). On a marked
+    page only lines in the article count. Pages alone on their host keep all lines outside
     furniture. A null or empty html has an empty text. Repeated rows are extracted each.
     Sorting deals pages by range, so a host with very many pages spreads over many tasks;
-    only line hashes of a neighbour travel. Columns named text or like helpers are kept in
+    only line hashes of neighbours travel. Columns named text or like helpers are kept in
     ``row`` or replaced.
     """
     small_batches(spark)
     stage = Stage(spark, "html")
-    parsed = _parsed(pages)
-    tie = F.xxhash64("row.page_id", "lines")
-    parsed = stage.cut(parsed)
-    marked = F.array_contains("kinds", MAIN)
-    rest = parsed.filter(~marked).withColumn("id", F.coalesce(F.col("row.page_id").cast("bigint"), F.lit(-1))).withColumn("tie", tie)
-    df = _numbered(stage, rest, ["host", "path", "id", "tie"])
-    near = df.select("at", "host", "path", "keys")
-    side = near.select("at", "host", "path")
-    to = lambda s, step: near.select((F.col("at") + step).alias("at"), F.col("host").alias(f"host_{s}"), F.col("path").alias(f"path_{s}"))
-    common = lambda p: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("path"), F.length(p)))), lambda i: F.substring("path", F.lit(1), i) == F.substring(p, F.lit(1), i)))
-    pick = side.join(to("b", 1), "at", "left").join(to("n", -1), "at", "left")
-    before, after = F.col("host") == F.col("host_b"), F.col("host") == F.col("host_n")
-    which = F.when(before & (~F.coalesce(after, F.lit(False)) | (common(F.col("path_b")) >= common(F.col("path_n")))), F.col("at") - 1).when(after, F.col("at") + 1)
-    pick = pick.select("at", which.alias("to")).filter("to is not null")
-    other = pick.join(near.select(F.col("at").alias("to"), F.col("keys").alias("other")), "to").select("at", "other")
-    joined = df.select("at", "row", "lines", "kinds").join(other, "at", "left").drop("at")
-    joined = joined.unionByName(parsed.filter(marked).select("row", "lines", "kinds"), allowMissingColumns=True)
+    parsed = stage.cut(_parsed(pages)).withColumn("sig", F.xxhash64("keys", "kinds"))
+    place = F.struct("path", F.coalesce(F.col("row.page_id").cast("bigint"), F.lit(-1)).alias("id"))
+    classes = parsed.filter(F.size("keys") > 0).groupBy("host", "sig").agg(F.min(place).alias("p"), F.first("keys").alias("keys"), F.first("kinds").alias("kinds"))
+    classes = stage.cut(classes.select("host", "sig", F.array_contains("kinds", MAIN).alias("marked"), "p.path", "p.id", "keys", "kinds"))
+    common = lambda p, q: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(p), F.length(q)))), lambda i: F.substring(p, F.lit(1), i) == F.substring(q, F.lit(1), i)))
+
+    def beside(order: int, within: list[str]) -> DataFrame:
+        df = _numbered(stage, classes.drop("kinds"), [*within, "path", "id", "sig"])
+        to = df.select(*within, "at", "path", "keys").withColumn("step", F.explode(F.array(*map(F.lit, (-1, 1, -2, 2)))))
+        to = to.select(*within, (F.col("at") - F.col("step")).alias("at"), F.col("path").alias("to"), "step", F.col("keys").alias("other"))
+        rank = F.struct(F.lit(order).alias("o"), (-common("path", "to")).alias("c"), F.abs("step").alias("d"), F.col("step").alias("s"), "other")
+        return df.drop("keys").join(to, [*within, "at"]).select("host", "sig", rank.alias("n"))
+
+    near = beside(0, ["host", "marked"]).unionByName(beside(1, ["host"]))
+    near = near.groupBy("host", "sig").agg(F.transform(F.sort_array(F.collect_list("n")), lambda n: n["other"]).alias("others"))
+
+    def align(batches):
+        for b in batches:
+            at = [b.column(c).to_pylist() for c in ("keys", "kinds", "others")]
+            gone = pa.array([template(*x) for x in zip(*at, strict=True)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("sig"), gone], names=["host", "sig", "gone"])
+
+    aligned = classes.select("host", "sig", "keys", "kinds").join(near, ["host", "sig"])
+    gone = stage.cut(aligned.mapInArrow(align, "host string, sig bigint, gone array<int>").filter(F.size("gone") > 0))
+    joined = parsed.select("row", "lines", "kinds", "host", "sig").join(gone, ["host", "sig"], "left").select("row", "lines", "kinds", "gone")
 
     def run(batches):
         for b in batches:
-            out = [main_text(list(zip(x, k, strict=True)), o) for x, k, o in zip(*[b.column(c).to_pylist() for c in ("lines", "kinds", "other")], strict=True)]
+            out = [main_text(list(zip(x, k, strict=True)), g) for x, k, g in zip(*[b.column(c).to_pylist() for c in ("lines", "kinds", "gone")], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], names=["row", "text"])
 
     out = joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, text string")

@@ -68,3 +68,22 @@ def test_one_host_over_many_tasks(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r["page_id"]: r["text"] for r in html.extract(spark, df).collect()}
     assert got == {i: f"text {i} more {i} end {i}" for i in range(800)}
+
+
+def test_marked_pages_are_aligned(spark):
+    art = lambda i: f"<p>Site title</p><article><p>Share this story</p><p>text {i}</p><p>more {i}</p></article>"
+    rows = [(i, f"http://m.org/a/{i}", art(i)) for i in range(4)]
+    rows.append((9, "http://m.org/a/9", "<p>Site title</p><p>no article</p>"))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {**{i: f"text {i} more {i}" for i in range(4)}, 9: "no article"}
+
+
+def test_short_pages_and_copies(spark):
+    rows = [(i, f"http://s.org/p/{i}", page(f"<p>text {i}</p>")) for i in range(4)]
+    long = "".join(f"<p>line {k}</p>" for k in range(12))
+    rows += [(10, "http://c.org/x/1", page(f"<p>one</p>{long}")), (11, "http://c.org/x/2", page(f"<p>two</p>{long}")), (13, "http://c.org/x/2?copy", page(f"<p>two</p>{long}"))]
+    rows.append((12, "http://c.org/y", page("<p>other</p><p>words</p>")))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    text = " ".join(f"line {k}" for k in range(12))
+    want = {**{i: f"text {i}" for i in range(4)}, 10: f"one {text}", 11: f"two {text}", 13: f"two {text}", 12: "other words"}
+    assert got == want
