@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolith.llm.codec import pack, pack_sorted, slices, unpack, unpack_sorted
 from foliolith.llm.hashing import _STEP, WordHash, mix, words
-from foliolith.llm.util import Stage, small_batches
+from foliolith.llm.util import Stage, block_names, small_batches
 
 #: Text bytes of one block of documents, which bounds what a task holds.
 BLOCK = 12_000_000
@@ -37,10 +36,10 @@ def _rows(rows: list[tuple]) -> pa.Table:
 def _blocks(docs: DataFrame, train: Column) -> DataFrame:
     """Kind 0, one row a block: its sorted vocabulary with training counts, and its documents
     as token numbers. A block is a stretch of one task's input; it is written before use, so
-    its name (a hash of its content) need not be found again."""
+    its name (by its task and place) need not be found again."""
 
     def run(batches):
-        seen = WordHash()
+        seen, names = WordHash(), block_names()
         ids, flags, toks, size = [], [], [], 0
 
         def flush():
@@ -52,8 +51,7 @@ def _blocks(docs: DataFrame, train: Column) -> DataFrame:
             doc = np.array([x if x is not None else 0 for x in ids], np.int64)
             state = np.array([f + 2 * (x is None) for f, x in zip(flags, ids, strict=True)], np.uint8)
             body = pack(at.astype(np.uint32))
-            name = xxhash.xxh64_intdigest(doc.tobytes() + body) >> 1
-            return (name, 0, -1, pack_sorted(vocab), pack(count), body, pack(lens), pack(doc) + b"|" + pack(state))
+            return (next(names), 0, -1, pack_sorted(vocab), pack(count), body, pack(lens), pack(doc) + b"|" + pack(state))
 
         for b in batches:
             for doc_id, text, learn in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):

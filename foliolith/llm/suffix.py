@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliolith.llm.codec import bytes_text, pack, pack_sorted, slices, text_bytes, unpack, unpack_sorted
 from foliolith.llm.hashing import _STEP, mix
-from foliolith.llm.util import Stage, small_batches
+from foliolith.llm.util import Stage, block_names, small_batches
 
 #: Length in bytes of the strings whose later copies go.
 WIDTH = 100
@@ -91,6 +91,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         ids, parts, size = [], [], 0
+        names = block_names()
 
         def flush():
             raw = b"".join(parts)
@@ -100,7 +101,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             doc = np.array([x if x is not None else np.iinfo(np.int64).min for x in ids], np.int64)
             null = np.array([x is None for x in ids], np.uint8)
             spots = pack(which.astype(np.uint32)), pack(np.diff(a, prepend=0).astype(np.int32)), pack(np.stack([a - lo, hi - lo]).astype(np.uint8).T.reshape(-1))
-            return (xxhash.xxh64_intdigest(doc.tobytes() + raw) >> 1, 0, -1, text_bytes(raw), pack(lens), pack(doc), pack(null), pack_sorted(keys), *spots)
+            return (next(names), 0, -1, text_bytes(raw), pack(lens), pack(doc), pack(null), pack_sorted(keys), *spots)
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

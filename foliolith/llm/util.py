@@ -58,6 +58,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def block_names():
+    """Names for the rows that a task writes, by its partition and a running number; for a
+    table that is written before use, so that no second run gives them anew."""
+    from pyspark import TaskContext
+
+    first = TaskContext.get().partitionId() << 32
+    return (first + i for i in range(1 << 32))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")

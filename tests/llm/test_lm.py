@@ -60,3 +60,21 @@ def test_awkward_rows(spark):
     none = lm.score(spark, d, F.lit(False))
     assert none.filter("n_known > 0 or score > 0 or isnan(score)").count() == 0
     assert lm.score(spark, empty(spark), F.lit(True)).count() == 0
+
+
+def test_equal_blocks_stay_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE", 100)
+    rows = [(1, "a b a b c"), (2, "b c " * 30)]
+    for part in (rows, rows, [(None, "only")], [(None, "other")]):
+        df = spark.createDataFrame(part, "doc_id long, text string")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    d = spark.read.parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a task for each file
+    try:
+        assert d.rdd.getNumPartitions() == 4
+        got = lm.score(spark, d, F.lit(True)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = lm.score(spark, d.coalesce(1), F.lit(True)).collect()
+    key = lambda r: (r["doc_id"] or 0, r["n_tokens"], round(r["base_score"], 6), round(r["score"], 6))
+    assert len(got) == 6 and sorted(map(key, got)) == sorted(map(key, whole))

@@ -82,3 +82,14 @@ def test_awkward_rows(spark):
     assert len(same) == 3 and len({(r["n_bytes"], tuple(r["starts"])) for r in same}) == 1 and same[0]["starts"] == []
     assert suffix.repeated(spark, empty(spark)).count() == 0
     assert suffix.repeated(spark, d.filter("length(text) < 50")).filter(F.size("starts") > 0).count() == 0
+
+
+def test_equal_blocks_stay_apart(spark, tmp_path):
+    df = spark.createDataFrame([(1, "abc " * 60), (2, "x" * 150)], "doc_id long, text string").coalesce(1)
+    df.write.parquet(f"{tmp_path}/t")
+    df.write.mode("append").parquet(f"{tmp_path}/t")
+    twice = spark.read.parquet(f"{tmp_path}/t")
+    d = twice.filter("true").unionByName(twice)
+    out = suffix.repeated(spark, d).collect()
+    assert sorted(r["doc_id"] for r in out) == [1] * 4 + [2] * 4
+    assert len({(r["doc_id"], tuple(r["starts"]), r["kept"]) for r in out}) == 2
