@@ -70,7 +70,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"),
     )
-    f = chat.format_records(chat.records_from_rows(rows.unionByName(extra)))
+    f = chat.format_rows(rows.unionByName(extra))
     f = f.withColumn("back", chat.parse_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("back")))
     lines = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return f.select(

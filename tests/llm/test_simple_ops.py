@@ -190,3 +190,15 @@ def test_mixing_large_mean(spark):
     d = spark.range(3).selectExpr("id as doc_id", "if(id = 0, 'rare', 'x') as source").unionByName(spark.range(3, 3000).selectExpr("id as doc_id", "'x' as source"))
     n = mixing.mix(d, {"rare": 1.0}).count()
     assert 2700 < n < 3300
+
+
+def test_chat_rows_beyond_the_json_parser(spark):
+    rows = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("human").alias("role"), F.expr("if(id = 0, repeat('x', 21000000), 'y')").alias("text"))
+    got = chat.format_rows(rows).select(F.size("turns"), F.length(F.col("turns")[0]["text"]), "turns.role").first()
+    assert tuple(got) == (2, 21_000_000, ["user", "user"])
+    try:
+        chat.format_records(chat.records_from_rows(rows)).select(F.size("turns")).collect()
+    except Exception as e:
+        assert "limits of the JSON parser" in str(e)
+    else:
+        raise AssertionError("a lost record")
