@@ -292,9 +292,11 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """
     small_batches(spark)
     stage = Stage(spark, "html")
-    parsed = stage.cut(_parsed(pages)).withColumn("sig", F.xxhash64("keys", "kinds"))
-    place = F.struct("path", F.coalesce(F.col("row.page_id").cast("bigint"), F.lit(-1)).alias("id"))
-    classes = parsed.filter(F.size("keys") > 0).groupBy("host", "sig").agg(F.min(place).alias("p"), F.first("keys").alias("keys"), F.first("kinds").alias("kinds"))
+    # Pages are parsed twice, which takes less than to write their lines.
+    parsed = _parsed(pages).withColumn("sig", F.xxhash64("keys", "kinds"))
+    place = F.struct("path", F.coalesce(F.col("page_id").cast("bigint"), F.lit(-1)).alias("id"))
+    slim = stage.cut(parsed.select("row.page_id", "host", "path", "sig", "keys", "kinds"))
+    classes = slim.filter(F.size("keys") > 0).groupBy("host", "sig").agg(F.min(place).alias("p"), F.first("keys").alias("keys"), F.first("kinds").alias("kinds"))
     classes = stage.cut(classes.select("host", "sig", F.array_contains("kinds", MAIN).alias("marked"), "p.path", "p.id", "keys", "kinds"))
     common = lambda p, q: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(p), F.length(q)))), lambda i: F.substring(p, F.lit(1), i) == F.substring(q, F.lit(1), i)))
 
