@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliolith.llm.codec import bytes_text, pack, pack_sorted, slices, text_bytes, unpack, unpack_sorted
 from foliolith.llm.hashing import _STEP, mix
-from foliolith.llm.util import Stage, block_names, small_batches
+from foliolith.llm.util import Stage, batch_of, block_names, grouped, parts_for, small_batches, text_size, with_answers
 
 #: Length in bytes of the strings whose later copies go.
 WIDTH = 100
@@ -22,30 +21,29 @@ WIDTH = 100
 #: at the same place; only suffixes that start at anchors are sorted.
 GRAM = 32
 #: Text bytes of one block of documents, of a range of anchor hashes, and of a merge task.
-BLOCK = 2_500_000
+BLOCK = 6_000_000
 RANGE = 24_000_000
 MERGE = 12_000_000
 #: Window starts that one vectorised step handles.
 STEP = 1 << 18
-#: Suffixes with the same GRAM that a merge task holds at once; a larger group is resolved
-#: by a distributed minimum over its windows.
-GROUP = 4096
+#: Occurrences from which a GRAM is hot: its suffixes are dealt over all merge tasks, and a
+#: distributed minimum over their windows ends what the tasks begin.
+HOT = 4096
+#: Merged suffixes that a task resolves at once, and rows that it holds for one block.
+CHUNK = 30_000
 #: Bytes of the anchor's hash before each suffix: suffixes are ordered by it and then by
 #: their bytes, so equal ranges of hashes make equal merge tasks without a sample.
 HEAD = 8
-_COLS = "abcdefgh"
-_BLOCKS = "block bigint, kind int, r int, " + ", ".join(f"{c} binary" for c in _COLS)
-_ORDER = ["block", "kind", "r", *_COLS]
+_BLOCKS = "block bigint, text binary, lens binary, doc binary, null binary, keys binary, which binary, at binary, spans binary"
+_ASKED = "block bigint, r int, keys binary, counts binary"
+_FLAGS = "block bigint, r int, flags binary"
+#: RUN: a sorted run for merge task r. MARKS: (row, first, last) of repeated windows of a
+#: block. FIRSTS: (digest, doc, start, block, row) of windows that come first in a chunk.
+_RUNS = "kind int, r int, block bigint, a binary, b binary, c binary, d binary, e binary, f binary"
+RUN, MARKS, FIRSTS = 0, 1, 2
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    full = [(*r, *[None] * (len(_ORDER) - len(r))) for r in rows]
-    cols = list(zip(*full, strict=True)) if full else [()] * len(_ORDER)
-    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * len(_COLS)]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=_ORDER)
-
-
 def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, anchor, first, last): for each anchor the window starts that it belongs to, as
     one or more stretches first..last; windows lie within one document (``ends``: their ends)."""
@@ -80,14 +78,16 @@ def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         a = (best[s] & low).astype(np.int64)
         cut = np.flatnonzero((np.diff(s) != 1) | (np.diff(a) != 0)) + 1
         i, j = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(s) - 1]])
-        out.append((g[a[i]], a[i] + at, s[i] + at, s[j] + at))
+        # Anchors have small hashes; mixed again, they spread evenly over ranges.
+        out.append((mix(g[a[i]] * _STEP), a[i] + at, s[i] + at, s[j] + at))
     if not out:
         return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Kind 0, one row a block: texts, documents and anchors; written before use."""
+    """Blocks of documents with their anchors; written before use, named by task and place.
+    A document is never cut: its text is one value, which a task holds in any case."""
 
     def run(batches):
         ids, parts, size = [], [], 0
@@ -101,7 +101,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             doc = np.array([x if x is not None else np.iinfo(np.int64).min for x in ids], np.int64)
             null = np.array([x is None for x in ids], np.uint8)
             spots = pack(which.astype(np.uint32)), pack(np.diff(a, prepend=0).astype(np.int32)), pack(np.stack([a - lo, hi - lo]).astype(np.uint8).T.reshape(-1))
-            return (next(names), 0, -1, text_bytes(raw), pack(lens), pack(doc), pack(null), pack_sorted(keys), *spots)
+            return (next(names), text_bytes(raw), pack(lens), pack(doc), pack(null), pack_sorted(keys), *spots)
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -110,51 +110,58 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 parts.append(x)
                 size += len(x) + 64
                 if size >= BLOCK:
-                    yield from _rows([flush()]).to_batches()
+                    yield from batch_of(_BLOCKS, [flush()])
                     ids, parts, size = [], [], 0
         if ids:
-            yield from _rows([flush()]).to_batches()
+            yield from batch_of(_BLOCKS, [flush()])
 
     cols = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cols.mapInArrow(run, _BLOCKS)
 
 
 class Block:
-    def __init__(self, rows: list[dict]):
-        head = next(r for r in rows if r["kind"] == 0)
-        self.name, self.text = head["block"], bytes_text(head["a"])
-        self.lens, self.doc = unpack(head["b"], np.int64), unpack(head["c"], np.int64)
-        self.null = unpack(head["d"], np.uint8).astype(bool)
+    def __init__(self, row: dict):
+        self.name, self.text = row["block"], bytes_text(row["text"])
+        self.lens, self.doc = unpack(row["lens"], np.int64), unpack(row["doc"], np.int64)
+        self.null = unpack(row["null"], np.uint8).astype(bool)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)[:-1]]).astype(np.int64) if len(self.lens) else np.empty(0, np.int64)
-        self.which, self.at = unpack(head["f"], np.uint32), np.cumsum(unpack(head["g"], np.int32).astype(np.int64))
-        self.left, self.span = unpack(head["h"], np.uint8).reshape(-1, 2).T.astype(np.int64)
-        self.rows = rows
+        self.answers = row["answers"] or []
+
+    def hits(self, row: dict) -> tuple[np.ndarray, ...]:
+        """(hash, hot, anchor, bytes before it, further windows) of the anchors that occur twice."""
+        if not self.answers:
+            return (np.empty(0, np.uint64), np.empty(0, bool), *[np.empty(0, np.int64)] * 3)
+        flags = np.concatenate([unpack(x["flags"], np.uint8) for x in sorted(self.answers, key=lambda x: x["r"])])
+        which, at = unpack(row["which"], np.uint32), np.cumsum(unpack(row["at"], np.int32).astype(np.int64))
+        left, span = unpack(row["spans"], np.uint8).reshape(-1, 2).T.astype(np.int64)
+        hit = np.flatnonzero(flags[which])
+        return unpack_sorted(row["keys"])[which[hit]], flags[which[hit]] > 1, at[hit], left[hit], span[hit]
 
 
 def _ask(parts: int):
-    """Kind 1: a block's anchor hashes and how often it has them, by range."""
+    """A block's anchor hashes and how often it has them, by range."""
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                keys = unpack_sorted(row["e"])
-                n = np.minimum(np.bincount(unpack(row["f"], np.uint32), minlength=len(keys)), 2).astype(np.uint8)
-                yield from _rows([(row["block"], 1, r, pack_sorted(keys[i:j]), pack(n[i:j])) for r, i, j in slices(keys, parts)]).to_batches()
+                keys = unpack_sorted(row["keys"])
+                n = np.bincount(unpack(row["which"], np.uint32), minlength=len(keys)).astype(np.uint32)
+                yield from batch_of(_ASKED, [(row["block"], r, pack_sorted(keys[i:j]), pack(n[i:j])) for r, i, j in slices(keys, parts)])
 
     return run
 
 
-def _twice(table: pa.Table) -> pa.Table:
-    """Kind 2: which of the hashes that a block asked for occur more than once anywhere."""
-    rows = table.select(["block", "r", "a", "b"]).to_pylist()
-    keys = [unpack_sorted(r["a"]) for r in rows]
+def _answer(rows: list[dict]):
+    """Which of the hashes that blocks asked for occur more than once (1) or are hot (2)."""
+    keys = [unpack_sorted(r["keys"]) for r in rows]
     uniq, back = np.unique(np.concatenate(keys), return_inverse=True)
-    many = np.bincount(back, weights=np.concatenate([unpack(r["b"], np.uint8) for r in rows]), minlength=len(uniq)) > 1
+    n = np.bincount(back, weights=np.concatenate([unpack(r["counts"], np.uint32) for r in rows]), minlength=len(uniq))
+    flags = (n > 1).astype(np.uint8) + (n > HOT)
     out, at = [], 0
     for r, k in zip(rows, keys, strict=True):
-        out.append((r["block"], 2, r["r"], pack(many[back[at : at + len(k)]].view(np.uint8))))
+        out.append((r["block"], r["r"], pack(flags[back[at : at + len(k)]].astype(np.uint8))))
         at += len(k)
-    return _rows(out)
+    yield from batch_of(_FLAGS, out)
 
 
 def common(a: bytes, b: bytes, i: int = 0) -> int:
@@ -242,115 +249,158 @@ class Marks:
     """Stretches of repeated window starts: (row, first, last) for each block."""
 
     def __init__(self):
-        self.by = defaultdict(list)
+        self.parts: list[tuple] = []
 
-    def add(self, block: int, row: int, first: int, last: int) -> None:
-        self.by[block].append((row, first, last))
+    def add(self, block, row, first, last) -> None:
+        self.parts.append(tuple(np.asarray(x, np.int64).reshape(-1) for x in (block, row, first, last)))
 
     def rows(self) -> list[tuple]:
-        return [(b, 4, -1, *(pack(np.array(c, np.int64)) for c in zip(*x, strict=True))) for b, x in self.by.items()]
-
-
-def _resolve(group: list[tuple], marks: Marks, firsts: bool) -> list[tuple[bytes, tuple]]:
-    """Marks the repeats within a group of (suffix, (left, doc, position, block, row)) and
-    returns, if asked for, the windows that come first in it: (window, (doc, start, block, row))."""
-    whole: dict[tuple, tuple] = {}
-    for s, (left, doc, pos, _, _) in group:
-        key = (left, s)
-        if key not in whole or (doc, pos) < whole[key]:
-            whole[key] = (doc, pos)
-    first: dict[bytes, tuple] = {}
-    stay = []
-    for s, load in group:
-        left, doc, pos, block, row = load
-        span = len(left) + len(s) - HEAD - WIDTH
-        if (doc, pos) > whole[left, s]:
-            marks.add(block, row, pos, pos + span)
-            continue
-        stay.append((left + s[HEAD:], span, load))
-    for text, span, (_, doc, pos, _, _) in stay:
-        for j in range(span + 1):
-            w = text[j : j + WIDTH]
-            if w not in first or (doc, pos + j) < first[w]:
-                first[w] = (doc, pos + j)
-    out = []
-    for text, span, (_, doc, pos, block, row) in stay:
-        start = None
-        for j in range(span + 2):
-            late = j <= span and first[text[j : j + WIDTH]] < (doc, pos + j)
-            if late and start is None:
-                start = j
-            elif not late and start is not None:
-                marks.add(block, row, pos + start, pos + j - 1)
-                start = None
-            if firsts and j <= span and not late:
-                out.append((text[j : j + WIDTH], (doc, pos + j, block, row)))
+        if not self.parts:
+            return []
+        block, *rest = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        return [(MARKS, None, int(block[i[0]]), *(pack(x[i]) for x in rest)) for i in np.split(order, cuts) if len(i)]
+
+
+def _dense(*cols: np.ndarray) -> np.ndarray:
+    """The rank of each row among the distinct rows."""
+    order = np.lexsort(cols[::-1])
+    step = np.zeros(len(order), bool)
+    for c in cols:
+        step[1:] |= np.diff(c[order]) != 0
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(step)
+    return out
+
+
+def _late(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Whether another row with the same key has a smaller rank."""
+    n = rank.max(initial=0) + 1
+    order = np.argsort(key * n + rank)
+    k, r = key[order], rank[order]
+    begin = np.flatnonzero(np.diff(k, prepend=k[:1] - 1) != 0) if len(k) else np.empty(0, np.int64)
+    least = np.repeat(r[begin], np.diff(np.append(begin, len(k))))
+    out = np.empty(len(k), bool)
+    out[order] = r > least
     return out
 
 
+def _left_order(lefts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the reversed strings and each one's common prefix with the one before."""
+    back = [x[::-1] for x in lefts]
+    order = sorted(range(len(back)), key=back.__getitem__)
+    lcp = np.array([0, *(common(back[i], back[j]) for i, j in zip(order, order[1:], strict=False))], np.int64)
+    return np.array(order, np.int64), lcp
+
+
+def resolve(chunk: list[tuple], hot: bool) -> Iterator[pa.RecordBatch]:
+    """Marks of the repeats in a stretch of the merged order, whole groups of (lcp, suffix,
+    left, doc, position, block, row), and, in a hot stretch, its first windows.
+
+    The window that begins k bytes before an anchor is equal for two suffixes if their
+    common prefix (the least of those between them) covers its right part and the common
+    prefix of their reversed left contexts its k bytes. So classes for each k are runs of
+    the two orders, and no window is compared byte by byte.
+    """
+    lcp, size, left_size, doc, pos, block, row = (np.array(x, np.int64) for x in zip(*((c[0], len(c[1]), len(c[2]), *c[3:]) for c in chunk), strict=True))
+    lcp[0] = 0
+    at, marks = pos + left_size, Marks()
+    span = left_size + size - HEAD - WIDTH
+    rank = _dense(doc, at)
+    same = np.zeros(len(chunk), bool)
+    same[1:] = (lcp[1:] == size[1:]) & (size[1:] == size[:-1])
+    seen: dict[bytes, int] = {}
+    left_id = np.array([seen.setdefault(c[2], len(seen)) for c in chunk], np.int64)
+    late = _late(np.cumsum(~same) * len(chunk) + left_id, rank)
+    marks.add(block[late], row[late], pos[late], (pos + span)[late])
+    stay = np.flatnonzero(~late)
+    lcp = np.minimum.reduceat(lcp[: stay[-1] + 1], np.concatenate([[0], stay[:-1] + 1]))
+    if not hot:
+        begin = np.flatnonzero(lcp < HEAD + GRAM)
+        many = np.diff(np.append(begin, len(stay)))
+        keep = np.repeat(many > 1, many)
+        stay, lcp = stay[keep], lcp[keep]
+    if not len(stay):
+        yield from batch_of(_RUNS, marks.rows())
+        return
+    size, left_size, at, rank, block, row, doc = (x[stay] for x in (size, left_size, at, rank, block, row, doc))
+    lefts = [chunk[i][2] for i in stay.tolist()]
+    order, left_lcp = _left_order(lefts)
+    most = WIDTH - GRAM
+    again = np.zeros((len(stay), most + 3), bool)  # by k, with an empty column at both ends
+    has = np.zeros((len(stay), most + 1), bool)
+    left_class = np.empty(len(stay), np.int64)
+    for k in range(most + 1):
+        has[:, k] = (left_size >= k) & (size >= HEAD + WIDTH - k)
+        i = np.flatnonzero(has[:, k])
+        if len(i):
+            left_class[order] = np.cumsum(left_lcp < k)
+            again[i, k + 1] = _late(np.cumsum(lcp < HEAD + WIDTH - k)[i] * (len(stay) + 1) + left_class[i], rank[i])
+    edge = np.diff(again.view(np.int8), axis=1)
+    i, lo = np.nonzero(edge == 1)
+    hi = np.nonzero(edge == -1)[1] - 1
+    marks.add(block[i], row[i], at[i] - hi, at[i] - lo)
+    yield from batch_of(_RUNS, marks.rows())
+    if hot:
+        i, k = np.nonzero(has & ~again[:, 1:-1])
+        for c in range(0, len(i), CHUNK):
+            j, kk = i[c : c + CHUNK], k[c : c + CHUNK]
+            texts = ((lefts[x], chunk[stay[x]][1], y) for x, y in zip(j.tolist(), kk.tolist(), strict=True))
+            dig = b"".join(xxhash.xxh128_digest(a[len(a) - y :] + s[HEAD : HEAD + WIDTH - y]) for a, s, y in texts)
+            yield from batch_of(_RUNS, [(FIRSTS, None, None, dig, pack(doc[j]), pack(at[j] - kk), pack(block[j]), pack(row[j]))])
+
+
 def _runs(tasks: int):
-    """Kind 3, a block's sorted run for each merge task, and kind 4, repeats within the block."""
-
-    def run(table: pa.Table) -> pa.Table:
-        b = Block(table.select(_ORDER).to_pylist())
-        many = [unpack(r["a"], np.uint8) for r in sorted((r for r in b.rows if r["kind"] == 2), key=lambda r: r["r"])]
-        marks, best, items = Marks(), {}, []
-        if many:
-            hit = np.flatnonzero(np.concatenate(many)[b.which])
-            row = np.searchsorted(b.starts, b.at[hit], side="right") - 1
-            at, left, span = b.at[hit], b.left[hit], b.span[hit]
-            pos = at - left - b.starts[row]
-            heads = unpack_sorted(next(x for x in b.rows if x["kind"] == 0)["e"])[b.which[hit]].astype(">u8").tobytes()
-            for q, (a, k, n, doc, p, r) in enumerate(zip(at.tolist(), left.tolist(), span.tolist(), b.doc[row].tolist(), pos.tolist(), row.tolist(), strict=True)):
-                key = (heads[HEAD * q : HEAD * q + HEAD] + b.text[a : a - k + n + WIDTH], b.text[a - k : a])
-                items.append((*key, doc, p, r, n))
-                if key not in best or (doc, p) < best[key]:
-                    best[key] = (doc, p)
-        keep = []
-        for s, left, doc, p, r, n in items:
-            if (doc, p) > best[s, left]:
-                marks.add(b.name, r, p, p + n)
-            else:
-                keep.append((s, left, doc, p, r))
-        keep.sort()
-        out = marks.rows()
-        first = np.array([int.from_bytes(x[0][:HEAD], "big") for x in keep], np.uint64)
-        for part, i, j in slices(first, tasks):
-            out.append((b.name, 3, part, *front_code(keep[i:j])))
-        return _rows(out)
+    """A block's sorted run for each merge task, hot suffixes apart; and repeats within the block."""
+
+    def coded(block: int, items: list[tuple], first: int):
+        items.sort()
+        heads = np.array([int.from_bytes(x[0][:HEAD], "big") for x in items], np.uint64)
+        if first:
+            return [(RUN, first + xxhash.xxh32_intdigest(str(block)) % tasks, block, *front_code(items))] if items else []
+        return [(RUN, part, block, *front_code(items[i:j])) for part, i, j in slices(heads, tasks)]
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                b, marks, best, items = Block(r), Marks(), {}, []
+                h, hot, at, left, span = b.hits(r)
+                row = np.searchsorted(b.starts, at, side="right") - 1
+                pos, heads = at - left - b.starts[row], h.astype(">u8").tobytes()
+                for q, (a, k, n, doc, p, i, w) in enumerate(zip(*(x.tolist() for x in (at, left, span, b.doc[row], pos, row, hot)), strict=True)):
+                    key = (heads[HEAD * q : HEAD * q + HEAD] + b.text[a : a - k + n + WIDTH], b.text[a - k : a])
+                    items.append((*key, doc, p, i, n, w))
+                    if key not in best or (doc, p) < best[key]:
+                        best[key] = (doc, p)
+                late = [(i, p, p + n) for s, x, doc, p, i, n, _ in items if (doc, p) > best[s, x]]
+                if late:
+                    marks.add(np.full(len(late), b.name), *zip(*late, strict=True))
+                first = [x for x in items if (x[2], x[3]) == best[x[0], x[1]]]
+                out = marks.rows()
+                for w in (False, True):
+                    out += coded(b.name, [x[:5] for x in first if x[6] == w], tasks * w)
+                yield from batch_of(_RUNS, out)
 
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Merges the runs of a task; kind 4: repeats, kind 5: windows of groups too large to hold."""
-    rows = table.select(_ORDER).to_pylist()
-    marks, big = Marks(), []
-    group: list[tuple] = []
-    chunks = 0
-
-    def close(last: bool):
-        nonlocal chunks
-        if len(group) > 1 or chunks or not last:
-            big.extend(_resolve(group, marks, bool(chunks or not last)))
-        chunks = 0 if last else chunks + 1
-        group.clear()
-
-    for lcp, s, load in merged([decoded(r) for r in rows]):
-        if lcp < HEAD + GRAM and (group or chunks):
-            close(True)
-        elif len(group) >= GROUP:
-            close(False)
-        group.append((s, load))
-    if group or chunks:
-        close(True)
-    out = marks.rows()
-    for i in range(0, len(big), 100_000):
-        part = big[i : i + 100_000]
-        dig = np.frombuffer(b"".join(xxhash.xxh128_digest(w) for w, _ in part), np.int64)
-        cols = [np.array(c, np.int64) for c in zip(*(x for _, x in part), strict=True)]
-        out.append((-1, 5, -1, dig.tobytes(), *(pack(c) for c in cols)))
-    return _rows(out)
+def _merge(tasks: int):
+    """Merges the runs of a task and resolves them chunk by chunk, each of whole groups but
+    in a hot task, whose first windows are settled over all tasks."""
+
+    def run(rows: list[dict]):
+        hot = rows[0]["r"] >= tasks
+        chunk: list[tuple] = []
+        for lcp, s, load in merged([decoded(r) for r in rows]):
+            if len(chunk) >= CHUNK and (hot or lcp < HEAD + GRAM):
+                yield from resolve(chunk, hot)
+                chunk = []
+            chunk.append((lcp, s, *load))
+        if chunk:
+            yield from resolve(chunk, hot)
+
+    return run
 
 
 def _windows(batches):
@@ -361,40 +411,42 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["d1", "d2", "doc", "pos", "block", "row"])
 
 
-def _as_marks(table: pa.Table) -> pa.Table:
-    cols = [pack(table.column(c).to_numpy().astype(np.int64)) for c in ("row", "pos", "pos")]
-    return _rows([(table.column("block")[0].as_py(), 4, -1, *cols)])
+def _as_marks(rows: list[dict]):
+    marks = Marks()
+    marks.add(*(np.array([r[c] for r in rows]) for c in ("block", "row", "pos", "pos")))
+    yield from batch_of(_RUNS, marks.rows())
 
 
 _SPANS = "doc_id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary"
 
 
-def _cover(table: pa.Table) -> pa.Table:
+def _cover(batches):
     """Each document of a block with the byte spans that go and the bytes that stay."""
-    b = Block(table.select(_ORDER).to_pylist())
-    step = np.zeros(len(b.text) + 1, np.int32)
-    for r in b.rows:
-        if r["kind"] == 4:
-            row, first, last = (unpack(r[c], np.int64) for c in "abc")
-            np.add.at(step, b.starts[row] + first, 1)
-            np.add.at(step, b.starts[row] + last + WIDTH, -1)
-    gone = np.cumsum(step[:-1]) > 0
-    los, his, kept = [], [], []
-    text = np.frombuffer(b.text, np.uint8)
-    for at, n in zip(b.starts.tolist(), b.lens.tolist(), strict=True):
-        m = gone[at : at + n]
-        if m.any():
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
-            los.append(edge[::2])
-            his.append(edge[1::2])
-            kept.append(text[at : at + n][~m].tobytes())
-        else:
-            los.append([])
-            his.append([])
-            kept.append(b.text[at : at + n])
     ints = pa.list_(pa.int64())
-    cols = [pa.array(b.doc, pa.int64(), mask=b.null), pa.array(b.lens), pa.array(los, ints), pa.array(his, ints), pa.array(kept, pa.binary())]
-    return pa.Table.from_arrays(cols, names=["doc_id", "n_bytes", "starts", "ends", "kept"])
+    for batch in batches:
+        for r in batch.to_pylist():
+            b = Block(r)
+            step = np.zeros(len(b.text) + 1, np.int32)
+            for x in b.answers:
+                row, first, last = (unpack(x[c], np.int64) for c in "abc")
+                np.add.at(step, b.starts[row] + first, 1)
+                np.add.at(step, b.starts[row] + last + WIDTH, -1)
+            gone = np.cumsum(step[:-1]) > 0
+            los, his, kept = [], [], []
+            text = np.frombuffer(b.text, np.uint8)
+            for at, n in zip(b.starts.tolist(), b.lens.tolist(), strict=True):
+                m = gone[at : at + n]
+                if m.any():
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
+                    los.append(edge[::2])
+                    his.append(edge[1::2])
+                    kept.append(text[at : at + n][~m].tobytes())
+                else:
+                    los.append([])
+                    his.append([])
+                    kept.append(b.text[at : at + n])
+            cols = [pa.array(b.doc, pa.int64(), mask=b.null), pa.array(b.lens), pa.array(los, ints), pa.array(his, ints), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "starts", "ends", "kept"])
 
 
 def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -408,25 +460,27 @@ def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Blocks of documents find their anchors and learn from ranges of the hash space which
     occur elsewhere. Suffixes at those are sorted in each block (its own repeats are marked
     at once and go no further, so copies are combined before the exchange), front-coded,
-    dealt by ranges of their anchors' hashes and merged. A suffix is sent with the bytes before it that its windows
-    hold, so the suffixes with an anchor's bytes, neighbours in the order, tell the first of
-    each window. A group larger than GROUP is handled in pieces, and the windows first in
-    theirs meet in a distributed minimum. Nothing is collected on the driver.
+    dealt by ranges of their anchors' hashes and merged; the merge's common prefixes tell
+    which windows are equal. A suffix is sent with the bytes before it that its windows
+    hold. Suffixes of a hot GRAM are dealt by their blocks instead, and the windows that are
+    first in a chunk of them meet in a distributed minimum. Texts are never shuffled: blocks
+    are bucketed where they are made and only answers come to them. Nothing is collected on
+    the driver.
     """
     small_batches(spark)
     stage = Stage(spark, "suffix")
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
-    ranges, tasks = int(max(1, -(-size // RANGE))), int(max(1, -(-size // MERGE)))
-    blocks = stage.cut(_blocks(docs))
-    twice = blocks.mapInArrow(_ask(ranges), _BLOCKS).groupBy("r").applyInArrow(_twice, _BLOCKS)
-    runs = stage.cut(blocks.unionByName(twice).groupBy("block").applyInArrow(_runs(tasks), _BLOCKS))
-    found = stage.cut(runs.filter("kind = 3").groupBy("r").applyInArrow(_merge, _BLOCKS))
-    marks = runs.filter("kind = 4").unionByName(found.filter("kind = 4"))
-    big = found.filter("kind = 5")
-    if not big.isEmpty():
-        w = big.mapInArrow(_windows, "d1 bigint, d2 bigint, doc bigint, pos bigint, block bigint, row bigint")
+    size = text_size(docs)
+    parts, ranges, tasks = parts_for(spark, size), int(max(1, -(-size // RANGE))), int(max(1, -(-size // MERGE)))
+    blocks = stage.bucketed(_blocks(docs), parts, "block")
+    flags = grouped(blocks.mapInArrow(_ask(ranges), _ASKED), ranges, ["r"], ["block"], _answer, _FLAGS)
+    runs = stage.cut(with_answers(blocks, flags, ["r", "flags"]).mapInArrow(_runs(tasks), _RUNS))
+    found = stage.cut(grouped(runs.filter(F.col("kind") == RUN), 2 * tasks, ["r"], ["block"], _merge(tasks), _RUNS))
+    marks = runs.filter(F.col("kind") == MARKS).unionByName(found.filter(F.col("kind") == MARKS))
+    firsts = found.filter(F.col("kind") == FIRSTS)
+    if not firsts.isEmpty():
+        w = firsts.mapInArrow(_windows, "d1 bigint, d2 bigint, doc bigint, pos bigint, block bigint, row bigint")
         start = F.struct("doc", "pos")
         low = w.groupBy("d1", "d2").agg(F.min(start).alias("low"))
         late = w.join(low, ["d1", "d2"]).filter(F.col("low") < start).select("block", "row", "pos")
-        marks = marks.unionByName(late.groupBy("block").applyInArrow(_as_marks, _BLOCKS))
-    return blocks.unionByName(marks).groupBy("block").applyInArrow(_cover, _SPANS)
+        marks = marks.unionByName(grouped(late, parts, ["block"], ["row", "pos"], _as_marks, _RUNS, most=CHUNK))
+    return with_answers(blocks, marks, ["a", "b", "c"]).mapInArrow(_cover, _SPANS)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; documents can be long, so a batch stays small.
 ARROW_ROWS = 512
-ARROW_BYTES = "32m"
+ARROW_BYTES = "16m"
 
 #: White space of every word definition, as a character class of both regex dialects.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -21,9 +23,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. A folder
+    of this machine serves only where driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='foliolith-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -48,6 +53,19 @@ class Stage:
         out._stage_path = path
         return out
 
+    def bucketed(self, df: DataFrame, n: int, key: str) -> DataFrame:
+        """``df`` written in n buckets of ``key``, each task's rows where they are: joins on the
+        key then shuffle only their other side. The entry in the catalog goes at once; the
+        files stay, as those of ``cut``."""
+        self.n += 1
+        name = f"{self.root.rsplit('/', 1)[1].replace('-', '_')}_{self.n}"
+        path = f"{self.root}/{self.n}"
+        df.write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        out._stage_path = path
+        return out
+
     def drop(self, df: DataFrame) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stage_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -67,6 +85,57 @@ def block_names():
     return (first + i for i in range(1 << 32))
 
 
+#: Text bytes that one task of a block operator reads, and most buckets of a table of blocks.
+PART, MOST_PARTS = 16_000_000, 50_000
+
+
+def text_size(docs: DataFrame) -> int:
+    """Bytes of all texts: one number."""
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
+
+
+def parts_for(spark: SparkSession, size: int) -> int:
+    """Tasks for ``size`` bytes of text; by the data, not by the session's shuffle partitions."""
+    return int(min(MOST_PARTS, max(-(-size // PART), 2 * spark.sparkContext.defaultParallelism)))
+
+
+def grouped(df: DataFrame, n: int, keys: list[str], order: list[str], fn, schema: str, most: int | None = None) -> DataFrame:
+    """``fn(rows)`` (rows as dicts, in ``order``; it yields record batches) for each group of
+    equal keys. Sorted tasks stream their groups, so a task holds one group, or ``most`` rows
+    of it where ``fn`` may see a group in pieces."""
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            for row in b.to_pylist():
+                now = tuple(row[c] for c in keys)
+                if held and (now != key or most and len(held) >= most):
+                    yield from fn(held)
+                    held = []
+                key = now
+                held.append(row)
+        if held:
+            yield from fn(held)
+
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def batch_of(schema: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of a schema of int, bigint and binary as a batch; columns that a row lacks are null."""
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    names = [(n, types[t]) for n, t in (c.split() for c in schema.split(", "))]
+    if rows:
+        cols = zip(*((*r, *[None] * (len(names) - len(r))) for r in rows), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, names, strict=True)], names=[n for n, _ in names])
+
+
+def with_answers(blocks: DataFrame, answers: DataFrame, cols: list[str]) -> DataFrame:
+    """Each block with ``answers``, an array of what was found for it (null: nothing). Blocks
+    are bucketed, so only answers are shuffled; those of a block are fewer than its bytes."""
+    by = answers.groupBy("block").agg(F.collect_list(F.struct(*cols)).alias("answers"))
+    return blocks.join(by.hint("shuffle_hash"), "block", "left")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")

@@ -55,7 +55,7 @@ def test_removed_bytes_match_all_windows(spark, tmp_path):
 
 
 def test_small_blocks_groups_and_steps(spark, tmp_path, monkeypatch):
-    for name, v in (("BLOCK", 9000), ("RANGE", 20000), ("MERGE", 15000), ("GROUP", 5), ("STEP", 1000)):
+    for name, v in (("BLOCK", 9000), ("RANGE", 20000), ("MERGE", 15000), ("HOT", 5), ("CHUNK", 40), ("STEP", 1000)):
         monkeypatch.setattr(suffix, name, v)
     check(spark, tmp_path, corpus())
 
