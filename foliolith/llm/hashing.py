@@ -8,7 +8,7 @@ import xxhash
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words that a task remembers at most before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 class WordHash(dict):

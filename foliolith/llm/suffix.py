@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliolith.llm.codec import bytes_text, pack, pack_sorted, slices, text_bytes, unpack, unpack_sorted
 from foliolith.llm.hashing import _STEP, mix
-from foliolith.llm.util import Stage, batch_of, block_names, grouped, parts_for, small_batches, text_size, with_answers
+from foliolith.llm.util import Stage, batch_of, block_names, grouped, parts_for, rows_of, small_batches, text_size, with_answers
 
 #: Length in bytes of the strings whose later copies go.
 WIDTH = 100
@@ -21,7 +21,7 @@ WIDTH = 100
 #: at the same place; only suffixes that start at anchors are sorted.
 GRAM = 32
 #: Text bytes of one block of documents, of a range of anchor hashes, and of a merge task.
-BLOCK = 6_000_000
+BLOCK = 4_000_000
 RANGE = 24_000_000
 MERGE = 12_000_000
 #: Window starts that one vectorised step handles.
@@ -142,11 +142,10 @@ def _ask(parts: int):
     """A block's anchor hashes and how often it has them, by range."""
 
     def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                keys = unpack_sorted(row["keys"])
-                n = np.bincount(unpack(row["which"], np.uint32), minlength=len(keys)).astype(np.uint32)
-                yield from batch_of(_ASKED, [(row["block"], r, pack_sorted(keys[i:j]), pack(n[i:j])) for r, i, j in slices(keys, parts)])
+        for row in rows_of(batches):
+            keys = unpack_sorted(row["keys"])
+            n = np.bincount(unpack(row["which"], np.uint32), minlength=len(keys)).astype(np.uint32)
+            yield from batch_of(_ASKED, [(row["block"], r, pack_sorted(keys[i:j]), pack(n[i:j])) for r, i, j in slices(keys, parts)])
 
     return run
 
@@ -362,25 +361,24 @@ def _runs(tasks: int):
         return [(RUN, part, block, *front_code(items[i:j])) for part, i, j in slices(heads, tasks)]
 
     def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                b, marks, best, items = Block(r), Marks(), {}, []
-                h, hot, at, left, span = b.hits(r)
-                row = np.searchsorted(b.starts, at, side="right") - 1
-                pos, heads = at - left - b.starts[row], h.astype(">u8").tobytes()
-                for q, (a, k, n, doc, p, i, w) in enumerate(zip(*(x.tolist() for x in (at, left, span, b.doc[row], pos, row, hot)), strict=True)):
-                    key = (heads[HEAD * q : HEAD * q + HEAD] + b.text[a : a - k + n + WIDTH], b.text[a - k : a])
-                    items.append((*key, doc, p, i, n, w))
-                    if key not in best or (doc, p) < best[key]:
-                        best[key] = (doc, p)
-                late = [(i, p, p + n) for s, x, doc, p, i, n, _ in items if (doc, p) > best[s, x]]
-                if late:
-                    marks.add(np.full(len(late), b.name), *zip(*late, strict=True))
-                first = [x for x in items if (x[2], x[3]) == best[x[0], x[1]]]
-                out = marks.rows()
-                for w in (False, True):
-                    out += coded(b.name, [x[:5] for x in first if x[6] == w], tasks * w)
-                yield from batch_of(_RUNS, out)
+        for r in rows_of(batches):
+            b, marks, best, items = Block(r), Marks(), {}, []
+            h, hot, at, left, span = b.hits(r)
+            row = np.searchsorted(b.starts, at, side="right") - 1
+            pos, heads = at - left - b.starts[row], h.astype(">u8").tobytes()
+            for q, (a, k, n, doc, p, i, w) in enumerate(zip(*(x.tolist() for x in (at, left, span, b.doc[row], pos, row, hot)), strict=True)):
+                key = (heads[HEAD * q : HEAD * q + HEAD] + b.text[a : a - k + n + WIDTH], b.text[a - k : a])
+                items.append((*key, doc, p, i, n, w))
+                if key not in best or (doc, p) < best[key]:
+                    best[key] = (doc, p)
+            late = [(i, p, p + n) for s, x, doc, p, i, n, _ in items if (doc, p) > best[s, x]]
+            if late:
+                marks.add(np.full(len(late), b.name), *zip(*late, strict=True))
+            first = [x for x in items if (x[2], x[3]) == best[x[0], x[1]]]
+            out = marks.rows()
+            for w in (False, True):
+                out += coded(b.name, [x[:5] for x in first if x[6] == w], tasks * w)
+            yield from batch_of(_RUNS, out)
 
     return run
 
@@ -423,30 +421,29 @@ _SPANS = "doc_id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint
 def _cover(batches):
     """Each document of a block with the byte spans that go and the bytes that stay."""
     ints = pa.list_(pa.int64())
-    for batch in batches:
-        for r in batch.to_pylist():
-            b = Block(r)
-            step = np.zeros(len(b.text) + 1, np.int32)
-            for x in b.answers:
-                row, first, last = (unpack(x[c], np.int64) for c in "abc")
-                np.add.at(step, b.starts[row] + first, 1)
-                np.add.at(step, b.starts[row] + last + WIDTH, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            los, his, kept = [], [], []
-            text = np.frombuffer(b.text, np.uint8)
-            for at, n in zip(b.starts.tolist(), b.lens.tolist(), strict=True):
-                m = gone[at : at + n]
-                if m.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
-                    los.append(edge[::2])
-                    his.append(edge[1::2])
-                    kept.append(text[at : at + n][~m].tobytes())
-                else:
-                    los.append([])
-                    his.append([])
-                    kept.append(b.text[at : at + n])
-            cols = [pa.array(b.doc, pa.int64(), mask=b.null), pa.array(b.lens), pa.array(los, ints), pa.array(his, ints), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "starts", "ends", "kept"])
+    for r in rows_of(batches):
+        b = Block(r)
+        step = np.zeros(len(b.text) + 1, np.int32)
+        for x in b.answers:
+            row, first, last = (unpack(x[c], np.int64) for c in "abc")
+            np.add.at(step, b.starts[row] + first, 1)
+            np.add.at(step, b.starts[row] + last + WIDTH, -1)
+        gone = np.cumsum(step[:-1], dtype=np.int32) > 0
+        los, his, kept = [], [], []
+        text = np.frombuffer(b.text, np.uint8)
+        for at, n in zip(b.starts.tolist(), b.lens.tolist(), strict=True):
+            m = gone[at : at + n]
+            if m.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
+                los.append(edge[::2])
+                his.append(edge[1::2])
+                kept.append(text[at : at + n][~m].tobytes())
+            else:
+                los.append([])
+                his.append([])
+                kept.append(b.text[at : at + n])
+        cols = [pa.array(b.doc, pa.int64(), mask=b.null), pa.array(b.lens), pa.array(los, ints), pa.array(his, ints), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "starts", "ends", "kept"])
 
 
 def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -473,7 +470,7 @@ def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     parts, ranges, tasks = parts_for(spark, size), int(max(1, -(-size // RANGE))), int(max(1, -(-size // MERGE)))
     blocks = stage.bucketed(_blocks(docs), parts, "block")
     flags = grouped(blocks.mapInArrow(_ask(ranges), _ASKED), ranges, ["r"], ["block"], _answer, _FLAGS)
-    runs = stage.cut(with_answers(blocks, flags, ["r", "flags"]).mapInArrow(_runs(tasks), _RUNS))
+    runs = stage.cut(with_answers(blocks, flags, ["r", "flags"], parts).mapInArrow(_runs(tasks), _RUNS))
     found = stage.cut(grouped(runs.filter(F.col("kind") == RUN), 2 * tasks, ["r"], ["block"], _merge(tasks), _RUNS))
     marks = runs.filter(F.col("kind") == MARKS).unionByName(found.filter(F.col("kind") == MARKS))
     firsts = found.filter(F.col("kind") == FIRSTS)
@@ -483,4 +480,4 @@ def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
         low = w.groupBy("d1", "d2").agg(F.min(start).alias("low"))
         late = w.join(low, ["d1", "d2"]).filter(F.col("low") < start).select("block", "row", "pos")
         marks = marks.unionByName(grouped(late, parts, ["block"], ["row", "pos"], _as_marks, _RUNS, most=CHUNK))
-    return with_answers(blocks, marks, ["a", "b", "c"]).mapInArrow(_cover, _SPANS)
+    return with_answers(blocks, marks, ["a", "b", "c"], parts).mapInArrow(_cover, _SPANS)

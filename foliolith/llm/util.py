@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; documents can be long, so a batch stays small.
 ARROW_ROWS = 512
-ARROW_BYTES = "16m"
+ARROW_BYTES = "8m"
 
 #: White space of every word definition, as a character class of both regex dialects.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -42,8 +42,12 @@ def small_batches(spark: SparkSession) -> None:
 class Stage:
     """Tables written to the shared folder to cut lineage; ``drop`` frees those no longer read."""
 
+    #: Folders of all stages of this session, for ``sweep``.
+    roots: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        Stage.roots.append(self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -67,8 +71,20 @@ class Stage:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stage_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, df._stage_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Removes the stage folders made after the first ``since``; for a caller whose results
+    are written and need them no more."""
+    for root in Stage.roots[since:]:
+        remove(spark, root)
+    del Stage.roots[since:]
 
 
 def let(value: Column, body) -> Column:
@@ -129,10 +145,17 @@ def batch_of(schema: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, names, strict=True)], names=[n for n, _ in names])
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, cols: list[str]) -> DataFrame:
+def rows_of(batches) -> Iterator[dict]:
+    """Rows one at a time: a row may hold a whole block."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def with_answers(blocks: DataFrame, answers: DataFrame, cols: list[str], n: int) -> DataFrame:
     """Each block with ``answers``, an array of what was found for it (null: nothing). Blocks
-    are bucketed, so only answers are shuffled; those of a block are fewer than its bytes."""
-    by = answers.groupBy("block").agg(F.collect_list(F.struct(*cols)).alias("answers"))
+    are in n buckets, so only answers are shuffled; those of a block are fewer than its bytes."""
+    by = answers.repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct(*cols)).alias("answers"))
     return blocks.join(by.hint("shuffle_hash"), "block", "left")
 
 

@@ -46,10 +46,39 @@ def test_scores_match_a_plain_model(spark, monkeypatch):
     assert np.allclose(w.sum(1), 1) and w[5][0] > 0
 
 
+def test_weights_match_plain_em_on_held_out_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 30_000)
+    monkeypatch.setattr(lm, "RANGE", 20_000)
+    seen = {}
+    real = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: seen.setdefault("w", real(*a)))
+    rows = [(i, t) for i, t in enumerate(texts()) if t and "\x1f" not in t]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lm.score(spark, df, F.col("doc_id") % 7 != 0, F.col("doc_id") % 3 == 0).count()
+    uni, bi, vocab = Counter(), Counter(), set()
+    for i, t in rows:
+        if i % 7:
+            vocab.update(tokens(t))
+        if i % 7 and i % 3:
+            uni.update(tokens(t))
+            bi.update(zip(["</s>", *tokens(t)], tokens(t)))
+    n, w = sum(uni.values()), np.full((lm.BUCKETS, 3), 1 / 3)
+    held = [p for i, t in rows if i % 7 and i % 3 == 0 for p in zip(["</s>", *tokens(t)], tokens(t))]
+    ps = [(int(lm.bucket(np.array([uni[u]]))[0]), bi[u, x] / uni[u] if uni[u] else 0, uni[x] / n, 1 / (len(vocab) + 1)) for u, x in held]
+    for _ in range(lm.EM_ROUNDS):
+        new = np.zeros((lm.BUCKETS, 3))
+        for b, *p in ps:
+            post = w[b] * p
+            new[b] += post / post.sum()
+        w = np.where(new.sum(1, keepdims=True) > 0, new / np.maximum(new.sum(1, keepdims=True), 1e-300), w)
+    used = sorted({b for b, *_ in ps})
+    assert len(used) > 4 and np.allclose(seen["w"][used][1:], w[used][1:], atol=0.02)
+
+
 def test_em_finds_the_better_estimate():
     # Contexts seen 65 times whose tokens are foreseen by the bigram, not by the unigram.
-    s = lambda x: int(round(lm.SCALE * math.log2(x)))
-    cells = np.array([(s(65) * 256 + s(2)) * 257 + 1 + s(60)])
+    s = lambda x: int(lm.code(np.array([x]))[0])
+    cells = np.array([(s(64) * 256 + s(2)) * 256 + s(60)])
     w = lm.fit(cells, np.array([1000.0]), 100000, 5000)
     assert w[lm.bucket(np.array([64]))[0]][0] > 0.95
 
