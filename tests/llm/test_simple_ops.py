@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -65,6 +67,48 @@ def test_pii_terms_and_sanitise(spark):
     assert pii.sanitise(spark, empty(spark)).count() == 0
 
 
+def brute_terms(rows, alpha, low, kind_low):
+    """Start and end of all disclosing terms by counting everything."""
+    base = {i: brute_base(t or "") for i, t in rows}
+    ents, terms, df = {}, {}, Counter()
+    for i, t in rows:
+        t = t or ""
+        df.update({m.lower() for m in re.findall(r"[^\W\d_]+", t)})
+        if base[i]:
+            blank = t
+            for _, a, b in base[i]:
+                blank = blank[:a] + " " * (b - a) + blank[b:]
+            norm = lambda k, x: x.lower() if k == "email" else x if k == "ip" else re.sub("[^0-9]", "", x)
+            ents[i] = {(k, norm(k, t[a:b])) for k, a, b in base[i]} | {k for k, _, _ in base[i]}
+            terms[i] = {m.lower() for m in re.findall(r"[^\W\d_]+", blank)}
+    ce, cet, n = Counter(e for v in ents.values() for e in v), Counter((e, w) for i in ents for e in ents[i] for w in terms[i]), len(rows)
+    bad = {(e, w) for (e, w), c in cet.items() if c >= (kind_low if isinstance(e, str) else low) and n > ce[e]
+           and math.log2(n * c / (ce[e] * df[w])) >= alpha * math.log2(n / ce[e]) - 1e-12}
+    clear = lambda i, m: all(b <= m.start() or m.end() <= a for _, a, b in base[i])
+    return {i: [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if i in ents and clear(i, m) and any((e, m[0].lower()) in bad for e in ents[i])] for i, t in rows if t}
+
+
+def test_pii_terms_match_plain_counts(spark):
+    rng = random.Random(3)
+    vocab = [f"{a}{b}" for a in "abcdefghijkl" for b in "mnopqrst"]
+    rows = [(0, None), (1, "")]
+    for i in range(2, 300):
+        w = [rng.choice(vocab) for _ in range(rng.randrange(4, 60))]
+        who = rng.randrange(60)
+        if i % 5 == 0:
+            w.insert(rng.randrange(len(w)), f"P{who % 7}@x.org")
+            w.insert(rng.randrange(len(w)), "Name" + "abcdefg"[who % 7])
+            w += ["reach"] * (rng.random() < 0.9)
+        if i % 7 == 0:
+            w.insert(rng.randrange(len(w)), "10.0.0.%d" % (who % 3))
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_terms(rows, pii.DISCLOSURE, pii.MIN_DOCS, pii.KIND_DOCS)
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["terms"]] for r in pii.all_spans(spark, df).collect()}
+    assert {i: v for i, v in got.items() if v} == {i: v for i, v in want.items() if v}
+    assert sum(map(len, got.values())) > 60
+
+
 def test_pii_handles_awkward_rows(spark):
     d = docs(spark, extra=True)
     assert pii.all_spans(spark, d).count() == d.count()
