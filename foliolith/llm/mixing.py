@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliolith.llm.util import let
+from foliolith.llm.util import Stage, let
 
 #: Above this mean, a Poisson draw is the sum of independent draws of smaller means,
 #: because exp(-mean) underflows.
@@ -15,6 +15,11 @@ TAIL = 200
 #: Default target: a source's share is in proportion to its document count to this power.
 FLATTEN = 0.5
 SEED = "mix-1"
+#: Sources up to which their rates are broadcast; beyond, documents meet them in a shuffle
+#: in which each source is dealt over SALT tasks.
+BROADCAST_SOURCES, SALT = 100_000, 64
+#: Bytes of rows that one task of the global shuffle takes.
+PART = 64_000_000
 
 
 def uniform(seed: Column) -> Column:
@@ -72,14 +77,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SE
     rerun gives the same rows; repeated rows of one doc_id get the same count. A null
     doc_id counts as the empty text. An empty input gives an empty result.
 
-    Sources are counted before any shuffle of rows, and the rates (one row a source) are
-    joined as the optimiser sees fit, so a source with a third of all rows is never
-    gathered; the only shuffle of whole documents is the global one, whose keys are
-    hashes and thus even.
+    Sources are counted before any shuffle of rows, and their rates (one row a source, a
+    checked number) broadcast, so a source with a third of all rows is never gathered; the
+    only shuffle of whole documents is the global one. Its keys are hashes: equal ranges of
+    them make even tasks, as many as the bytes of the rows ask for, without a sample.
     """
     names = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
     d = docs.select(*names)
-    r = rates(d, weights).withColumnRenamed("source", "__source")
+    spark = d.sparkSession
+    r = Stage(spark, "mix").cut(rates(d, weights)).withColumnRenamed("source", "__source")
     key = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     draw = F.aggregate(
         F.sequence(F.lit(1), F.col("__parts")),
@@ -90,8 +96,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SE
         ),
     )
     r = r.select("__source", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    out = d.join(r, F.col("source").eqNullSafe(F.col("__source")))
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    if r.count() <= BROADCAST_SOURCES:
+        out = d.join(F.broadcast(r), same)
+    else:
+        r = r.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        out = d.join(r, same & (F.pmod(F.xxhash64("doc_id"), F.lit(SALT)) == F.col("__salt")))
     out = out.withColumn("__n", draw).filter("__n > 0")
     out = out.select(*names, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("copy_no"))
     shuffle = F.md5(F.concat(key, F.lit("|s|"), F.col("copy_no").cast("string")))
-    return out.withColumn("shuffle_key", shuffle).sort("shuffle_key", "doc_id", "copy_no")
+    long = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in d.dtypes if t in ("string", "binary")]
+    size = d.agg(F.sum(sum(long, F.lit(8 * len(names))).cast("bigint"))).first()[0] or 0
+    n = int(max(-(-size // PART), spark.sparkContext.defaultParallelism))
+    place = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") * F.lit(n / 2.0**32)).cast("int")
+    return out.withColumn("shuffle_key", shuffle).repartitionById(n, place).sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
