@@ -17,7 +17,7 @@ from foliolith.llm.util import Stage, small_batches
 # Elements whose content is no text of a page, elements that are furniture
 # wherever they stand, elements that begin a new block, elements without content, and words
 # of class, id and role attributes that name furniture.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "canvas", "title", "math", "noframes", "textarea"}
+RAW = {"script", "style", "template", "iframe", "noframes", "textarea", "title"}
 FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
@@ -104,7 +104,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
                     if top == tag:
                         break
             continue
-        if tag in RAW:
+        if tag in RAW and not (tag == "title" and "svg" in stack):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue

@@ -15,10 +15,9 @@ from foliolith.llm.util import small_batches
 DIM = 1 << 14
 ORDER = 3
 #: Labelled rows that are drawn for each language, by a hash of their id; the fit sees
-#: this bounded sample, document frequencies all training rows.
+#: this bounded sample (as many as expected, give or take a few), document frequencies all
+#: training rows.
 SAMPLE = 600
-#: Languages that can be learned, the most frequent first; bounds the model.
-LANGUAGES = 500
 #: Of the sample, the part that sets the temperature.
 CALIBRATION = 0.2
 EPOCHS = 4
@@ -117,7 +116,7 @@ def train(docs: DataFrame, learn: Column) -> Model | None:
     text = F.col("text").cast("string")
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.coalesce(text, F.lit("")).rlike("\\p{L}"))
     rows = rows.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     if not known:
         return None
     languages = sorted(r[0] for r in known)
@@ -126,8 +125,8 @@ def train(docs: DataFrame, learn: Column) -> Model | None:
     u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.create_map(*[F.lit(x) for r in known for x in (r[0], min(1.0, SAMPLE / r[1]))])
     drawn = rows.withColumn("u", u).withColumn("rate", F.try_element_at(rate, F.col("lang"))).filter("u < rate")
-    # The draw holds about SAMPLE rows a language; repeated ids may exceed that, the limit not.
-    drawn = drawn.orderBy(F.col("u") / F.col("rate"), "doc_id", "lang").limit(2 * SAMPLE * len(languages))
+    # Rows that share an id are drawn together; one of them stays, so the draw is bounded.
+    drawn = drawn.groupBy("doc_id", "lang", (F.col("u") / F.col("rate")).alias("u")).agg(F.min("text").alias("text"))
 
     def run(batches):
         for b in batches:
@@ -139,8 +138,8 @@ def train(docs: DataFrame, learn: Column) -> Model | None:
                 value.append(x[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(value, pa.binary()), b.column(1), b.column(2)], names=["i", "x", "lang", "u"])
 
-    features = drawn.select("text", "lang", F.col("u") / F.col("rate")).mapInArrow(run, "i binary, x binary, lang string, u double")
-    data = [(np.frombuffer(r["i"], np.int32), np.frombuffer(r["x"], np.float32), languages.index(r["lang"]), r["u"]) for r in features.collect()]
+    features = drawn.select("text", "lang", "u").mapInArrow(run, "i binary, x binary, lang string, u double")
+    data = [(np.frombuffer(r["i"], np.int32), np.frombuffer(r["x"], np.float32), languages.index(r["lang"]), r["u"]) for r in sorted(features.collect(), key=lambda r: (r["u"], r["lang"], r["i"]))]
     back = [d for k, d in enumerate(data) if k % round(1 / CALIBRATION) == 1]
     w = ftrl([d[:3] for k, d in enumerate(data) if k % round(1 / CALIBRATION) != 1], len(languages))
     logits = np.array([x @ w[i] + w[-1] for i, x, _, _ in back]).reshape(-1, len(languages))
