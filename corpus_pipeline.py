@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from foliolith.llm import decontaminate, mixing, neardup, pii, quality
-from foliolith.llm.util import load, shared_dir
+from foliolith.llm.util import Stage, load, remove, shared_dir, sweep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +48,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each result but the last is written and read again."""
+    """The stages over ``documents``; each result but the last is written and read again, and
+    what made it is removed."""
     docs = load(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    root, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{root}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{root}/{name}")
+        made = len(Stage.roots)
+        out, path = stage(spark, docs, sf_dir), f"{root}/{name}"
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        sweep(spark, made)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
