@@ -67,16 +67,12 @@ def check_integrity(blobs: DataFrame) -> DataFrame:
 
 def issues_from_results(results: DataFrame) -> DataFrame:
     """One open issue for each failed or missing result."""
-    kind = F.when(F.col("severity") == "blocking", "high").when(F.col("severity") == "warning", "medium").otherwise("low")
-    return results.filter(F.col("status").isin("failed", "missing")).select("paper_id", F.col("id").alias("rule_id"), F.col("name").alias("title"), kind.alias("priority"), F.lit("open").alias("state"), "advice")
-
-
-def fan_out(events: DataFrame, members: DataFrame, readable: DataFrame, group: str) -> DataFrame:
-    """One notification for each event and active member of its group who may read the target,
-    but the actor."""
-    m = members.filter("status = 'active'").select(group, "user_id")
-    n = events.join(m, group).filter("user_id <> actor_id")
-    return n.join(readable, ["target_id", "user_id"], "left_semi")
+    known = F.col("severity").isin("blocking", "warning", "advisory")
+    text = F.concat(F.col("name"), F.lit(": "), F.coalesce(F.nullif("evidence", F.lit("")), F.lit("No evidence provided")))
+    return results.filter(F.col("status").isin("failed", "missing")).select(
+        "paper_id", F.col("id").alias("rule_id"), "category", F.col("name").alias("title"), text.alias("description"),
+        F.when(known, F.col("severity")).otherwise("warning").alias("severity"), "expected", "actual", "advice", F.lit("open").alias("state"),
+    )
 
 
 def copy_table(source: DataFrame, path: str) -> tuple[int, int]:
@@ -121,40 +117,6 @@ def keyset_page(df: DataFrame, order: list[str], size: int, after: tuple | None
     return df.orderBy(*[F.desc(c) for c in order]).limit(size + 1)
 
 
-def can_read(submissions: DataFrame, members: DataFrame, collaborators: DataFrame, assignments: DataFrame) -> DataFrame:
-    """(submission_id, user_id): chairs of the conference, the submitter, collaborators and
-    active reviewers. Submissions without a recorded submitter are for chairs only."""
-    chairs = submissions.join(members.filter("role = 'owner' and status = 'active'"), "conference_id").select("submission_id", "user_id")
-    owned = submissions.filter("submitter_id is not null")
-    own = owned.select("submission_id", F.col("submitter_id").alias("user_id"))
-    help_ = owned.join(collaborators, "submission_id").select("submission_id", "user_id")
-    review = owned.join(valid_assignments(assignments.join(submissions.select("submission_id", "conference_id"), "submission_id"), members), "submission_id").select("submission_id", F.col("reviewer_id").alias("user_id"))
-    return chairs.unionByName(own).unionByName(help_).unionByName(review).distinct()
-
-
-def valid_assignments(assignments: DataFrame, members: DataFrame) -> DataFrame:
-    """The latest active assignment of each submission and reviewer who is still a reviewer."""
-    m = members.filter("role in ('reviewer', 'owner') and status = 'active'").select("conference_id", F.col("user_id").alias("reviewer_id"))
-    a = assignments.filter("status = 'active'").join(m, ["conference_id", "reviewer_id"], "left_semi")
-    return latest(a, ["submission_id", "reviewer_id"], F.desc("assigned_at"))
-
-
-def conflict_free_chairs(members: DataFrame, authors: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """(submission_id, user_id) of ``members`` rows that are chairs, neither authors nor conflicted."""
-    chairs = members.filter("role = 'owner'")
-    return chairs.join(authors, ["submission_id", "user_id"], "left_anti").join(conflicts, ["submission_id", "user_id"], "left_anti").select("submission_id", "user_id")
-
-
-def visible_notifications(notifications: DataFrame, members: DataFrame, issues: DataFrame, readable: DataFrame) -> DataFrame:
-    """Notifications whose target (a conference, an issue's paper or a paper) the user may see."""
-    i = issues.select(F.col("issue_id").alias("related_id"), F.col("submission_id").alias("__issue"))
-    m = members.select(F.col("conference_id").alias("related_id"), "user_id", F.lit(True).alias("__member"))
-    r = readable.select(F.col("submission_id").alias("__sub"), "user_id", F.lit(True).alias("__read"))
-    n = notifications.join(i, "related_id", "left").join(m, ["related_id", "user_id"], "left")
-    n = n.withColumn("__sub", F.coalesce("__issue", "related_id")).join(r, ["__sub", "user_id"], "left")
-    return n.filter("__member or __read").select(*notifications.columns)
-
-
 def dangling(child: DataFrame, parent: DataFrame, key: str, ref: str) -> DataFrame:
     return child.filter(F.col(key).isNotNull()).join(parent.select(F.col(ref).alias(key)), key, "left_anti")
 
@@ -182,76 +144,7 @@ def visible_answers(answers: Column, visible: Column) -> Column:
     return F.map_filter(answers, lambda k, v: F.array_contains(visible, k))
 
 
-# Workflow. Allowed transitions of papers and conferences.
-
-PAPER_STATES = {
-    "draft": ("submitted", "withdrawn"), "submitted": ("under_review", "revision_requested", "withdrawn"), "under_review": ("revision_requested", "accepted", "rejected", "withdrawn"),
-    "revision_requested": ("submitted", "withdrawn"), "accepted": (), "rejected": (), "withdrawn": (),
-}
-CONFERENCE_STATES = {"draft": ("open", "archived"), "open": ("reviewing", "closed"), "reviewing": ("closed",), "closed": ("open", "archived"), "archived": ()}
-
-
-def transitions_frame(df: DataFrame, states: dict) -> DataFrame:
-    return df.sparkSession.createDataFrame([(a, b) for a, bs in states.items() for b in bs], "from_state string, to_state string")
-
-
-def invalid_transitions(events: DataFrame, keys: list[str], state: str, *order: Column, states: dict = PAPER_STATES) -> DataFrame:
-    """Steps from one state to a different one that the table doesn't allow."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    steps = events.withColumn("from_state", F.lag(state).over(w)).withColumn("to_state", F.col(state)).filter("from_state <> to_state")
-    return steps.join(transitions_frame(events, states), ["from_state", "to_state"], "left_anti")
-
-
-def window_open(now: Column, opens: Column, closes: Column, lifecycle: Column) -> Column:
-    return (lifecycle == "open") & F.coalesce(opens <= now, F.lit(True)) & F.coalesce(now < closes, F.lit(True))
-
-
-def gate(status: Column, required: Column) -> Column:
-    """Whether formatting lets a paper go on."""
-    return F.when(~F.coalesce(required, F.lit(False)), "open").when(status.isNull(), "not_checked").when(status.isin("passed", "passed_with_warnings"), "open").otherwise("blocked")
-
-
-def allowed_actions(papers: DataFrame, roles: DataFrame) -> DataFrame:
-    """Each viewer's next states: chairs take any transition, authors submit and withdraw."""
-    t = transitions_frame(papers, PAPER_STATES)
-    j = papers.join(t, papers["state"] == t["from_state"]).join(roles, "paper_id")
-    ok = (F.col("role") == "owner") | ((F.col("role") == "author") & F.col("to_state").isin("submitted", "withdrawn"))
-    return j.filter(ok).groupBy("paper_id", "user_id").agg(F.sort_array(F.collect_set("to_state")).alias("actions"))
-
-
-def answer_problems(answers: DataFrame, criteria: DataFrame) -> DataFrame:
-    """(review_id, criterion, problem): unknown, missing or out of bounds.
-    ``answers``: review_id, form_id, criterion, score; ``criteria``: form_id, criterion, required, least, most."""
-    reviews = answers.select("review_id", "form_id").distinct()
-    want = reviews.join(criteria, "form_id")
-    j = want.join(answers, ["review_id", "form_id", "criterion"], "full_outer")
-    problem = (
-        F.when(F.col("required").isNull(), "unknown").when(F.col("required") & F.col("score").isNull(), "missing")
-        .when((F.col("score") < F.col("least")) | (F.col("score") > F.col("most")), "out_of_bounds")
-    )
-    return j.select("review_id", "criterion", problem.alias("problem")).filter("problem is not null")
-
-
-def visible_reviews(reviews: DataFrame, viewers: DataFrame) -> DataFrame:
-    """(viewer_id, review_id): one's own, all for chairs, peers' once one has submitted, and
-    released ones for authors. ``viewers``: paper_id, viewer_id, role."""
-    j = reviews.join(viewers, "paper_id")
-    done = reviews.filter("submitted").select("paper_id", F.col("reviewer_id").alias("viewer_id")).distinct().withColumn("done", F.lit(True))
-    j = j.join(done, ["paper_id", "viewer_id"], "left")
-    ok = (F.col("reviewer_id") == F.col("viewer_id")) | (F.col("role") == "owner") | ((F.col("role") == "reviewer") & F.col("done") & F.col("submitted")) | ((F.col("role") == "author") & F.col("released"))
-    return j.filter(ok).select("viewer_id", "review_id").distinct()
-
-
-def review_progress(assignments: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Eligible, submitted and missing reviewers of each paper."""
-    s = reviews.filter("submitted").select("paper_id", "reviewer_id").distinct().withColumn("s", F.lit(True))
-    j = assignments.select("paper_id", "reviewer_id").distinct().join(s, ["paper_id", "reviewer_id"], "left")
-    return j.groupBy("paper_id").agg(F.count("*").alias("eligible"), F.count("s").alias("submitted"), F.count_if(F.col("s").isNull()).alias("missing"))
-
-
-def decidable(progress: DataFrame, minimum: Column) -> DataFrame:
-    return progress.withColumn("decidable", F.col("submitted") >= minimum)
-
+# Requests and time.
 
 def first_requests(uploads: DataFrame, keys: list[str], order: str, payload: str) -> DataFrame:
     """One upload of each request key, and whether a later one differs from it."""

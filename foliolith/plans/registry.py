@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliolith.plans import papers, workflow
+from foliolith.plans import papers, reviewing, workflow
 
-ALL = {**papers.QUERIES, **workflow.QUERIES}
+ALL = {**papers.QUERIES, **workflow.QUERIES, **reviewing.QUERIES}
 
 
 def queries():

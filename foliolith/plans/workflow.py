@@ -10,37 +10,13 @@ from foliolith.operators import relational as R
 from foliolith.session import table as t
 
 
-def submissions(s, sf):
-    o, c = t(s, sf, "orders"), t(s, sf, "customer")
-    o = o.join(c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("conference_id")), "o_custkey")
-    return o.select(F.col("o_orderkey").alias("submission_id"), "conference_id", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("submitter_id"))
-
-
 def members(s, sf):
     c = t(s, sf, "customer")
     role = F.when(F.col("c_custkey") % 50 == 0, "owner").when(F.col("c_custkey") % 5 == 0, "reviewer").otherwise("author")
-    return c.select(F.col("c_nationkey").alias("conference_id"), F.col("c_custkey").alias("user_id"), role.alias("role"), F.when(F.col("c_acctbal") > 0, "active").otherwise("suspended").alias("status"))
-
-
-def assignments(s, sf):
-    li = t(s, sf, "lineitem").filter("l_linenumber <= 2")
-    return li.select(F.col("l_orderkey").alias("submission_id"), ((F.col("l_partkey") % 100 + 1) * 5).alias("reviewer_id"), F.when(F.col("l_returnflag") == "R", "ended").otherwise("active").alias("status"), F.col("l_linenumber").alias("assigned_at"))
-
-
-_MODEL = """
-sub AS (SELECT o_orderkey AS submission_id, c_nationkey AS conference_id, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS submitter_id FROM orders JOIN customer ON o_custkey = c_custkey),
-mem AS (SELECT c_nationkey AS conference_id, c_custkey AS user_id, CASE WHEN c_custkey % 50 = 0 THEN 'owner' WHEN c_custkey % 5 = 0 THEN 'reviewer' ELSE 'author' END AS role, CASE WHEN c_acctbal > 0 THEN 'active' ELSE 'suspended' END AS status FROM customer),
-asg AS (SELECT l_orderkey AS submission_id, (l_partkey % 100 + 1) * 5 AS reviewer_id, CASE WHEN l_returnflag = 'R' THEN 'ended' ELSE 'active' END AS status, l_linenumber AS assigned_at FROM lineitem WHERE l_linenumber <= 2)"""
+    return c.select(F.col("c_nationkey").alias("conference_id"), F.col("c_custkey").alias("user_id"), role.alias("role"))
 
 
-def can_read(s, sf):
-    coll = t(s, sf, "lineitem").filter("l_linenumber = 3").select(F.col("l_orderkey").alias("submission_id"), F.col("l_suppkey").alias("user_id"))
-    return R.can_read(submissions(s, sf), members(s, sf), coll, assignments(s, sf)).groupBy("user_id").agg(F.count("*").alias("readable"))
-
-
-def valid_assignments(s, sf):
-    a = assignments(s, sf).groupBy("submission_id", "reviewer_id", "status").agg(F.max("assigned_at").alias("assigned_at"))
-    return R.valid_assignments(a.join(submissions(s, sf).select("submission_id", "conference_id"), "submission_id"), members(s, sf)).select("submission_id", "reviewer_id", "assigned_at")
+_MODEL = """mem AS (SELECT c_nationkey AS conference_id, c_custkey AS user_id, CASE WHEN c_custkey % 50 = 0 THEN 'owner' WHEN c_custkey % 5 = 0 THEN 'reviewer' ELSE 'author' END AS role FROM customer)"""
 
 
 def upsert(s, sf):
@@ -77,72 +53,12 @@ def second_page(s, sf):
     return page(s, sf, (at[0], at[1]))
 
 
-def transitions(s, sf):
-    st = F.get(F.array(*map(F.lit, R.PAPER_STATES)), (F.xxhash64("event_type") * 0 + F.length("event_type") % 7).cast("int"))
-    e = t(s, sf, "events").withColumn("state", st)
-    bad = R.invalid_transitions(e, ["user_id"], "state", F.col("ts"), F.col("event_id"))
-    return bad.groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
-
-
-_STATES = "(VALUES " + ", ".join(f"({i}, '{k}')" for i, k in enumerate(R.PAPER_STATES)) + ")"
-_ALLOWED = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, bs in R.PAPER_STATES.items() for b in bs) + ")"
-
-
-def notifications(s, sf):
-    n = t(s, sf, "events").select(F.col("event_id").alias("notification_id"), (F.col("event_id") % 1500 + 1).alias("user_id"), F.when(F.col("event_id") % 2 == 0, F.floor(F.col("event_id") / 7) % 25).otherwise(F.col("event_id") % 3000).alias("related_id"))
-    issues = t(s, sf, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") % 1500 + 1500).alias("issue_id"), F.col("l_orderkey").alias("submission_id"))
-    issues = R.latest(issues, ["issue_id"], F.col("submission_id"))
-    mem = members(s, sf).filter("status = 'active'").select("conference_id", "user_id")
-    read = submissions(s, sf).filter("submitter_id is not null").select("submission_id", F.col("submitter_id").alias("user_id")).distinct()
-    return R.visible_notifications(n, mem, issues, read).groupBy("user_id").agg(F.count("*").alias("visible"))
-
-
-def fan_out(s, sf):
-    e = t(s, sf, "orders").filter("o_orderkey % 20 = 0").join(t(s, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    e = e.select(F.col("o_orderkey").alias("target_id"), F.col("o_custkey").alias("actor_id"), F.col("c_nationkey").alias("conference_id"))
-    chairs = members(s, sf).filter("role = 'owner'").select("conference_id", "user_id")
-    readable = submissions(s, sf).join(chairs, "conference_id").select(F.col("submission_id").alias("target_id"), "user_id")
-    return R.fan_out(e, members(s, sf), readable, "conference_id").groupBy("target_id").agg(F.count("*").alias("sent"))
 
 
 def rate_limit(s, sf):
     return R.rate_limited(t(s, sf, "events"), ["user_id"], "ts", 3600, 2)
 
 
-def answers(s, sf):
-    a = t(s, sf, "lineitem").select(F.col("l_orderkey").alias("review_id"), (F.col("l_orderkey") % 3).alias("form_id"), F.col("l_linenumber").alias("criterion"), F.col("l_quantity").cast("int").alias("score"))
-    a = a.groupBy("review_id", "form_id", "criterion").agg(F.max("score").alias("score"))
-    c = s.range(1, 6).crossJoin(s.range(3).withColumnRenamed("id", "form_id")).select("form_id", F.col("id").cast("int").alias("criterion"), (F.col("id") <= 2).alias("required"), F.lit(5).alias("least"), F.lit(40).alias("most"))
-    return R.answer_problems(a, c).groupBy("criterion", "problem").agg(F.count("*").alias("n"))
-
-
-def reviews(s, sf):
-    li = t(s, sf, "lineitem").filter("l_linenumber <= 3")
-    a = li.select(F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("reviewer_id"))
-    r = li.select(F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("reviewer_id"), (F.col("l_returnflag") == "A").alias("submitted"))
-    return R.decidable(R.review_progress(a, r), F.lit(2)).select("paper_id", "eligible", "submitted", "missing", "decidable")
-
-
-def review_visibility(s, sf):
-    r = t(s, sf, "lineitem").filter("l_linenumber <= 3").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("review_id"), F.col("l_orderkey").alias("paper_id"), (F.col("l_suppkey") % 40).alias("reviewer_id"), (F.col("l_returnflag") == "A").alias("submitted"), (F.col("l_linestatus") == "O").alias("released"))
-    v = t(s, sf, "lineitem").filter("l_linenumber <= 4").select(F.col("l_orderkey").alias("paper_id"), (F.col("l_suppkey") % 40).alias("viewer_id"), F.when(F.col("l_suppkey") % 40 == 0, "owner").when(F.col("l_linenumber") == 4, "author").otherwise("reviewer").alias("role")).distinct()
-    return R.visible_reviews(r, v).groupBy("viewer_id").agg(F.count("*").alias("visible"))
-
-
-def actions(s, sf):
-    st = F.get(F.array(*map(F.lit, R.PAPER_STATES)), (F.col("o_orderkey") % 7).cast("int"))
-    p = t(s, sf, "orders").select(F.col("o_orderkey").alias("paper_id"), st.alias("state"))
-    roles = t(s, sf, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_custkey") % 3 == 0, "owner").otherwise("author").alias("role"))
-    return R.allowed_actions(p, roles).select("paper_id", "user_id", F.array_join("actions", ",").alias("actions"))
-
-
-def chairs(s, sf):
-    m = submissions(s, sf).filter("submission_id % 10 = 0").join(members(s, sf).filter("role = 'owner'"), "conference_id").select("submission_id", "user_id", "role")
-    a = submissions(s, sf).select("submission_id", F.col("submitter_id").alias("user_id"))
-    c = t(s, sf, "lineitem").select(F.col("l_orderkey").alias("submission_id"), (F.col("l_suppkey") * 50).alias("user_id"))
-    return R.conflict_free_chairs(m, a, c)
-
-
 def invitations(s, sf):
     e = t(s, sf, "events")
     last = F.lit("2024-01-15").cast("timestamp")
@@ -163,29 +79,16 @@ def threads(s, sf):
 
 
 QUERIES = {
-    "j13_can_read": (can_read, f"""WITH {_MODEL}, own AS (SELECT * FROM sub WHERE submitter_id IS NOT NULL),
-va AS (SELECT DISTINCT a.submission_id, reviewer_id FROM asg a JOIN own s USING (submission_id) JOIN mem m ON m.conference_id = s.conference_id AND m.user_id = reviewer_id WHERE a.status = 'active' AND m.status = 'active' AND m.role IN ('reviewer', 'owner')),
-r AS (SELECT submission_id, user_id FROM sub JOIN mem USING (conference_id) WHERE role = 'owner' AND status = 'active' UNION SELECT submission_id, submitter_id FROM own
- UNION SELECT submission_id, l_suppkey FROM own JOIN lineitem ON l_orderkey = submission_id WHERE l_linenumber = 3 UNION SELECT submission_id, reviewer_id FROM va)
-SELECT user_id, count(*) AS readable FROM r GROUP BY 1"""),
-    "j1_valid_assignments": (valid_assignments, f"WITH {_MODEL} SELECT a.submission_id, reviewer_id, max(assigned_at) AS assigned_at FROM asg a JOIN sub s USING (submission_id) JOIN mem m ON m.conference_id = s.conference_id AND m.user_id = reviewer_id WHERE a.status = 'active' AND m.status = 'active' AND m.role IN ('reviewer', 'owner') GROUP BY 1, 2"),
-    "j2_has_reviewer": (lambda s, sf: t(s, sf, "nation").join(members(s, sf).filter("role = 'reviewer' and status = 'active'"), F.col("n_nationkey") == F.col("conference_id"), "left_semi").select("n_nationkey"), f"WITH {_MODEL} SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT conference_id FROM mem WHERE role = 'reviewer' AND status = 'active')"),
-    "j3_actor_role": (lambda s, sf: submissions(s, sf).join(members(s, sf), (F.col("submitter_id") == F.col("user_id"))).groupBy("role").agg(F.count("*").alias("n")), f"WITH {_MODEL} SELECT role, count(*) AS n FROM sub JOIN mem ON submitter_id = user_id GROUP BY 1"),
     "j8_expression_join": (lambda s, sf: t(s, sf, "events").join(t(s, sf, "supplier").select((F.col("s_suppkey") * 3).alias("event_id"), F.col("s_nationkey").alias("via")), "event_id", "left").withColumn("k", F.coalesce("via", F.col("event_id") % 25)).join(t(s, sf, "nation"), F.col("k") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n")), "SELECT n_name, count(*) AS n FROM events e LEFT JOIN supplier s ON e.event_id = s.s_suppkey * 3 JOIN nation ON coalesce(s_nationkey, e.event_id % 25) = n_nationkey GROUP BY 1"),
     "j11_enrich_latest": (lambda s, sf: t(s, sf, "customer").join(R.latest(t(s, sf, "orders"), ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", "left").select("c_custkey", "o_orderkey"), "SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
-    "j12_visible_notifications": (notifications, f"""WITH {_MODEL}, n AS (SELECT event_id AS nid, event_id % 1500 + 1 AS user_id, CASE WHEN event_id % 2 = 0 THEN (event_id // 7) % 25 ELSE event_id % 3000 END AS rid FROM events), i AS (SELECT l_orderkey % 1500 + 1500 AS issue_id, min(l_orderkey) AS sid FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
-SELECT user_id, count(*) AS visible FROM n LEFT JOIN i ON rid = issue_id WHERE (rid, user_id) IN (SELECT (conference_id::BIGINT, user_id) FROM mem WHERE status = 'active') OR (coalesce(sid, rid), user_id) IN (SELECT (submission_id, submitter_id) FROM sub WHERE submitter_id IS NOT NULL) GROUP BY 1"""),
     "j14_dangling": (lambda s, sf: R.dangling(t(s, sf, "orders"), t(s, sf, "customer").filter("c_acctbal > 0"), "o_custkey", "c_custkey").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"),
-    "j16_free_chairs": (chairs, f"WITH {_MODEL} SELECT submission_id, user_id FROM sub JOIN mem USING (conference_id) WHERE submission_id % 10 = 0 AND role = 'owner' AND user_id IS DISTINCT FROM submitter_id AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = submission_id AND l_suppkey * 50 = user_id)"),
     "j17_duplicate_names": (lambda s, sf: t(s, sf, "part").alias("a").join(t(s, sf, "part").alias("b"), (F.lower("a.p_name") == F.lower("b.p_name")) & (F.col("a.p_partkey") != F.col("b.p_partkey")), "left_semi").select("p_partkey"), "SELECT p_partkey FROM part a WHERE EXISTS (SELECT 1 FROM part b WHERE lower(a.p_name) = lower(b.p_name) AND a.p_partkey <> b.p_partkey)"),
     "k1_upsert": (upsert, "WITH n AS (SELECT c_custkey * 2 AS k, CASE WHEN c_custkey % 2 = 0 THEN 99 END AS nk FROM customer WHERE c_custkey % 7 = 0) SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN k IS NULL THEN c_mktsegment ELSE 'NEW' END AS c_mktsegment, CASE WHEN k IS NULL THEN c_nationkey ELSE coalesce(nk, c_nationkey) END::INT AS c_nationkey FROM customer FULL JOIN n ON c_custkey = k"),
     "k4_insert_ignore": (lambda s, sf: R.insert_ignore(t(s, sf, "nation").filter("n_nationkey < 10").select("n_nationkey", "n_name"), t(s, sf, "nation").filter("n_nationkey > 5").select("n_nationkey", F.lower("n_name").alias("n_name")), ["n_nationkey"]), "SELECT n_nationkey, CASE WHEN n_nationkey < 10 THEN n_name ELSE lower(n_name) END AS n_name FROM nation"),
     "k5_sequence": (sequence, "WITH a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS r, count(*) FILTER (o_orderkey % 2 = 0) OVER (PARTITION BY o_custkey) AS e FROM orders) SELECT o_custkey, o_orderkey, (r + CASE WHEN o_orderkey % 2 = 1 THEN e ELSE 0 END)::BIGINT AS sequence FROM a"),
-    "k6_issues": (lambda s, sf: R.issues_from_results(t(s, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("id"), F.lit("n").alias("name"), F.when(F.col("l_returnflag") == "A", "passed").otherwise("failed").alias("status"), F.when(F.col("l_linestatus") == "O", "blocking").otherwise("warning").alias("severity"), F.lit("").alias("advice"))).groupBy("rule_id", "priority").agg(F.count("*").alias("n")), "SELECT l_linenumber AS rule_id, CASE WHEN l_linestatus = 'O' THEN 'high' ELSE 'medium' END AS priority, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1, 2"),
     "k7_delete": (lambda s, sf: R.delete(t(s, sf, "supplier"), t(s, sf, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").cast("int").alias("s_nationkey")), ["s_nationkey"]).select("s_suppkey", "s_name"), "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
     "k13_update": (lambda s, sf: R.update_where(t(s, sf, "orders").select("o_orderkey", "o_orderstatus"), F.col("o_orderkey") % 3 == 0, o_orderstatus=F.lit("X")), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders"),
     "k14_threads": (threads, "SELECT conv_id, count(*) FILTER (turn > 0 OR conv_id % 2 = 0) AS n, arg_max(role, turn) FILTER (turn > 0 OR conv_id % 2 = 0) AS last_author FROM conversations GROUP BY 1 HAVING n > 0"),
-    "k15_fan_out": (fan_out, f"WITH {_MODEL} SELECT o_orderkey AS target_id, count(*) AS sent FROM orders JOIN customer ON o_custkey = c_custkey JOIN mem ON conference_id = c_nationkey WHERE o_orderkey % 20 = 0 AND role = 'owner' AND status = 'active' AND user_id <> o_custkey GROUP BY 1"),
     "q2_search": (lambda s, sf: R.search(t(s, sf, "part"), "AL", "p_name", "p_type").select("p_partkey"), "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'al') OR contains(lower(p_type), 'al')"),
     "q4_filters": (lambda s, sf: R.where(t(s, sf, "orders"), o_orderstatus=["O", "F"], o_orderpriority=None, o_custkey=7).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_custkey = 7"),
     "q9_roles": (lambda s, sf: members(s, sf).filter(V.role_at_least(F.col("role"), "reviewer")).groupBy("conference_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "owner").alias("owners")), f"WITH {_MODEL} SELECT conference_id, count(*) AS n, count(*) FILTER (role = 'owner') AS owners FROM mem WHERE role IN ('owner', 'reviewer') GROUP BY 1"),
@@ -199,16 +102,6 @@ SELECT user_id, count(*) AS visible FROM n LEFT JOIN i ON rid = issue_id WHERE (
     "o6_second_page": (second_page, None),
     "o9_numbers": (lambda s, sf: R.numbered(t(s, sf, "orders"), ["o_custkey"], F.col("o_orderdate"), F.col("o_orderkey")).select("o_orderkey", F.col("number").cast("bigint").alias("number")), "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number FROM orders"),
     "a10_next_number": (lambda s, sf: t(s, sf, "customer").select(F.col("c_custkey").alias("o_custkey")).join(t(s, sf, "orders"), "o_custkey", "left").groupBy("o_custkey").agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_number")), "SELECT c_custkey AS o_custkey, coalesce(max(o_orderkey), 0) + 1 AS next_number FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
-    "a12_review_progress": (reviews, "WITH p AS (SELECT l_orderkey AS paper_id, l_suppkey, bool_or(l_returnflag = 'A') AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2) SELECT paper_id, count(*) AS eligible, count(*) FILTER (s) AS submitted, count(*) FILTER (NOT s) AS missing, count(*) FILTER (s) >= 2 AS decidable FROM p GROUP BY 1"),
-    "w1_invalid_transitions": (transitions, f"""WITH st(i, n) AS {_STATES}, ok(a, b) AS {_ALLOWED}, e AS (SELECT user_id, ts, event_id, n FROM events JOIN st ON length(event_type) % 7 = i),
-x AS (SELECT lag(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, n AS to_state FROM e) SELECT from_state, to_state, count(*) AS n FROM x WHERE from_state <> to_state AND (from_state, to_state) NOT IN (SELECT (a, b) FROM ok) GROUP BY 1, 2"""),
-    "w4_submission_window": (lambda s, sf: t(s, sf, "events").select(R.window_open(F.col("ts"), F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"), F.when(F.col("event_type") != "view", "open").otherwise("closed")).alias("open")).groupBy("open").agg(F.count("*").alias("n")), "SELECT event_type <> 'view' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AS open, count(*) AS n FROM events GROUP BY 1"),
-    "w6_allowed_actions": (actions, f"""WITH st(i, n) AS {_STATES}, ok(a, b) AS {_ALLOWED} SELECT o_orderkey AS paper_id, o_custkey AS user_id, string_agg(b, ',' ORDER BY b) AS actions FROM orders JOIN st ON o_orderkey % 7 = i JOIN ok ON a = n WHERE o_custkey % 3 = 0 OR b IN ('submitted', 'withdrawn') GROUP BY 1, 2"""),
-    "w7_answer_problems": (answers, """WITH a AS (SELECT l_orderkey AS r, l_linenumber AS c, max(l_quantity::INT) AS q FROM lineitem GROUP BY 1, 2), rv AS (SELECT DISTINCT r FROM a), w AS (SELECT r, c::INT AS c FROM rv, range(1, 6) g(c)),
-x AS (SELECT coalesce(w.c, a.c) AS criterion, CASE WHEN w.c IS NULL THEN 'unknown' WHEN w.c <= 2 AND a.q IS NULL THEN 'missing' WHEN a.q < 5 OR a.q > 40 THEN 'out_of_bounds' END AS problem FROM w FULL JOIN a ON w.r = a.r AND w.c = a.c) SELECT criterion::INT AS criterion, problem, count(*) AS n FROM x WHERE problem IS NOT NULL GROUP BY 1, 2"""),
-    "w8_review_visibility": (review_visibility, """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS rid, l_orderkey AS p, l_suppkey % 40 AS rv, l_returnflag = 'A' AS s, l_linestatus = 'O' AS rel FROM lineitem WHERE l_linenumber <= 3),
-v AS (SELECT DISTINCT l_orderkey AS p, l_suppkey % 40 AS u, CASE WHEN l_suppkey % 40 = 0 THEN 'owner' WHEN l_linenumber = 4 THEN 'author' ELSE 'reviewer' END AS role FROM lineitem WHERE l_linenumber <= 4)
-SELECT u AS viewer_id, count(*) AS visible FROM (SELECT DISTINCT u, rid FROM r JOIN v USING (p) WHERE rv = u OR role = 'owner' OR (role = 'author' AND rel) OR (role = 'reviewer' AND s AND EXISTS (SELECT 1 FROM r q WHERE q.p = p AND q.rv = u AND q.s AND q.p = r.p))) GROUP BY 1"""),
     "w11_first_requests": (first_requests, "SELECT o_custkey AS paper, o_orderpriority AS request_key, min(o_orderkey) AS o_orderkey, min(o_orderstatus) <> max(o_orderstatus) AS conflict FROM orders GROUP BY 1, 2"),
     "w12_invitations": (invitations, "SELECT CASE WHEN event_id % 4 = 0 THEN 'accepted' WHEN ts <= TIMESTAMP '2024-01-15' THEN 'expired' WHEN event_id % 3 <> 0 THEN 'invalidated' ELSE 'pending' END AS status, count(*) AS n FROM events GROUP BY 1"),
     "w13_rate_limit": (rate_limit, None),
