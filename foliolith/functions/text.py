@@ -1,7 +1,7 @@
 """Text functions over columns: section names, identity facts, counts. All stay in the JVM.
 
 Patterns are Unicode-aware ((?U)): word characters and borders mean what they mean in any
-language. ``ascii_only`` variants exist where SQL engines without that flag are compared.
+language.
 """
 
 from __future__ import annotations
@@ -49,12 +49,17 @@ REFERENCE_YEAR = r"\(?\b(?:19|20)\d{2}[a-z]?\b\)?"
 HEADING_NUMBER = r"^\s*(\d+(?:\.\d+)*)[.)]?\s+"
 REFERENCE_SPLIT = r"(?=\[\d{1,3}\])|(?=\(\d{1,3}\))|(?<=\.)\s+(?=[A-Z][a-z]+,?\s+[A-Z])"
 # Words that are no part of a person's name.
-NO_NAMES = (
-    "abstract introduction conclusion results methodology references keywords affiliation university department institute email "
-    "corresponding author authors google scholar orcid the and for with using based via from toward towards "
-    "state national technical polytechnic federal central royal public private science sciences technology engineering medicine "
-    "research advanced higher learning applied pure"
-).split()
+NO_NAMES = [
+    "abstract", "introduction", "conclusion", "results", "methodology", "references", "keywords", "affiliation", "university", "department",
+    "institute", "email", "corresponding", "author", "authors", "google", "scholar", "orcid", "the", "and", "for", "with", "using", "based",
+    "via", "from", "toward", "towards", "state", "national", "technical", "polytechnic", "federal", "central", "royal", "public", "private",
+    "science", "sciences", "technology", "engineering", "medicine", "research", "advanced", "higher", "learning", "applied", "pure",
+]
+# Endings of font names that tell a style.
+FONT_STYLES = (
+    "bolditalic", "italicbold", "boldoblique", "obliquebold", "semibold", "extralight", "psmt", "ps", "mt", "std", "pro",
+    "bold", "light", "book", "medium", "regular", "oblique", "italic",
+)
 SNIPPET = 400
 
 
@@ -180,8 +185,12 @@ def slug(text: Column) -> Column:
 
 
 def clean_font(name: Column) -> Column:
-    """A font's family: without subset prefix and style suffixes, camel case split, capitals."""
-    out = F.regexp_replace(name, "^[A-Z]{6}\\+", "")
-    for _ in range(4):
-        out = F.regexp_replace(out, "(?i)[-,\\s]*(bold|italic|oblique|regular|roman|medium|light|semibold|black|mt|ps|psmt)$", "")
-    return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(out, "(?<=[a-z])(?=[A-Z])", " "), "[-_]+", " ")))
+    """A font's family: without subset prefix, hyphens and all style endings (but what is
+    nothing else), camel case split, capitals where it has one case. Null without a name."""
+    styles = "|".join(FONT_STYLES)
+    base = F.regexp_replace(F.regexp_replace(name, "^.*\\+", ""), "[-_]+", "")
+    # A whole name that is one style stays; else every ending goes, down to one character.
+    bare = F.when(base.rlike(f"(?i)^(?:{styles})$"), base).otherwise(F.regexp_replace(base, f"(?i)(?<=.)(?:{styles})+$", ""))
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(bare, "(?<=[a-z])(?=[A-Z])", " "), "\\s+", " "))
+    one_case = (F.upper(spaced) != F.lower(spaced)) & ((spaced == F.upper(spaced)) | (spaced == F.lower(spaced)))
+    return F.when(spaced != "", F.when(one_case, title_case(spaced)).otherwise(spaced))

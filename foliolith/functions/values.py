@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 # What extensions mean, what Drive calls folders and documents, units, pages.
 FORMATS = {"pdf": "pdf", "tex": "latex", "latex": "latex", "ltx": "latex", "docx": "docx"}
 FOLDER, SHORTCUT, GOOGLE_DOC = (f"application/vnd.google-apps.{x}" for x in ("folder", "shortcut", "document"))
-POINTS = {"pt": 1.0, "bp": 72.27 / 72, "in": 72.27, "cm": 72.27 / 2.54, "mm": 72.27 / 25.4, "pc": 12.0, "em": 10.0, "ex": 4.3, "sp": 1 / 65536}
-PAGES = (("A4", 595.28, 841.89), ("Letter", 612.0, 792.0), ("Legal", 612.0, 1008.0), ("A5", 419.53, 595.28), ("A3", 841.89, 1190.55))
+POINTS = {
+    "pt": 1.0, "in": 72.0, "mm": 72.0 / 25.4, "cm": 72.0 / 2.54, "bp": 7200.0 / 7227.0, "pc": 12.0,
+    "dd": 1238.0 / 1157.0, "cc": 12.0 * 1238.0 / 1157.0,
+}
+PAGES = (
+    ("A5", 419.53, 595.28), ("A4", 595.28, 841.89), ("Letter", 612.0, 792.0), ("Legal", 612.0, 1008.0),
+    ("Tabloid", 792.0, 1224.0), ("Executive", 522.0, 756.0),
+)
 PAGE_TOLERANCE = 2.0
 ROLES = {"author": 1, "reviewer": 2, "owner": 3}
 
@@ -37,9 +43,7 @@ def sniff_format(content: Column, name: Column) -> Column:
     """The format by the first bytes, then by the extension, then by LaTeX commands."""
     head = F.substring(content, 1, 5)
     ext = F.coalesce(extension(name), F.lit(""))
-    text = F.expr("try_cast(decode(encode('', 'UTF-8'), 'UTF-8') as string)")  # placeholder for nulls
-    body = F.coalesce(F.call_function("try_to_binary", F.base64(content), F.lit("base64")).cast("string"), text)
-    latex = body.rlike(r"\\documentclass|\\begin\{document\}")
+    latex = content.cast("string").rlike(r"\\documentclass|\\begin\{document\}")
     return (
         F.when(head == F.to_binary(F.lit("%PDF-"), F.lit("utf-8")), "pdf")
         .when(F.substring(content, 1, 2) == F.to_binary(F.lit("PK"), F.lit("utf-8")), "docx")
@@ -67,10 +71,10 @@ def doc_id(url: Column) -> Column:
 
 
 def to_points(length: Column) -> Column:
-    """A LaTeX length such as 2.5cm in points, to three places."""
-    n = F.regexp_extract(length, r"^\s*(-?[0-9]*\.?[0-9]+)\s*([a-z]{2})", 1)
-    unit = F.regexp_extract(length, r"^\s*(-?[0-9]*\.?[0-9]+)\s*([a-z]{2})", 2)
-    return F.when(n != "", F.round(n.cast("double") * F.try_element_at(literal_map(POINTS), unit), 3))
+    """A LaTeX length such as 2.5cm in points, to three places; an unknown unit is a point."""
+    form = r"^\s*([+-]?[0-9]*\.?[0-9]+)\s*([a-zA-Z]*)\s*$"
+    n, unit = F.regexp_extract(length, form, 1), F.lower(F.regexp_extract(length, form, 2))
+    return F.when(n != "", F.round(n.cast("double") * F.coalesce(F.try_element_at(literal_map(POINTS), unit), F.lit(1.0)), 3))
 
 
 def emu_to_points(x: Column) -> Column:

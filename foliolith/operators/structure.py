@@ -93,8 +93,8 @@ def classify_blocks(blocks: DataFrame) -> DataFrame:
     formats = aggregate_formats(raw, ["doc_id", "flush"], F.lit(1), F.col("pos"))
     abstract = abstract.join(formats, ["doc_id", "flush"], "left").select("doc_id", "ord", F.lit("abstract").alias("type"), F.lit(None).cast("string").alias("name"), "text", "fmt")
     out = single.unionByName(authors).unionByName(abstract)
-    # Opaque to the pruning of nested fields, which otherwise breaks across these branches.
-    return out.withColumn("fmt", F.from_json(F.to_json("fmt"), FORMAT))
+    # Opaque to the pruning of nested fields, which loses attributes across these branches.
+    return out.withColumn("fmt", F.get(F.transform(F.array("fmt"), lambda x: x), F.lit(0)))
 
 
 def first_of(sections: DataFrame, kind: str, value: str = "text") -> Column:
@@ -129,14 +129,18 @@ def estimate_pages(sections: DataFrame, page: DataFrame, size: float = 10.0) ->
 
 
 # Layout of page geometry. ``spans``: doc_id, page, block, line, x0, y0, x1, y1, baseline,
-# text, size, font, bold, italic, page_width, page_height.
+# text, size, font, bold, italic, page_width, page_height. The most pages that
+# are read, the free band beside the middle, and what makes a page and a document two-column.
 
+MOST_PAGES = 60
 GAP = 12.0
+COLUMN_LINES, CROSSING, TWO_COLUMN_LINES, TWO_COLUMN_PART = 5, 0.25, 20, 0.6
+BLOCK = ["doc_id", "page", "block"]
 
 
 def text_lines(spans: DataFrame) -> DataFrame:
     """One row a line: its box, joined text, heaviest size (by characters) and flags."""
-    keys = ["doc_id", "page", "block", "line"]
+    keys = [*BLOCK, "line"]
     size = mode(spans, keys, "size", F.length("text"), F.col("x0"))
     parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), "")
     w = F.length("text")
@@ -145,80 +149,153 @@ def text_lines(spans: DataFrame) -> DataFrame:
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("baseline").alias("baseline"),
         F.trim(F.regexp_replace(parts, r"\s+", " ")).alias("text"), heavy("bold").alias("bold"), heavy("italic").alias("italic"),
         F.first("page_width").alias("page_width"), F.first("page_height").alias("page_height"),
+        F.min_by("font", "x0").alias("font"), F.bool_or("bold").alias("any_bold"),
     )
     return lines.join(size, keys)
 
 
-def columns_of(lines: DataFrame) -> DataFrame:
-    """(doc_id, columns): 2 if enough lines stand on pages with two columns of lines."""
+def page_layout(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, ...): the extents of each page's lines and of its two columns if it has them."""
     mid = F.col("page_width") / 2
-    left, right = F.col("x1") <= mid + GAP, F.col("x0") >= mid - GAP
-    page = lines.groupBy("doc_id", "page").agg(
-        F.count_if(left).alias("l"), F.count_if(right & ~left).alias("r"), F.count_if(~left & ~right).alias("cross"), F.count("*").alias("n"))
-    two = (F.col("l") >= 5) & (F.col("r") >= 5) & (F.col("cross") <= 0.25 * F.col("n"))
-    doc = page.groupBy("doc_id").agg(F.sum(F.when(two, F.col("n")).otherwise(0)).alias("two"), F.sum("n").alias("n"))
-    return doc.select("doc_id", F.when((F.col("two") >= 20) & (F.col("two") >= 0.6 * F.col("n")), 2).otherwise(1).alias("columns"))
+    left, right, cross = F.col("x1") <= mid - GAP, F.col("x0") >= mid + GAP, (F.col("x0") < mid) & (F.col("x1") > mid)
+    p = lines.groupBy("doc_id", "page").agg(
+        F.max("page_width").alias("width"), F.max("page_height").alias("height"), F.count("*").alias("n"),
+        F.count_if(left).alias("l"), F.count_if(right).alias("r"), F.count_if(cross).alias("c"),
+        *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"))],
+        F.min(F.when(left, F.col("x0"))).alias("lx0"), F.max(F.when(left, F.col("x1"))).alias("lx1"),
+        F.min(F.when(right, F.col("x0"))).alias("rx0"), F.max(F.when(right, F.col("x1"))).alias("rx1"), F.min(F.when(left | right, F.col("y0"))).alias("band_top"),
+    )
+    few = F.col("c") <= CROSSING * (F.col("l") + F.col("r") + F.col("c"))
+    return p.withColumn("two", (F.col("l") >= COLUMN_LINES) & (F.col("r") >= COLUMN_LINES) & few)
 
 
-def margins_of(lines: DataFrame) -> DataFrame:
-    """(doc_id, left, right, top, bottom): medians over pages of the free edges, 0 to 200."""
-    page = lines.groupBy("doc_id", "page").agg(
-        F.min("x0").alias("left"), (F.first("page_width") - F.max("x1")).alias("right"), F.min("y0").alias("top"), (F.first("page_height") - F.max("y1")).alias("bottom"))
-    clamp = lambda c: F.round(F.least(F.lit(200.0), F.greatest(F.lit(0.0), F.median(c))), 1).alias(c)
-    return page.groupBy("doc_id").agg(*[clamp(c) for c in ("left", "right", "top", "bottom")])
+def columns_of(lines: DataFrame) -> DataFrame:
+    """(doc_id, columns): 2 if enough lines stand in the columns of two-column pages."""
+    doc = page_layout(lines).groupBy("doc_id").agg(F.sum(F.when(F.col("two"), F.col("l") + F.col("r")).otherwise(0)).alias("two"), F.sum("n").alias("n"))
+    return doc.select("doc_id", F.when((F.col("two") >= TWO_COLUMN_LINES) & (F.col("two") / F.col("n") >= TWO_COLUMN_PART), 2).otherwise(1).alias("columns"))
 
 
-def column_region(lines: DataFrame, regions: DataFrame) -> DataFrame:
-    """Each line's region (doc_id, region, rx0, rx1): that which holds its centre, else the
-    nearest; regions are a few a document, so the join is by doc_id."""
-    centre = (F.col("x0") + F.col("x1")) / 2
-    gap = F.greatest(F.lit(0.0), F.col("rx0") - centre, centre - F.col("rx1"))
-    j = lines.join(regions, "doc_id").withColumn("gap", gap)
-    return j.groupBy("doc_id", "page", "block", "line").agg(F.min_by("region", F.struct("gap", "region")).alias("region"))
+def margins_of(lines: DataFrame) -> DataFrame:
+    """(doc_id, left, right, top, bottom): medians over pages of the lines' extents, against
+    the first page's size; 0 to 200."""
+    p = page_layout(lines).groupBy("doc_id").agg(*[F.median(c).alias(c) for c in ("x0", "x1", "y0", "y1")], F.min_by("width", "page").alias("w"), F.min_by("height", "page").alias("h"))
+    clamp = lambda c, name: F.round(F.least(F.lit(200.0), F.greatest(F.lit(0.0), c)), 1).alias(name)
+    return p.select("doc_id", clamp(F.col("x0"), "left"), clamp(F.col("w") - F.col("x1"), "right"), clamp(F.col("y0"), "top"), clamp(F.col("h") - F.col("y1"), "bottom"))
+
+
+def block_regions(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, block, rx0, rx1): the column that holds a block's centre, else the nearer
+    one; the whole band above the columns and on pages without two."""
+    b = lines.groupBy(*BLOCK).agg(F.max("y1").alias("by1"), F.avg((F.col("x0") + F.col("x1")) / 2).alias("centre"))
+    j = b.join(page_layout(lines).withColumnsRenamed({"rx0": "qx0", "rx1": "qx1"}), ["doc_id", "page"])
+    within = lambda lo, hi: F.col("centre").between(F.col(lo), F.col(hi))
+    away = lambda lo, hi: F.least(F.abs(F.col("centre") - F.col(lo)), F.abs(F.col("centre") - F.col(hi)))
+    left = within("lx0", "lx1") | (~within("qx0", "qx1") & (away("lx0", "lx1") <= away("qx0", "qx1")))
+    above = F.col("by1") <= F.col("band_top") - 2.0
+    pick = lambda all_, l, r, both: F.when(~F.col("two"), F.col(all_)).when(above, both).when(left, F.col(l)).otherwise(F.col(r))
+    return j.select(*BLOCK, pick("x0", "lx0", "qx0", F.least("lx0", "qx0")).alias("rx0"), pick("x1", "lx1", "qx1", F.greatest("lx1", "qx1")).alias("rx1"))
 
 
 def alignment_of(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, block, alignment) from the gaps to the block's column: rx0, rx1."""
-    l, r = F.col("x0") - F.col("rx0"), F.col("rx1") - F.col("x1")
-    last = F.row_number().over(Window.partitionBy("doc_id", "page", "block").orderBy(F.desc("line"))) == 1
-    x = lines.withColumn("l", l).withColumn("r", r).withColumn("last", last)
-    g = x.groupBy("doc_id", "page", "block").agg(
-        F.median("l").alias("l"), F.median(F.when(~F.col("last"), F.col("r"))).alias("r"), F.median("r").alias("r_all"),
-        F.bool_and(F.abs(F.col("l") - F.col("r")) <= 6).alias("even"), F.count("*").alias("n"))
+    """(doc_id, page, block, alignment) from the gaps to the block's column, rx0 to rx1; null
+    where the column is narrow or the gaps tell nothing."""
+    width, col = F.col("x1") - F.col("x0"), F.col("rx1") - F.col("rx0")
+    g = lines.groupBy(*BLOCK).agg(
+        F.max(col).alias("col"), F.median(F.col("x0") - F.col("rx0")).alias("l"), F.median(F.col("rx1") - F.col("x1")).alias("r"),
+        F.bool_and(F.abs((F.col("x0") + F.col("x1")) / 2 - (F.col("rx0") + F.col("rx1")) / 2) <= 10.0).alias("even"),
+        F.max(width).alias("widest"), F.median(width / col).alias("fill"), F.count("*").alias("n"),
+    )
     how = (
-        F.when(F.col("even") & (F.col("l") > 6), "center").when((F.col("n") > 1) & (F.col("l") <= 3) & (F.col("r") <= 3), "justified")
-        .when((F.col("l") > 6) & (F.col("r_all") <= 3), "right").otherwise("left")
+        F.when(F.col("col") < 30, None).when(F.col("even") & (F.col("widest") <= F.col("col") * 0.92), "center")
+        .when((F.col("l") <= 3) & (F.col("r") <= 3) & (F.col("n") >= 3) & (F.col("fill") > 0.85), "justified")
+        .when(F.col("l") <= 3, "left").when((F.col("r") <= 3) & (F.col("l") > 10), "right")
     )
-    return g.select("doc_id", "page", "block", how.alias("alignment"))
+    return g.select(*BLOCK, how.alias("alignment"))
 
 
 def line_spacing_of(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, block, line_spacing): median step of baselines over the median size."""
-    w = Window.partitionBy("doc_id", "page", "block").orderBy("baseline")
+    """(doc_id, page, block, line_spacing): median step of baselines over the median size,
+    within 0.5 and 4."""
+    w = Window.partitionBy(*BLOCK).orderBy("baseline")
     step = lines.withColumn("step", F.col("baseline") - F.lag("baseline").over(w))
-    g = step.groupBy("doc_id", "page", "block").agg(F.median(F.when(F.col("step") > 0, F.col("step"))).alias("step"), F.median("size").alias("size"))
-    x = F.round(F.col("step") / F.col("size"), 2)
-    return g.select("doc_id", "page", "block", F.when(x.between(0.5, 4), x).alias("line_spacing"))
-
-
-def first_indent_of(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, block, indent): how far the first line stands in from the others."""
-    first = F.row_number().over(Window.partitionBy("doc_id", "page", "block").orderBy("baseline")) == 1
-    x = lines.withColumn("first", first)
-    g = x.groupBy("doc_id", "page", "block").agg(F.max(F.when(F.col("first"), F.col("x0"))).alias("a"), F.min(F.when(~F.col("first"), F.col("x0"))).alias("b"))
-    return g.select("doc_id", "page", "block", F.round(F.greatest(F.lit(0.0), F.col("a") - F.col("b")), 1).alias("indent"))
-
-
-def split_headings(lines: DataFrame) -> DataFrame:
-    """One or two rows a block: leading heading-like lines (bold or larger than the
-    document's median size, short) apart from the text that follows."""
-    body = lines.groupBy("doc_id").agg(F.median("size").alias("body_size"))
-    w = Window.partitionBy("doc_id", "page", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    like = (F.length("text") <= 120) & (F.col("bold") | (F.col("size") > F.col("body_size") + 0.5))
-    x = lines.join(body, "doc_id").withColumn("plain", F.sum((~like).cast("int")).over(w))
-    x = x.withColumn("is_heading", F.col("plain") == 0)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda y: y["text"]), " ")
-    return x.groupBy("doc_id", "page", "block", "is_heading").agg(F.min("line").alias("line"), joined.alias("text"))
+    g = step.groupBy(*BLOCK).agg(F.median(F.when(F.col("step") > 0, F.col("step"))).alias("step"), F.median(F.when(F.col("size") > 0, F.col("size"))).alias("size"))
+    x = F.col("step") / F.col("size")
+    return g.select(*BLOCK, F.when((x > 0.5) & (x < 4), F.round(x, 2)).alias("line_spacing"))
+
+
+def first_indent_of(lines: DataFrame, alignment: DataFrame) -> DataFrame:
+    """(doc_id, page, block, indent): how far the first line of a left or justified block of
+    several lines stands in from the others, if by more than 3 points, else 0."""
+    first = F.row_number().over(Window.partitionBy(*BLOCK).orderBy("line", "x0")) == 1
+    g = lines.withColumn("first", first).groupBy(*BLOCK).agg(F.max(F.when(F.col("first"), F.col("x0"))).alias("a"), F.min(F.when(~F.col("first"), F.col("x0"))).alias("b"))
+    gap = F.col("a") - F.col("b")
+    fits = F.col("alignment").isin("left", "justified") & F.col("b").isNotNull()
+    return g.join(alignment, BLOCK).select(*BLOCK, F.when(fits, F.when(gap > 3, F.round(gap, 1)).otherwise(0.0)).alias("indent"))
+
+
+def heading_like(text: Column, bold: Column, size: Column, body_size: Column) -> Column:
+    """Short, few words, no end of a sentence, and bold or a fifth larger than the body."""
+    big = F.coalesce(size >= body_size * 1.2, F.lit(False))
+    return (F.length(text) <= 90) & (T.word_count(text) <= 12) & ~F.rtrim(text).rlike("[.,;]$") & (F.coalesce(bold, F.lit(False)) | big)
+
+
+def blocks_from_spans(spans: DataFrame) -> DataFrame:
+    """(doc_id, pos, text, fmt, heading_style): the blocks of the first MOST_PAGES pages, in
+    order, with the format that their characters tell. A first line that names a section is
+    a block of its own."""
+    spans = spans.filter(F.col("page") < MOST_PAGES)
+    lines = text_lines(spans)
+    body = lines.filter(T.word_count(F.col("text")) >= 12).filter("size > 0").groupBy("doc_id").agg(F.median("size").alias("body_size"))
+    weight = F.greatest(F.length("text"), F.lit(1))
+    clean = spans.withColumn("font", F.nullif(T.clean_font(F.col("font")), F.lit(""))).withColumn("size", F.round("size", 2))
+    at = F.struct("line", "x0")
+    heavy = lambda c: F.sum(F.when(F.col(c), weight).otherwise(0)) >= F.sum(F.when(F.col(c), 0).otherwise(weight))
+    flags = spans.groupBy(*BLOCK).agg(heavy("bold").alias("bold"), heavy("italic").alias("italic"))
+
+    def heaviest(c):
+        per = clean.filter(F.col(c).isNotNull()).groupBy(*BLOCK, c).agg(F.sum(weight).alias("w"), F.min(at).alias("o"))
+        best = Window.partitionBy(*BLOCK).orderBy(F.desc("w"), "o")
+        return per.withColumn("n", F.row_number().over(best)).filter("n = 1").select(*BLOCK, c)
+
+    regions = block_regions(lines)
+    lines = lines.join(regions, BLOCK).withColumn("first", F.row_number().over(Window.partitionBy(*BLOCK).orderBy("line")) == 1)
+    align = alignment_of(lines)
+    rest = alignment_of(lines.filter(~F.col("first"))).withColumnRenamed("alignment", "rest_alignment")
+    joined = lambda c: F.trim(F.regexp_replace(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("line", F.trim("text").alias("t"))))), lambda x: x["t"]), " "), r"\s+", " "))
+    head = lambda c: F.max(F.when(F.col("first"), F.col(c)))
+    b = lines.groupBy(*BLOCK).agg(
+        joined(F.lit(True)).alias("text"), joined(~F.col("first")).alias("rest"), head("text").alias("first_text"), head("font").alias("first_font"),
+        head("size").alias("first_size"), head("any_bold").alias("first_bold"), F.count("*").alias("n"),
+    )
+    for part in (flags, heaviest("font"), heaviest("size"), align, rest, line_spacing_of(lines), first_indent_of(lines, align)):
+        b = b.join(part, BLOCK, "left")
+    b = b.join(body, "doc_id", "left").filter("text <> ''")
+    bare = T.strip_numbering(F.trim("first_text"))
+    names = T.canonical_section(bare).isNotNull() | T.is_keywords_line(bare)
+    split = (F.col("n") > 1) & names & ~F.col("text").rlike("(?i)" + T.KEYWORDS)
+    style = heading_like(F.col("text"), F.col("bold"), F.col("size"), F.col("body_size"))
+    kinds = dict(x.split() for x in FORMAT.split(", "))
+    fmt = lambda **c: F.struct(*[c.get(x, F.lit(None)).cast(kinds[x]).alias(x) for x in ATTRIBUTES])
+    row = lambda part, text, f, st: F.struct(F.lit(part).alias("part"), text.alias("text"), f.alias("fmt"), st.alias("heading_style"))
+    col = F.col
+    whole = row(0, col("text"), fmt(font_family=col("font"), font_size_pt=col("size"), bold=col("bold"), italic=col("italic"), alignment=col("alignment"), line_spacing=col("line_spacing"), indent_first_line_pt=col("indent")), style)
+    top = row(0, F.trim("first_text"), fmt(font_family=T.clean_font(col("first_font")), font_size_pt=col("first_size"), bold=col("first_bold"), alignment=col("alignment")), style)
+    tail = row(1, col("rest"), fmt(font_family=col("font"), font_size_pt=col("size"), italic=col("italic"), alignment=col("rest_alignment"), line_spacing=col("line_spacing")), F.lit(False))
+    out = b.select(*BLOCK, F.explode(F.when(split, F.array(top, tail)).otherwise(F.array(whole))).alias("x")).select(*BLOCK, "x.*").filter("text <> ''")
+    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "block", "part")) - 1
+    return out.select("doc_id", pos.alias("pos"), "text", "fmt", "heading_style")
+
+
+def document_info(spans: DataFrame) -> DataFrame:
+    """(doc_id, width, height, label, orientation, columns, left, right, top, bottom,
+    page_count) of documents given as spans; the count is exact."""
+    first = spans.groupBy("doc_id").agg(F.min_by("page_width", "page").alias("width"), F.min_by("page_height", "page").alias("height"), (F.max("page") + 1).alias("page_count"))
+    lines = text_lines(spans.filter(F.col("page") < MOST_PAGES))
+    info = first.join(columns_of(lines), "doc_id", "left").join(margins_of(lines), "doc_id", "left")
+    return info.select(
+        "doc_id", F.round("width", 2).alias("width"), F.round("height", 2).alias("height"), V.page_label(F.col("width"), F.col("height")).alias("label"),
+        F.when(F.col("width") > F.col("height"), "landscape").otherwise("portrait").alias("orientation"), "columns", "left", "right", "top", "bottom", "page_count",
+    )
 
 
 def page_labels(pages: DataFrame) -> DataFrame:

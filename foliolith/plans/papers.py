@@ -98,7 +98,8 @@ def majority(spark, sf):
 
 
 def page_labels(spark, sf):
-    p = t(spark, sf, "part").select("p_partkey", (F.lit(590.0) + F.col("p_size")).alias("w"), (F.lit(780.0) + F.col("p_size") * 1.5).alias("h"))
+    base = lambda *v: F.get(F.array(*map(F.lit, v)), (F.col("p_partkey") % 3).cast("int"))
+    p = t(spark, sf, "part").select("p_partkey", (base(590.0, 500.0, 410.0) + F.col("p_size")).alias("w"), (base(780.0, 720.0, 580.0) + F.col("p_size") * 1.5).alias("h"))
     return p.select("p_partkey", V.page_label(F.col("w"), F.col("h")).alias("label"))
 
 
@@ -111,12 +112,38 @@ def page_estimate(spark, sf):
 def geometry(spark, sf):
     """Line items as text lines: an order is a document, its parts lie on a page."""
     return t(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") % 500).alias("doc_id"), (F.col("l_orderkey") % 5).cast("int").alias("page"), F.lit(0).alias("block"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"),
+        (F.col("l_orderkey") % 500).alias("doc_id"), (F.col("l_orderkey") % 5).cast("int").alias("page"), (F.col("l_suppkey") % 7).cast("int").alias("block"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"),
         (F.col("l_quantity") * 5).alias("x0"), (F.col("l_quantity") * 5 + 200).alias("x1"), (F.col("l_partkey") % 700 + 30).cast("double").alias("y0"), (F.col("l_partkey") % 700 + 42).cast("double").alias("y1"),
         (F.col("l_partkey") % 700 + 40).cast("double").alias("baseline"), F.lit("x").alias("text"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
 
 
-_GEO = """g AS (SELECT l_orderkey % 500 AS doc_id, l_orderkey % 5 AS page, l_quantity * 5 AS x0, l_quantity * 5 + 200 AS x1, (l_partkey % 700 + 30)::DOUBLE AS y0, (l_partkey % 700 + 42)::DOUBLE AS y1 FROM lineitem)"""
+_GEO = """g AS (SELECT l_orderkey % 500 AS doc_id, (l_orderkey % 5)::INT AS page, (l_suppkey % 7)::INT AS block, l_orderkey * 10 + l_linenumber AS line, l_quantity * 5 AS x0, l_quantity * 5 + 200 AS x1,
+  (l_partkey % 700 + 30)::DOUBLE AS y0, (l_partkey % 700 + 42)::DOUBLE AS y1, (l_partkey % 700 + 40)::DOUBLE AS baseline FROM lineitem),
+p AS (SELECT doc_id, page, count(*) AS n, count(*) FILTER (x1 <= 294) AS l, count(*) FILTER (x0 >= 318) AS r, count(*) FILTER (x0 < 306 AND x1 > 306) AS c, min(x0) AS a0, max(x1) AS a1, min(y0) AS b0, max(y1) AS b1,
+  min(x0) FILTER (x1 <= 294) AS l0, max(x1) FILTER (x1 <= 294) AS l1, min(x0) FILTER (x0 >= 318) AS r0, max(x1) FILTER (x0 >= 318) AS r1, min(y0) FILTER (x1 <= 294 OR x0 >= 318) AS top FROM g GROUP BY 1, 2),
+q AS (SELECT *, l >= 5 AND r >= 5 AND c <= 0.25 * (l + r + c) AS two FROM p)"""
+
+
+def alignments(spark, sf):
+    return structure.alignment_of(geometry(spark, sf).withColumn("rx0", F.lit(5.0)).withColumn("rx1", F.lit(330.0)))
+
+
+def indents(spark, sf):
+    return structure.first_indent_of(geometry(spark, sf), alignments(spark, sf))
+
+
+_ALIGN = f"""{_GEO}, s AS (SELECT doc_id, page, block, median(x0 - 5) AS l, median(330 - x1) AS r, bool_and(abs((x0 + x1) / 2 - 167.5) <= 10) AS even, median((x1 - x0) / 325) AS fill, max(x1 - x0) AS w, count(*) AS n FROM g GROUP BY 1, 2, 3),
+al AS (SELECT doc_id, page, block, CASE WHEN even AND w <= 325 * 0.92 THEN 'center' WHEN l <= 3 AND r <= 3 AND n >= 3 AND fill > 0.85 THEN 'justified' WHEN l <= 3 THEN 'left' WHEN r <= 3 AND l > 10 THEN 'right' END AS alignment FROM s)"""
+
+
+def font_names(spark, sf):
+    names = F.array(*map(F.lit, ["ABCDEF+TimesNewRomanPS-BoldMT", "Arial-BoldItalicMT", "HELVETICA", "BookBold", "Minion-Pro_Medium", "Bold"]))
+    return t(spark, sf, "part").select("p_partkey", T.clean_font(F.get(names, (F.col("p_partkey") % 6).cast("int"))).alias("family"))
+
+
+def lengths(spark, sf):
+    units = F.array(*map(F.lit, ["pt", "in", "MM", " cm ", "bp", "cc"]))
+    return t(spark, sf, "part").select("p_partkey", V.to_points(F.concat(F.col("p_size").cast("string"), F.get(units, (F.col("p_partkey") % 6).cast("int")))).alias("points"))
 
 
 def identity(spark, sf):
@@ -282,12 +309,22 @@ QUERIES = {
     "d3_caps_headings": (caps_headings, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(x) <= 90 AND x = upper(x) AND x <> lower(x)) AS n_caps FROM l WHERE trim(x) <> '' GROUP BY 1"),
     "d7_weighted_mode": (weighted_mode, "WITH g AS (SELECT l_suppkey, l_returnflag || l_linestatus AS flag, sum(l_linenumber) AS w, min(l_orderkey * 10 + l_linenumber) AS o FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, arg_max(flag, (w, -o)) AS flag FROM g GROUP BY 1"),
     "d7_majority": (majority, "SELECT l_suppkey, sum(CASE WHEN l_linestatus = 'O' THEN l_linenumber ELSE -l_linenumber END) >= 0 AS open FROM lineitem GROUP BY 1"),
-    "d9_page_label": (page_labels, """WITH s(ord, name, w, h) AS (VALUES (1, 'A4', 595.28, 841.89), (2, 'Letter', 612.0, 792.0), (3, 'Legal', 612.0, 1008.0), (4, 'A5', 419.53, 595.28), (5, 'A3', 841.89, 1190.55)),
-p AS (SELECT p_partkey, 590.0::DOUBLE + p_size AS w, 780.0::DOUBLE + p_size * 1.5 AS h FROM part)
+    "d9_page_label": (page_labels, """WITH s(ord, name, w, h) AS (VALUES (1, 'A5', 419.53, 595.28), (2, 'A4', 595.28, 841.89), (3, 'Letter', 612.0, 792.0), (4, 'Legal', 612.0, 1008.0), (5, 'Tabloid', 792.0, 1224.0), (6, 'Executive', 522.0, 756.0)),
+p AS (SELECT p_partkey, (CASE p_partkey % 3 WHEN 0 THEN 590.0 WHEN 1 THEN 500.0 ELSE 410.0 END)::DOUBLE + p_size AS w, (CASE p_partkey % 3 WHEN 0 THEN 780.0 WHEN 1 THEN 720.0 ELSE 580.0 END)::DOUBLE + p_size * 1.5 AS h FROM part)
 SELECT p_partkey, arg_min(name, ord) AS label FROM p LEFT JOIN s ON (abs(p.w - s.w) <= 2 AND abs(p.h - s.h) <= 2) OR (abs(p.w - s.h) <= 2 AND abs(p.h - s.w) <= 2) GROUP BY 1"""),
     "d11_page_estimate": (page_estimate, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT doc_id, greatest(1, ceil(sum(greatest(1, ceil(length(x) / 90.0))) / (698.0 / 12.0)))::INT AS pages FROM l WHERE trim(x) <> '' GROUP BY 1"),
-    "d12_columns": (lambda s, sf: structure.columns_of(geometry(s, sf)), f"WITH {_GEO}, p AS (SELECT doc_id, page, count(*) FILTER (x1 <= 318) AS l, count(*) FILTER (x1 > 318 AND x0 >= 294) AS r, count(*) FILTER (x1 > 318 AND x0 < 294) AS c, count(*) AS n FROM g GROUP BY 1, 2) SELECT doc_id, CASE WHEN sum(CASE WHEN l >= 5 AND r >= 5 AND c <= 0.25 * n THEN n ELSE 0 END) >= greatest(20, 0.6 * sum(n)) THEN 2 ELSE 1 END AS columns FROM p GROUP BY 1"),
-    "d13_margins": (lambda s, sf: structure.margins_of(geometry(s, sf)), f"WITH {_GEO}, p AS (SELECT doc_id, page, min(x0) AS l, 612 - max(x1) AS r, min(y0) AS t, 792 - max(y1) AS b FROM g GROUP BY 1, 2) SELECT doc_id, round(least(200, greatest(0, median(l))), 1) AS left, round(least(200, greatest(0, median(r))), 1) AS right, round(least(200, greatest(0, median(t))), 1) AS top, round(least(200, greatest(0, median(b))), 1) AS bottom FROM p GROUP BY 1"),
+    "d12_columns": (lambda s, sf: structure.columns_of(geometry(s, sf)), f"WITH {_GEO} SELECT doc_id, CASE WHEN sum(CASE WHEN two THEN l + r ELSE 0 END) >= 20 AND sum(CASE WHEN two THEN l + r ELSE 0 END) / sum(n) >= 0.6 THEN 2 ELSE 1 END AS columns FROM q GROUP BY 1"),
+    "d13_margins": (lambda s, sf: structure.margins_of(geometry(s, sf)), f"WITH {_GEO} SELECT doc_id, round(least(200, greatest(0, median(a0))), 1) AS left, round(least(200, greatest(0, 612 - median(a1))), 1) AS right, round(least(200, greatest(0, median(b0))), 1) AS top, round(least(200, greatest(0, 792 - median(b1))), 1) AS bottom FROM p GROUP BY 1"),
+    "d14_regions": (lambda s, sf: structure.block_regions(geometry(s, sf)), f"""WITH {_GEO}, b AS (SELECT doc_id, page, block, max(y1) AS by1, avg((x0 + x1) / 2) AS m FROM g GROUP BY 1, 2, 3),
+x AS (SELECT *, CASE WHEN NOT two THEN 'all' WHEN by1 <= top - 2 THEN 'both' WHEN m BETWEEN l0 AND l1 THEN 'left' WHEN m BETWEEN r0 AND r1 THEN 'right' WHEN least(abs(m - l0), abs(m - l1)) <= least(abs(m - r0), abs(m - r1)) THEN 'left' ELSE 'right' END AS w FROM b JOIN q USING (doc_id, page))
+SELECT doc_id, page, block, CASE w WHEN 'all' THEN a0 WHEN 'both' THEN least(l0, r0) WHEN 'left' THEN l0 ELSE r0 END AS rx0, CASE w WHEN 'all' THEN a1 WHEN 'both' THEN greatest(l1, r1) WHEN 'left' THEN l1 ELSE r1 END AS rx1 FROM x"""),
+    "d15_alignment": (alignments, f"WITH {_ALIGN} SELECT * FROM al"),
+    "d16_line_spacing": (lambda s, sf: structure.line_spacing_of(geometry(s, sf)), f"""WITH {_GEO}, d AS (SELECT *, baseline - lag(baseline) OVER (PARTITION BY doc_id, page, block ORDER BY baseline) AS st FROM g), r AS (SELECT doc_id, page, block, median(st) FILTER (st > 0) / 10 AS x FROM d GROUP BY 1, 2, 3)
+SELECT doc_id, page, block, CASE WHEN x > 0.5 AND x < 4 THEN round(x, 2) END AS line_spacing FROM r"""),
+    "d17_first_indent": (indents, f"""WITH {_ALIGN}, z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, block ORDER BY line, x0) = 1 AS f FROM g), y AS (SELECT doc_id, page, block, max(x0) FILTER (f) - min(x0) FILTER (NOT f) AS d FROM z GROUP BY 1, 2, 3)
+SELECT doc_id, page, block, CASE WHEN alignment IN ('left', 'justified') AND d IS NOT NULL THEN CASE WHEN d > 3 THEN round(d, 1) ELSE 0 END END AS indent FROM y JOIN al USING (doc_id, page, block)"""),
+    "d19_font_names": (font_names, "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Times New Roman' WHEN 1 THEN 'Arial' WHEN 2 THEN 'Helvetica' WHEN 3 THEN 'Book' WHEN 4 THEN 'Minion' ELSE 'Bold' END AS family FROM part"),
+    "d10_lengths": (lengths, "SELECT p_partkey, round(p_size * CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 72 WHEN 2 THEN 72 / 25.4 WHEN 3 THEN 72 / 2.54 WHEN 4 THEN 7200.0::DOUBLE / 7227 ELSE 12 * 1238.0::DOUBLE / 1157 END, 3)::DOUBLE AS points FROM part"),
     "f1_identity": (identity, f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{ASCII_EMAIL}'))), ',') AS emails, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{ASCII_ID}'))), ',') AS orcids, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> ''))::INT AS words FROM documents"),
     "f13_figures": (figure_counts, "SELECT p_partkey, greatest(p_size, p_partkey % 40)::INT AS figures, (p_size % 7)::INT AS tables, 1 AS self_citations FROM part"),
     "d1_heading_sections": (heading_sections, "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'Introduction' WHEN 1 THEN 'Methodology' WHEN 2 THEN 'Abstract' WHEN 3 THEN 'Results' WHEN 4 THEN 'Conclusion' WHEN 5 THEN 'References' END AS section, p_partkey % 8 = 7 AS keywords FROM part"),

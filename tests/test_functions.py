@@ -42,11 +42,18 @@ def test_identity_facts(spark):
     assert one(spark, T.word_count(F.col("t")), t="") == 0 and one(spark, T.word_count(F.col("t")), t=" a  b ") == 2
 
 
+@pytest.mark.parametrize("name,want", [
+    ("ABCDEF+TimesNewRomanPS-BoldMT", "Times New Roman"), ("Arial-BoldItalicMT", "Arial"), ("HELVETICA", "Helvetica"), ("BoldItalic", "Bold Italic"), ("BookBold", "Book"), ("", None), ("Garamond-Pro_Medium", "Garamond"),
+])
+def test_font_families(spark, name, want):
+    assert one(spark, T.clean_font(F.col("n")), n=name) == want
+
+
 def test_values(spark):
     assert one(spark, V.percent(F.lit(5), F.lit(8), 100)) == 62 and one(spark, V.percent(F.lit(0), F.lit(0), 100)) == 100
     assert one(spark, V.format_of(F.col("n")), n="a.b.TEX") == "latex" and one(spark, V.format_of(F.col("n")), n="none") is None
-    assert one(spark, V.page_label(F.lit(842.0), F.lit(595.0))) == "A4" and one(spark, V.page_label(F.lit(100.0), F.lit(100.0))) is None
-    assert one(spark, V.to_points(F.col("x")), x="1in") == 72.27 and one(spark, V.to_points(F.col("x")), x="wide") is None
+    assert one(spark, V.page_label(F.lit(842.0), F.lit(595.0))) == "A4" and one(spark, V.page_label(F.lit(523.0), F.lit(756.0))) == "Executive" and one(spark, V.page_label(F.lit(100.0), F.lit(100.0))) is None
+    assert one(spark, V.to_points(F.col("x")), x="1in") == 72.0 and one(spark, V.to_points(F.col("x")), x="2.5cm") == 70.866 and one(spark, V.to_points(F.col("x")), x="3qq") == 3.0 and one(spark, V.to_points(F.col("x")), x="wide") is None
     assert one(spark, V.folder_id(F.col("u")), u="https://drive.example/drive/folders/abcDEF_123?x=1") == "abcDEF_123"
     assert one(spark, V.doc_id(F.col("u")), u="https://docs.example/document/d/1aB-c/edit") == "1aB-c" and one(spark, V.doc_id(F.col("u")), u="short") is None
     cursor = one(spark, V.encode_cursor(user=F.lit("u"), at=F.lit(3)))

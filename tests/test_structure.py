@@ -46,7 +46,7 @@ def lines(spark, rows):
 
 
 def test_columns_and_margins(spark):
-    two = [(1, 1, 0, i, 50.0, 290.0, 50.0 + 12 * i, "left", 10.0, False) for i in range(15)] + [(1, 1, 1, i, 310.0, 550.0, 50.0 + 12 * i, "right", 10.0, False) for i in range(15)]
+    two = [(1, 1, 0, i, 50.0, 288.0, 50.0 + 12 * i, "left", 10.0, False) for i in range(15)] + [(1, 1, 1, i, 312.0, 550.0, 50.0 + 12 * i, "right", 10.0, False) for i in range(15)]
     one = [(2, 1, 0, i, 50.0, 550.0, 50.0 + 12 * i, "wide", 10.0, False) for i in range(30)]
     x = lines(spark, two + one)
     assert {r["doc_id"]: r["columns"] for r in structure.columns_of(x).collect()} == {1: 2, 2: 1}
@@ -55,15 +55,30 @@ def test_columns_and_margins(spark):
     assert {r["line_spacing"] for r in structure.line_spacing_of(x).collect()} == {1.2}
 
 
-def test_alignment_indent_headings(spark):
+def test_alignment_and_indent(spark):
     rows = [(1, 1, 0, 0, 70.0, 550.0, 50.0, "first", 10.0, False), (1, 1, 0, 1, 50.0, 550.0, 62.0, "second", 10.0, False), (1, 1, 0, 2, 50.0, 300.0, 74.0, "third", 10.0, False),
-            (1, 1, 1, 0, 50.0, 150.0, 100.0, "Head", 14.0, True), (1, 1, 1, 1, 50.0, 550.0, 112.0, "body text", 10.0, False), (1, 1, 2, 0, 200.0, 400.0, 140.0, "mid", 10.0, False)]
-    x = lines(spark, rows)
-    assert {r["block"]: r["indent"] for r in structure.first_indent_of(x).collect()}[0] == 20.0
-    a = {r["block"]: r["alignment"] for r in structure.alignment_of(x.withColumn("rx0", F.lit(50.0)).withColumn("rx1", F.lit(550.0))).collect()}
-    assert a[0] == "justified" and a[2] == "center"
-    s = {(r["block"], r["is_heading"]): r["text"] for r in structure.split_headings(x).collect()}
-    assert s[1, True] == "Head" and s[1, False] == "body text"
+            (1, 1, 2, 0, 200.0, 400.0, 140.0, "mid", 10.0, False), (1, 1, 3, 0, 300.0, 549.0, 160.0, "right", 10.0, False), (1, 1, 4, 0, 70.0, 300.0, 180.0, "nothing", 10.0, False),
+            (1, 1, 5, 0, 50.0, 550.0, 200.0, "ragged", 10.0, False), (1, 1, 5, 1, 48.0, 500.0, 212.0, "lines", 10.0, False)]
+    x = lines(spark, rows).withColumn("rx0", F.lit(50.0)).withColumn("rx1", F.lit(550.0))
+    a = structure.alignment_of(x)
+    assert {r["block"]: r["alignment"] for r in a.collect()} == {0: "justified", 2: "center", 3: "right", 4: None, 5: "left"}
+    assert {r["block"]: r["indent"] for r in structure.first_indent_of(x, a).collect()} == {0: 20.0, 2: None, 3: None, 4: None, 5: 0.0}
+
+
+def test_blocks_from_spans(spark):
+    words = "a line of the body that has at least twelve words in it now"
+    rows = [(1, 0, 0, 0, 50.0, 350.0, 20.0, "A Title", 16.0, True), (1, 0, 1, 0, 50.0, 150.0, 50.0, "1 Introduction", 12.0, True)]
+    rows += [(1, 0, 1, n, 50.0, 550.0, 50.0 + 12 * n, words, 10.0, False) for n in (1, 2, 3)] + [(1, 0, 2, n, 50.0, 550.0, 120.0 + 12 * n, words, 10.0, False) for n in (0, 1)] + [(1, 61, 0, 0, 50.0, 550.0, 20.0, "too far", 10.0, False)]
+    cols = "doc_id bigint, page int, block int, line int, x0 double, y0 double, x1 double, y1 double, baseline double, text string, size double, font string, bold boolean, italic boolean, page_width double, page_height double"
+    spans = spark.createDataFrame([(d, p, b, n, x0, y, x1, y + 10, y + 9, t, s, "ABCDEF+Times-Bold" if bold else "Times", bold, False, 595.0, 842.0) for d, p, b, n, x0, x1, y, t, s, bold in rows], cols)
+    got = structure.blocks_from_spans(spans).orderBy("pos").collect()
+    assert [(r["text"][:14], r["heading_style"], r["fmt"]["font_size_pt"], r["fmt"]["font_family"]) for r in got] == [
+        ("A Title", True, 16.0, "Times"), ("1 Introduction", False, 12.0, "Times"), ("a line of the ", False, 10.0, "Times"), ("a line of the ", False, 10.0, "Times")]
+    assert got[2]["fmt"]["alignment"] == "justified" and got[1]["fmt"]["bold"] is True and got[2]["fmt"]["bold"] is None
+    info = structure.document_info(spans).first()
+    assert (info["page_count"], info["label"], info["orientation"], info["columns"], info["left"]) == (62, "A4", "portrait", 1, 50.0)
+    kinds = [r["type"] for r in structure.classify_blocks(structure.blocks_from_spans(spans)).orderBy("ord").collect()]
+    assert kinds == ["title", "heading", "body", "body"]
 
 
 def test_page_estimate(spark):
