@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from foliolith.functions import values as V
 from foliolith.operators.structure import FORMAT
-from foliolith.sources.docx import parse_docx
-from foliolith.sources.gdoc import parse_google_doc
-from foliolith.sources.latex import parse_latex
+from foliolith.sources.docx import docx_info, parse_docx
+from foliolith.sources.gdoc import gdoc_info, parse_google_doc
+from foliolith.sources.latex import latex_info, parse_latex
 
 # Limits of uploads and archives.
 FILE_LIMIT, BATCH_LIMIT, BATCH_FILES = 50 * 1024 * 1024, 100 * 1024 * 1024, 200
@@ -68,38 +68,53 @@ def container_error(data: bytes, fmt: str) -> str | None:
     return None
 
 
-_BLOCKS = f"filename string, format string, error string, pos int, text string, fmt struct<{', '.join(x.replace(' ', ':') for x in FORMAT.split(', '))}>, heading_style boolean"
+_FMT = f"struct<{', '.join(x.replace(' ', ':') for x in FORMAT.split(', '))}>"
+_INFO = "width:double,height:double,top:double,bottom:double,left:double,right:double,orientation:string,columns:int,title:string,anonymous_package:boolean,base_size:double"
+_PARSED = f"filename string, path string, format string, error string, size bigint, sha256 string, info struct<{_INFO}>, blocks array<struct<pos:int,text:string,fmt:{_FMT},heading_style:boolean>>"
 _NONE = dict.fromkeys(x.split()[0] for x in FORMAT.split(", "))
+_NO_INFO = dict.fromkeys(x.split(":")[0] for x in _INFO.split(","))
+PARSERS = {"docx": (parse_docx, docx_info), "latex": (parse_latex, latex_info), "gdoc": (parse_google_doc, gdoc_info)}
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Blocks of every file (filename, format, error, pos, text, fmt, heading_style); a file
-    that can't be read has one row with its error. Text is parsed in Python, file by file,
-    because formats are nested byte streams; everything after it is columns."""
+def parse_files(files: DataFrame) -> DataFrame:
+    """(filename, path, format, error, size, sha256, info, blocks) of files (filename, path,
+    content): one row a file, whose blocks and page are null where it can't be read. Text is
+    parsed in Python, file by file, because formats are nested byte streams; everything
+    after it is columns. Write the result before it is used more than once."""
 
-    def one(name, fmt, data):
+    def one(fmt, data):
         error = container_error(data, fmt)
-        if error is None and fmt not in ("docx", "latex", "gdoc"):
+        if error is None and fmt not in PARSERS:
             error = "no parser for this format here" if fmt == "pdf" else "unsupported file type"
-        blocks = []
         if error is None:
             try:
-                blocks = {"docx": parse_docx, "latex": parse_latex, "gdoc": parse_google_doc}[fmt](data)
+                blocks, info = (f(data) for f in PARSERS[fmt])
             except Exception as x:  # a file's own fault must not stop the batch
-                error = f"unreadable: {type(x).__name__}"
-        if error is None and not blocks:
+                return f"unreadable: {type(x).__name__}", None, None
+            if blocks:
+                rows = [{"pos": i, "text": t, "fmt": {**_NONE, **f}, "heading_style": h} for i, (t, f, h) in enumerate(blocks)]
+                return None, {k: info.get(k) for k in _NO_INFO}, rows
             error = "no text"
-        if error:
-            return [(name, fmt, error, None, None, None, None)]
-        return [(name, fmt, None, i, t, {**_NONE, **f}, h) for i, (t, f, h) in enumerate(blocks)]
+        return error, None, None
 
     def run(batches):
         for pdf in batches:
-            rows = [r for n, f, d in zip(pdf["filename"], pdf["format"], pdf["content"], strict=True) for r in one(n, f, bytes(d or b""))]
-            yield pd.DataFrame(rows, columns=["filename", "format", "error", "pos", "text", "fmt", "heading_style"])
+            found = [one(f, bytes(d or b"")) for f, d in zip(pdf["format"], pdf["content"], strict=True)]
+            out = pdf[["filename", "path", "format", "size", "sha256"]].copy()
+            out["error"], out["info"], out["blocks"] = ([x[i] for x in found] for i in range(3))
+            yield out[["filename", "path", "format", "error", "size", "sha256", "info", "blocks"]]
 
     fmt = F.when(F.lower("filename").endswith(".gdoc"), "gdoc").otherwise(V.sniff_format(F.col("content"), F.col("filename")))
-    return files.select("filename", fmt.alias("format"), "content").mapInPandas(run, _BLOCKS)
+    rows = files.select("filename", "path", fmt.alias("format"), "content", F.length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return rows.mapInPandas(run, _PARSED)
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """Blocks of every file (filename, format, error, pos, text, fmt, heading_style); a file
+    that can't be read has one row with its error."""
+    if "path" not in files.columns:
+        files = files.withColumn("path", F.col("filename"))
+    return parse_files(files).select("filename", "format", "error", F.inline_outer("blocks"))
 
 
 def read_stores(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
