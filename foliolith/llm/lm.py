@@ -12,7 +12,7 @@ from foliolith.llm.hashing import _STEP, WordHash, mix, words
 from foliolith.llm.util import Stage, batch_of, block_names, crc_mod, grouped, parts_for, rows_of, small_batches, text_size, with_answers
 
 #: Text bytes of one block of documents, which bounds what a task holds.
-BLOCK = 6_000_000
+BLOCK = 8_000_000
 #: Text bytes for each range of the key space that counts are summed in.
 RANGE = 24_000_000
 #: The token that ends a document; it's also the context of the first word.

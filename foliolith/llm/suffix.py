@@ -21,7 +21,7 @@ WIDTH = 100
 #: at the same place; only suffixes that start at anchors are sorted.
 GRAM = 32
 #: Text bytes of one block of documents, of a range of anchor hashes, and of a merge task.
-BLOCK = 4_000_000
+BLOCK = 8_000_000
 RANGE = 24_000_000
 MERGE = 12_000_000
 #: Window starts that one vectorised step handles.
@@ -385,9 +385,13 @@ def _runs(tasks: int):
 
 def _merge(tasks: int):
     """Merges the runs of a task and resolves them chunk by chunk, each of whole groups but
-    in a hot task, whose first windows are settled over all tasks."""
+    in a hot task, whose first windows are settled over all tasks. Marks pass."""
 
     def run(rows: list[dict]):
+        if rows[0]["r"] is None:
+            for at in range(0, len(rows), 64):
+                yield from batch_of(_RUNS, [tuple(r.values()) for r in rows[at : at + 64]])
+            return
         hot = rows[0]["r"] >= tasks
         chunk: list[tuple] = []
         for lcp, s, load in merged([decoded(r) for r in rows]):
@@ -470,9 +474,10 @@ def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     parts, ranges, tasks = parts_for(spark, size), int(max(1, -(-size // RANGE))), int(max(1, -(-size // MERGE)))
     blocks = stage.bucketed(_blocks(docs), parts, "block")
     flags = grouped(blocks.mapInArrow(_ask(ranges), _ASKED), ranges, ["r"], ["block"], _answer, _FLAGS)
-    runs = stage.cut(with_answers(blocks, flags, ["r", "flags"], parts).mapInArrow(_runs(tasks), _RUNS))
-    found = stage.cut(grouped(runs.filter(F.col("kind") == RUN), 2 * tasks, ["r"], ["block"], _merge(tasks), _RUNS))
-    marks = runs.filter(F.col("kind") == MARKS).unionByName(found.filter(F.col("kind") == MARKS))
+    runs = with_answers(blocks, flags, ["r", "flags"], parts).mapInArrow(_runs(tasks), _RUNS)
+    by = ["r", F.when(F.col("r").isNull(), F.col("block"))]
+    found = stage.cut(grouped(runs, max(tasks, 2 * spark.sparkContext.defaultParallelism), ["r"], ["block"], _merge(tasks), _RUNS, by=by))
+    marks = found.filter(F.col("kind") == MARKS)
     firsts = found.filter(F.col("kind") == FIRSTS)
     if not firsts.isEmpty():
         w = firsts.mapInArrow(_windows, "d1 bigint, d2 bigint, doc bigint, pos bigint, block bigint, row bigint")

@@ -115,10 +115,11 @@ def parts_for(spark: SparkSession, size: int) -> int:
     return int(min(MOST_PARTS, max(-(-size // PART), 2 * spark.sparkContext.defaultParallelism)))
 
 
-def grouped(df: DataFrame, n: int, keys: list[str], order: list[str], fn, schema: str, most: int | None = None) -> DataFrame:
+def grouped(df: DataFrame, n: int, keys: list[str], order: list[str], fn, schema: str, most: int | None = None, by: list | None = None) -> DataFrame:
     """``fn(rows)`` (rows as dicts, in ``order``; it yields record batches) for each group of
     equal keys. Sorted tasks stream their groups, so a task holds one group, or ``most`` rows
-    of it where ``fn`` may see a group in pieces."""
+    of it where ``fn`` may see a group in pieces. Rows are dealt by their keys, or by ``by``
+    where some groups need not meet."""
 
     def run(batches):
         key, held = None, []
@@ -133,7 +134,7 @@ def grouped(df: DataFrame, n: int, keys: list[str], order: list[str], fn, schema
         if held:
             yield from fn(held)
 
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(n, *(by or keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def batch_of(schema: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
