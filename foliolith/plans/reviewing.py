@@ -33,7 +33,7 @@ MODEL = {
     "chk": """SELECT l_orderkey * 10 + CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS revision_id, CAST(l_linenumber AS INT) AS sequence, CASE WHEN min(l_quantity) < 20 THEN 'failed' WHEN min(l_quantity) < 30 THEN 'passed_with_warnings' ELSE 'passed' END AS status
         FROM {lineitem} WHERE l_linenumber BETWEEN 3 AND 6 GROUP BY l_orderkey, l_linenumber""",
 }
-TABLES = ("orders", "customer", "lineitem", "events")
+TABLES = ("orders", "customer", "lineitem", "events", "part", "supplier", "nation", "conversations", "documents")
 
 _ON = "('pending', 'accepted', 'completed')"
 #: The same sets in SQL.
@@ -55,20 +55,21 @@ SETS = {
 }
 
 
-def sql(text: str) -> str:
+def sql(text: str, model: dict = MODEL) -> str:
     names = {n: n for n in TABLES}
-    ctes = [f"{k} AS ({v.format(**names)})" for k, v in MODEL.items()] + [f"{k} AS ({v})" for k, v in SETS.items()]
-    return "WITH " + ",\n".join(ctes) + "\n" + text
+    ctes = [f"{k} AS ({v.format(**names)})" for k, v in model.items()] + [f"{k} AS ({v})" for k, v in SETS.items()]
+    more = text.startswith("WITH ")
+    return "WITH " + ",\n".join(ctes) + (",\n" + text[5:] if more else "\n" + text)
 
 
 class Tables:
     """The workflow's tables, each made when it is asked for."""
 
-    def __init__(self, spark: SparkSession, sf: str):
-        self.spark, self.sf = spark, sf
+    def __init__(self, spark: SparkSession, sf: str, model: dict = MODEL):
+        self.spark, self.sf, self.model = spark, sf, model
 
     def __getattr__(self, name: str) -> DataFrame:
-        text = MODEL[name]
+        text = self.model[name]
         return self.spark.sql(text, **{n: table(self.spark, self.sf, n) for n in TABLES if "{" + n + "}" in text})
 
 
@@ -190,6 +191,11 @@ _OK = """(VALUES ('draft', 'submitted'), ('draft', 'withdrawn'), ('submitted', '
   ('under_review', 'rejected'), ('under_review', 'withdrawn'), ('changes_requested', 'submitted'), ('changes_requested', 'withdrawn'))"""
 _LIFE = "CASE {} WHEN 0 THEN 'setup' WHEN 1 THEN 'open' WHEN 2 THEN 'reviewing' WHEN 3 THEN 'closed' ELSE 'archived' END"
 
+#: Users and their next states, by paper.
+ACTIONS = f"""SELECT v.submission_id, v.user_id, string_agg(b, ',' ORDER BY b) AS actions FROM vw v JOIN sub s ON s.submission_id = v.submission_id JOIN {_OK} ok(a, b) ON a = s.status
+  WHERE (b IN ('under_review', 'changes_requested', 'accepted', 'rejected') AND EXISTS (SELECT 1 FROM free x WHERE x.submission_id = v.submission_id AND x.user_id = v.user_id)) OR (b = 'submitted' AND EXISTS (SELECT 1 FROM ed x WHERE x.submission_id = v.submission_id AND x.user_id = v.user_id))
+  OR (b = 'withdrawn' AND EXISTS (SELECT 1 FROM mg x WHERE x.submission_id = v.submission_id AND x.user_id = v.user_id)) GROUP BY 1, 2"""
+
 QUERIES = {
     "j13_can_read": (_with(lambda t: per_user(W.can_read(t.sub, t.mem, t.col, t.asg))), sql("SELECT user_id, count(*) AS n FROM rd GROUP BY 1")),
     "x26_can_edit": (_with(lambda t: per_user(W.can_edit(t.sub, t.mem, t.col))), sql("SELECT user_id, count(*) AS n FROM ed GROUP BY 1")),
@@ -225,9 +231,7 @@ SELECT old, new, CASE WHEN old <> new AND (old, new) NOT IN (SELECT (a, b) FROM
     "w4_submission_window": (windows, """WITH x AS (SELECT event_type <> 'view' AS o, ts FROM events) SELECT o AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AS open, ts < TIMESTAMP '2024-01-20' AS revisions, count(*) AS n FROM x GROUP BY 1, 2"""),
     "w5_eligibility": (_with(eligible), sql("""SELECT ok AND submission_id % 5 <> 0 AS eligible, CASE WHEN NOT ok AND s = 'failed' THEN 'blocking' WHEN NOT ok THEN 'not_checked' WHEN submission_id % 5 = 0 THEN 'metadata: title, track' END AS reason, count(*) AS n FROM (
   SELECT submission_id, s, s IN ('passed', 'passed_with_warnings') OR (submission_id % 3 <> 0 AND s = 'failed') AS ok FROM (SELECT submission_id, coalesce((SELECT arg_max(status, sequence) FROM chk c WHERE c.revision_id = cur.revision_id), 'not_checked') AS s FROM cur)) GROUP BY 1, 2""")),
-    "w6_allowed_actions": (_with(actions), sql(f"""SELECT v.submission_id, v.user_id, string_agg(b, ',' ORDER BY b) AS actions FROM vw v JOIN sub s ON s.submission_id = v.submission_id JOIN {_OK} ok(a, b) ON a = s.status
-  WHERE (b IN ('under_review', 'changes_requested', 'accepted', 'rejected') AND EXISTS (SELECT 1 FROM free x WHERE x.submission_id = v.submission_id AND x.user_id = v.user_id)) OR (b = 'submitted' AND EXISTS (SELECT 1 FROM ed x WHERE x.submission_id = v.submission_id AND x.user_id = v.user_id))
-  OR (b = 'withdrawn' AND EXISTS (SELECT 1 FROM mg x WHERE x.submission_id = v.submission_id AND x.user_id = v.user_id)) GROUP BY 1, 2""")),
+    "w6_allowed_actions": (_with(actions), sql(ACTIONS)),
     "w7_answer_problems": (answers, """WITH a AS (SELECT l_orderkey AS r, l_linenumber::INT AS c, max(l_quantity) AS q FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1, 2), p AS (SELECT DISTINCT l_orderkey AS r, l_orderkey % 2 = 0 AS s FROM lineitem), w AS (SELECT r, s, c::INT AS c FROM p, range(1, 6) g(c)),
 x AS (SELECT coalesce(w.c, a.c)::VARCHAR AS criterion, CASE WHEN w.c IS NULL THEN 'unknown' WHEN a.c IS NOT NULL AND w.c <> 4 AND (q >= 48 OR q < 5 OR q > 40) THEN 'out_of_bounds' WHEN w.c = 4 AND a.c IS NOT NULL AND q <= 15 THEN 'text_required' WHEN s AND w.c <= 4 AND (a.c IS NULL OR (w.c = 4 AND q <= 30)) THEN 'missing' END AS problem FROM w FULL JOIN a ON w.r = a.r AND w.c = a.c
   UNION ALL SELECT 'recommendation', CASE WHEN r % 4 = 2 THEN 'not_allowed' WHEN s AND r % 4 = 3 THEN 'missing' END FROM p) SELECT criterion, problem, count(*) AS n FROM x WHERE problem IS NOT NULL GROUP BY 1, 2"""),
