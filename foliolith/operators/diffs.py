@@ -15,6 +15,15 @@ COMPARED = ("status", "severity", "expected", "actual", "confidence")
 MAX_CHARS, MAX_LINES, MAX_LINE, MAX_HUNKS, CONTEXT = 100_000, 1500, 2000, 100, 3
 
 
+# The facts that two checks of a paper are compared by.
+PROPERTIES = (
+    "layout.page_count", "layout.page_count_exact", "layout.page_count_confidence", "layout.page_size_label", "layout.columns", "layout.margins_pt", "layout.margins_confidence",
+    "typography.body_font", "typography.body_font_size_pt", "structure.title_text", "structure.author_block_text", "structure.sections_present", "structure.headings",
+    "structure.reference_entry_count", "structure.reference_count_confidence", "structure.total_word_count", "assets.figures", "assets.tables", "assets.confidence",
+    "identity.acknowledgement_present", "latex.document_class",
+)
+
+
 def compare_findings(base: DataFrame, target: DataFrame, keys: list[str], rule: str = "id") -> DataFrame:
     """One row for each rule that is an issue on either side: resolved, remaining,
     newly_reported or not_evaluated, with the fields that changed.
@@ -22,8 +31,13 @@ def compare_findings(base: DataFrame, target: DataFrame, keys: list[str], rule:
     Groups whose ids repeat or are empty on a side are unavailable: one row without a rule.
     One full outer join on the group and rule.
     """
-    dup = lambda df: df.groupBy(*keys, rule).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(rule).isNull() | (F.col(rule) == "")).select(*keys).distinct()
-    bad = dup(base).unionByName(dup(target)).distinct()
+    from pyspark.sql import Window
+
+    every = Window.partitionBy(*keys, rule)
+    odd = (F.count("*").over(every) > 1) | F.col(rule).isNull() | (F.col(rule) == "")
+    marked = lambda df: df.withColumn("__odd", odd)
+    base, target = marked(base), marked(target)
+    bad = base.filter("__odd").select(*keys).unionByName(target.filter("__odd").select(*keys)).distinct()
     side = lambda df, s: df.join(bad, keys, "left_anti").select(*keys, rule, F.lit(True).alias(f"{s}"), *[F.col(c).alias(f"{s}_{c}") for c in COMPARED])
     j = side(base, "old").join(side(target, "new"), [*keys, rule], "full_outer")
     was, now = F.coalesce(F.col("old_status").isin(*ISSUES), F.lit(False)), F.coalesce(F.col("new_status").isin(*ISSUES), F.lit(False))
@@ -50,6 +64,32 @@ def compare_properties(base: DataFrame, target: DataFrame, keys: list[str], fiel
     return j.withColumn("state", state)
 
 
+def compare_facts(base: DataFrame, target: DataFrame, keys: list[str], facts_json: str = "facts") -> DataFrame:
+    """One row for each of PROPERTIES of two stored checks, whose facts are JSON texts; checks
+    without facts on either side are left out, as unavailable."""
+    def flat(df, s):
+        cells = F.array(*[F.struct(F.lit(p).alias("field"), F.get_json_object(facts_json, f"$.{p}").alias("v")) for p in PROPERTIES])
+        return df.filter(F.col(facts_json).isNotNull()).select(*keys, F.explode(cells).alias("x")).select(*keys, "x.field", F.col("x.v").alias(s))
+
+    j = flat(base, "before").join(flat(target, "after"), [*keys, "field"])
+    state = F.when(F.col("before").isNull() | F.col("after").isNull(), "unavailable").when(F.col("before") == F.col("after"), "unchanged").otherwise("changed")
+    return j.withColumn("state", state)
+
+
+def stripped(rules_json: Column) -> Column:
+    """A group of rules as a map without what is empty or default: nulls, {} and []."""
+    return F.map_filter(F.from_json(rules_json, "map<string,string>"), lambda k, v: v.isNotNull() & ~v.isin("null", "{}", "[]"))
+
+
+def text_pairs(pairs: DataFrame) -> DataFrame:
+    """(pair_id, before, after) of stored files (before and after: content, sha256, size), each
+    read only if it is what was stored; ``intact`` tells."""
+    ok = lambda s: (F.sha2(f"{s}.content", 256) == F.col(f"{s}.sha256")) & (F.length(f"{s}.content") == F.col(f"{s}.size"))
+    intact = F.coalesce(ok("before") & ok("after"), F.lit(False))
+    text = lambda s: F.when(intact, F.regexp_replace(F.col(f"{s}.content").cast("string"), "\r\n?", "\n"))
+    return pairs.select("pair_id", intact.alias("intact"), text("before").alias("before"), text("after").alias("after"))
+
+
 def compare_rules(base: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, group, field, value) of two rule sets: added, removed, changed, unchanged."""
     b = base.select(*keys, "group", "field", F.col("value").alias("before"), F.lit(True).alias("b"))

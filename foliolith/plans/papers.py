@@ -271,8 +271,34 @@ def comparison(spark, sf):
 
 def family(spark, sf):
     s = t(spark, sf, "supplier")
-    sig = {"class": F.col("s_suppkey") % 2 == 0, "columns": F.col("s_nationkey") < 13, "margins": F.col("s_acctbal") > 3000, "font": F.col("s_suppkey") % 3 == 0, "size": F.col("s_nationkey") > 5}
-    return s.select("s_suppkey", F.round(inference.family_score(sig), 2).alias("score"), inference.is_family(sig).alias("family"))
+    n = F.col("s_suppkey")
+    info = {
+        "width": F.lit(595.28), "height": F.lit(841.89), "left": F.lit(124.7) + n % 3 * 5, "right": F.lit(124.7), "top": F.lit(147.4), "bottom": F.lit(147.4) + n % 5 * 8,
+        "label": F.when(n % 2 == 0, "A4"), "columns": n % 4, "orientation": F.lit("portrait"),
+    }
+    sig = inference.family_signals(info, n % 3 > 0, F.col("s_nationkey") > 5, F.when(n % 7 > 0, "See the Abstract").otherwise("nothing"))
+    return s.select("s_suppkey", inference.family_score(sig).alias("score"), inference.is_family(sig).alias("family"))
+
+
+def blinding(spark, sf):
+    d = t(spark, sf, "documents")
+    b = inference.infer_blinding(F.col("doc_id") % 3 == 0, F.col("text"))
+    return d.select("doc_id", b.alias("b")).select("doc_id", "b.required", "b.allow_author_block")
+
+
+def presets(spark, sf):
+    p = inference.presets_frame(spark)
+    f = inference.apply_policy(F.col("rules"), F.col("rules_id").startswith("IEEE"))
+    return p.select("rules_id", f.alias("r")).select("rules_id", "r.pages.max_pages", "r.pages.columns", "r.sections.abstract_max_words", "r.sections.min_references", "r.anonymisation.required", "r.anonymisation.allow_author_block", F.col("r.typography.body.font_family").alias("font"))
+
+
+def fact_diff(spark, sf):
+    p = t(spark, sf, "part")
+    js = lambda shift: F.to_json(F.struct(
+        F.struct((F.col("p_size") + F.when(F.col("p_partkey") % 4 == 0, shift).otherwise(0)).alias("page_count"), F.when(F.col("p_partkey") % 5 > shift, "A4").alias("page_size_label")).alias("layout"),
+        F.struct(F.col("p_name").alias("title_text")).alias("structure")))
+    a, b = (p.select("p_partkey", F.when(F.col("p_partkey") % 9 > 0, js(s)).alias("facts")) for s in (0, 1))
+    return diffs.compare_facts(a, b, ["p_partkey"]).groupBy("field", "state").agg(F.count("*").alias("n"))
 
 
 def inferred(spark, sf):
@@ -353,7 +379,15 @@ SELECT round(v.a, 4) AS agreement, v.n AS fixtures, round(count(*) FILTER (outco
   CASE WHEN c_acctbal > 0 THEN 'p' ELSE 'm' END AS c, CASE WHEN c_mktsegment = 'BUILDING' THEN 'p' ELSE 'm' END AS d FROM customer),
 y AS (SELECT paper_id, 1 + (a = 'p')::INT + (b = 'p')::INT + (c = 'p')::INT + (d = 'p')::INT AS passed, (a = 'f')::INT + (b = 'f')::INT AS failed, (c = 'm')::INT + (d = 'm')::INT AS missing FROM x)
 SELECT paper_id, passed::BIGINT AS passed, failed::BIGINT AS failed, missing::BIGINT AS missing, round_even(100.0 * passed / 5, 0)::INT AS score FROM y"""),
-    "c10_family": (family, "WITH x AS (SELECT s_suppkey, least(1.0, (s_suppkey % 2 = 0)::INT * 0.30 + (s_nationkey < 13)::INT * 0.15 + (s_acctbal > 3000)::INT * 0.20 + (s_suppkey % 3 = 0)::INT * 0.15 + (s_nationkey > 5)::INT * 0.15) AS s FROM supplier) SELECT s_suppkey, round(s, 2)::DOUBLE AS score, round(s, 4) >= 0.75 AS family FROM x"),
+    "c10_family": (family, """WITH x AS (SELECT s_suppkey AS n, (s_suppkey % 2 = 0)::INT * 30 + (s_suppkey % 4 = 1)::INT * 15 + 10 + (abs((595.28 - 249.4 - s_suppkey % 3 * 5) * 25.4 / 72 - 122) < 4)::INT * 20 + (abs((841.89 - 294.8 - s_suppkey % 5 * 8) * 25.4 / 72 - 193) < 6)::INT * 15
+  + (s_suppkey % 3 > 0)::INT * 15 + (s_nationkey > 5)::INT * 10 + (s_suppkey % 7 > 0)::INT * 10 AS w FROM supplier) SELECT n AS s_suppkey, round(w / 125.0::DOUBLE, 3) AS score, w >= 93.75 AS family FROM x"""),
+    "c9_blinding": (blinding, "WITH x AS (SELECT doc_id, doc_id % 3 = 0 OR coalesce(contains(text, '@') OR regexp_matches(lower(text), 'university|institute|department|laborator'), false) AS l FROM documents) SELECT doc_id, NOT l AS required, l AS allow_author_block FROM x"),
+    "c12_presets": (presets, """SELECT * FROM (VALUES ('IEEE two-column (anonymous)', 8, 2, 250, 5, true, true, 'Times New Roman'), ('ACM single-column (anonymous)', 9, 2, 150, NULL, true, false, 'Libertine'),
+  ('Springer LNCS (visible authors)', 9, 1, 250, NULL, false, true, 'Times New Roman')) v(rules_id, max_pages, columns, abstract_max_words, min_references, required, allow_author_block, font)"""),
+    "v3_facts": (fact_diff, """WITH p AS (SELECT * FROM part WHERE p_partkey % 9 > 0), f AS (SELECT unnest(['layout.page_count_exact', 'layout.page_count_confidence', 'layout.columns', 'layout.margins_pt', 'layout.margins_confidence', 'typography.body_font', 'typography.body_font_size_pt', 'structure.author_block_text', 'structure.sections_present', 'structure.headings',
+  'structure.reference_entry_count', 'structure.reference_count_confidence', 'structure.total_word_count', 'assets.figures', 'assets.tables', 'assets.confidence', 'identity.acknowledgement_present', 'latex.document_class']) AS field),
+u AS (SELECT 'layout.page_count' AS field, CASE WHEN p_partkey % 4 = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM p UNION ALL SELECT 'layout.page_size_label', CASE WHEN p_partkey % 5 > 1 THEN 'unchanged' ELSE 'unavailable' END FROM p UNION ALL SELECT 'structure.title_text', 'unchanged' FROM p
+  UNION ALL SELECT field, 'unavailable' FROM p, f) SELECT field, state, count(*) AS n FROM u GROUP BY 1, 2"""),
     "c8_inferred": (inferred, None),
     "s1_formats": (formats, "SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CASE p_partkey % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'latex' WHEN 2 THEN 'docx' WHEN 4 THEN 'latex' END END AS format FROM part"),
     "s11_upload_limits": (upload_limits, "SELECT doc_id, source, n_chars, (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM documents WHERE n_chars <= 5000 QUALIFY total <= 20000"),

@@ -121,7 +121,24 @@ def test_text_hunks(spark):
 
 
 def test_inference(spark):
-    assert [r[0] for r in spark.createDataFrame([("This is a double-blind venue",), ("single blind",), ("open",)], "t string").select(inference.infer_blinding(F.col("t"))).collect()] == ["double", "single", "none"]
-    x = spark.createDataFrame([(None, 3)], "columns int, max_pages int")
-    assert inference.fill_preset(x).first().asDict() == {"columns": 1, "max_pages": 3}
-    assert inference.presets_frame(spark).count() == len(inference.PRESETS)
+    b = spark.createDataFrame([(True, "x"), (False, "a@b"), (False, "The University of X"), (False, "open text")], "a boolean, t string")
+    assert [r[0] for r in b.select(inference.infer_blinding(F.col("a"), F.col("t"))["required"]).collect()] == [False, False, False, True]
+    p = {r["rules_id"]: r["rules"] for r in inference.presets_frame(spark).collect()}
+    assert len(p) == 3 and p["IEEE two-column (anonymous)"]["sections"]["min_references"] == 5 and p["Springer LNCS (visible authors)"]["pages"]["margins"]["left"] == 124.7
+    r = inference.presets_frame(spark).select("rules_id", inference.apply_policy(F.col("rules"), F.lit(True)).alias("r"))
+    got = {x["rules_id"]: x["r"] for x in r.collect()}
+    assert got["ACM single-column (anonymous)"]["sections"]["abstract_max_words"] == 150 and got["IEEE two-column (anonymous)"]["sections"]["abstract_max_words"] == 250 and got["IEEE two-column (anonymous)"]["pages"]["max_pages"] == 8
+    assert ("pages", "pages.margins.top", "number") in rows(inference.rule_schema(spark), "group", "path", "type")
+    t = spark.createDataFrame([("Figure 3 shows", "Body"), ("Acknowledgments. We", "Body"), ("Plain text", "Body"), ("Plain", "References")], "t string, n string")
+    assert [x[0] for x in t.select(inference.is_body(F.col("n"), F.col("t"))).collect()] == [False, False, True, False]
+
+
+def test_stored_files_and_rules(spark):
+    import hashlib
+
+    side = lambda x, ok=True: {"content": x, "sha256": hashlib.sha256(x).hexdigest() if ok else "0", "size": len(x)}
+    kind = "struct<content:binary,sha256:string,size:int>"
+    p = spark.createDataFrame([(1, side(b"a\r\nb"), side(b"a")), (2, side(b"a", False), side(b"a"))], f"pair_id bigint, before {kind}, after {kind}")
+    assert [(r["intact"], r["before"]) for r in diffs.text_pairs(p).orderBy("pair_id").collect()] == [(True, "a\nb"), (False, None)]
+    r = spark.createDataFrame([('{"a": 1, "b": null, "c": [], "d": {}}',)], "j string")
+    assert r.select(diffs.stripped(F.col("j"))).first()[0] == {"a": "1"}
