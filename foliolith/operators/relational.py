@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,19 +160,58 @@ def invitation_status(now: Column) -> Column:
 
 
 def rate_limited(hits: DataFrame, keys: list[str], at: str, seconds: int, most: int) -> DataFrame:
-    """Hits beyond ``most`` within a window that begins with its first hit.
+    """(keys, hits, windows, rejected): hits beyond ``most`` within a window that begins with its
+    first hit.
 
-    A window's start depends on where the one before ended, so windows are found by an
-    ordered fold over each key's times; a key's hits meet in one row.
+    A window's start depends on where the one before ended, which no frame expresses: each
+    task reads its keys' hits in order of time and holds one window, whatever a key's size.
     """
-    times = F.sort_array(F.collect_list(F.unix_micros(F.col(at).cast("timestamp"))))
-    step = F.aggregate(
-        "times", F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("n"), F.lit(0).alias("over"), F.lit(0).alias("windows")),
-        lambda a, t: F.when(a["start"].isNull() | (t >= a["start"] + seconds * 1_000_000), F.struct(t.alias("start"), F.lit(1).alias("n"), (a["over"] + F.lit(int(most < 1))).alias("over"), (a["windows"] + 1).alias("windows")))
-        .otherwise(F.struct(a["start"].alias("start"), (a["n"] + 1).alias("n"), (a["over"] + (a["n"] >= most).cast("int")).alias("over"), a["windows"].alias("windows"))),
-    )
-    g = hits.groupBy(*keys).agg(times.alias("times")).withColumn("s", step)
-    return g.select(*keys, F.size("times").alias("hits"), F.col("s.windows").alias("windows"), F.col("s.over").alias("rejected"))
+    kinds = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
+
+    def run(batches):
+        now, row, start, n = None, None, 0, 0
+        for pdf in batches:
+            done = []
+            for *key, t in zip(*[pdf[c] for c in (*keys, "__at")], strict=True):
+                if key != now:
+                    if row:
+                        done.append(row)
+                    now, row, start, n = key, [*key, 0, 0, 0], None, 0
+                row[-3] += 1
+                if start is None or t >= start + seconds * 1_000_000:
+                    start, n = t, 0
+                    row[-2] += 1
+                n += 1
+                row[-1] += n > most
+            yield pd.DataFrame(done, columns=[*keys, "hits", "windows", "rejected"])
+        if row:
+            yield pd.DataFrame([row], columns=[*keys, "hits", "windows", "rejected"])
+
+    times = hits.select(*keys, F.unix_micros(F.col(at).cast("timestamp")).alias("__at"))
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "hits int, windows int, rejected int"])
+    return times.repartition(*keys).sortWithinPartitions(*keys, "__at").mapInPandas(run, schema)
+
+
+def running_total(df: DataFrame, group: str, order: str, value: str, name: str = "total", chunks: int = 64) -> DataFrame:
+    """``df`` with the sum of ``value`` up to each row of its group, in the (numeric) order.
+
+    In two levels: boundaries cut a group into chunks, rows are summed within a chunk, and
+    the sums of the chunks before are added. So a group with most of the rows is dealt over
+    many tasks, and no window holds more than a chunk of it.
+    """
+    cuts = df.groupBy(group).agg(F.percentile_approx(order, F.array(*[F.lit(i / chunks) for i in range(1, chunks)]), 1000).alias("__cuts")).withColumnRenamed(group, "__g")
+    d = df.join(cuts, F.col(group).eqNullSafe(F.col("__g")), "left").withColumn("__c", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts", "__g")
+    sums = d.groupBy(F.col(group).alias("__g"), F.col("__c").alias("__k")).agg(F.sum(value).alias("__s"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(Window.partitionBy("__g").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
+    within = F.sum(value).over(Window.partitionBy(group, "__c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn(name, within)
+    j = d.join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__c") == F.col("__k")))
+    return j.withColumn(name, F.col(name) + F.col("__before")).drop("__c", "__g", "__k", "__before")
+
+
+def earliest(df: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
+    """The value of the first row of each key."""
+    return df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(value))
 
 
 def is_deadline_open(now: datetime, closes: Column) -> Column:

@@ -25,6 +25,12 @@ def mode(df: DataFrame, keys: list[str], value: str, weight: Column, order: Colu
     return per.groupBy(*keys).agg(F.max_by(value, F.struct(F.col("__w"), -F.col("__o"))).alias(value))
 
 
+def majority(df: DataFrame, keys: list[str], flag: Column, weight: Column, name: str) -> DataFrame:
+    """Whether true weighs no less than false in each group; null without either."""
+    yes, no = F.sum(F.when(flag, weight).otherwise(0)), F.sum(F.when(~flag, weight).otherwise(0))
+    return df.groupBy(*keys).agg(F.when(yes + no > 0, yes >= no).alias(name))
+
+
 def aggregate_formats(df: DataFrame, keys: list[str], weight: Column, order: Column, fmt: str = "fmt") -> DataFrame:
     """One format for each group: the weighted mode of each attribute (ties: first seen), for
     flags the weighted majority (ties: true). One exchange by the keys serves all steps."""

@@ -10,6 +10,7 @@ from foliolith.functions import text as T
 from foliolith.functions import values as V
 from foliolith.operators import decisions, diffs, inference, relational, rules, structure
 from foliolith.session import table as t
+from foliolith.sources import files
 
 RULESET = {
     "name": "house rules", "file_type": {"accepted": ["en", ".DE"], "max_mb": 0.004}, "pages": {"max_pages": 8, "min_pages": 1},
@@ -93,8 +94,7 @@ def weighted_mode(spark, sf):
 
 
 def majority(spark, sf):
-    w, b = F.col("l_linenumber"), F.col("l_linestatus") == "O"
-    return t(spark, sf, "lineitem").groupBy("l_suppkey").agg((F.sum(F.when(b, w).otherwise(0)) >= F.sum(F.when(b, 0).otherwise(w))).alias("open"))
+    return structure.majority(t(spark, sf, "lineitem"), ["l_suppkey"], F.col("l_linestatus") == "O", F.col("l_linenumber"), "open")
 
 
 def page_labels(spark, sf):
@@ -146,9 +146,13 @@ def lengths(spark, sf):
     return t(spark, sf, "part").select("p_partkey", V.to_points(F.concat(F.col("p_size").cast("string"), F.get(units, (F.col("p_partkey") % 6).cast("int")))).alias("points"))
 
 
+_CHARS = r"\p{L}\p{M}\p{Nd}_"
+_WORD = f"[{_CHARS}]"
+
+
 def identity(spark, sf):
     d, x = t(spark, sf, "documents"), F.col("text")
-    return d.select("doc_id", F.array_join(T.distinct_matches(x, ASCII_EMAIL), ",").alias("emails"), F.array_join(T.distinct_matches(x, ASCII_ID), ",").alias("orcids"), F.size(F.array_remove(F.split(x, "[ \\t\\n\\r]+"), "")).alias("words"))
+    return d.select("doc_id", F.array_join(T.emails(x), ",").alias("emails"), F.array_join(T.orcids(x), ",").alias("orcids"), T.word_count(x).alias("words"))
 
 
 def figure_counts(spark, sf):
@@ -312,26 +316,50 @@ def formats(spark, sf):
 
 
 def upload_limits(spark, sf):
-    from pyspark.sql import Window
-
-    d = t(spark, sf, "documents").filter("n_chars <= 5000")
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return d.select("doc_id", "source", "n_chars", F.sum("n_chars").over(w).alias("total")).filter("total <= 20000")
+    d = t(spark, sf, "documents").select("doc_id", "source", F.col("n_chars").alias("size"))
+    return files.bounded(d, "source", "doc_id", 5000, 20000)
 
 
 def forbidden_terms(spark, sf):
-    """Benchmark openings (their first words) as forbidden terms of each batch's titles."""
-    b = t(spark, sf, "benchmark").select(F.lower(F.substring_index("text", " ", 1)).alias("term")).distinct()
-    d = t(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("ls")).select("doc_id", F.explode("ls").alias("l"))
-    d = d.select("doc_id", F.lower(F.substring_index("l", " ", 1)).alias("term")).distinct()
-    return d.join(b, "term").groupBy("doc_id").agg(F.count("*").alias("terms"))
+    """The rule's status of each paper: its term in what the paper says of its authors."""
+    return results(spark, sf).filter("id = 'anonymisation.forbidden_terms'").select("paper_id", "status", "severity")
+
+
+#: The sections of documents' lines, as in sections(): titles, authors up to the first heading,
+#: keywords line or long line, headings that carry forward, trailing bibliographies.
+_SECTIONS = r"""r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+l AS (SELECT *, trim(regexp_replace(x, '^(\d+(\.\d+)*[.)]?|[IVXLCDM]+[.)]?)\s+', '', 'i')) AS b FROM r WHERE trim(x) <> ''),
+c AS (SELECT *, CASE WHEN regexp_matches(b, '(?i)^(abstract|summary)\b[:.\s]*$') THEN 'Abstract' WHEN regexp_matches(b, '(?i)^(introduction|background)\b') THEN 'Introduction'
+  WHEN regexp_matches(b, '(?i)^(related\s+works?|literature\s+(review|survey))\b') THEN 'Related Work'
+  WHEN regexp_matches(b, '(?i)^(methods?|methodology|materials?\s+and\s+methods?|experimental(s|\s+(setup|section|design))?|system\s+(design|architecture|model)|proposed\s+(method|approach|scheme)|approach)\b') THEN 'Methodology'
+  WHEN regexp_matches(b, '(?i)^(results?(\s*(and|&)\s*discussion)?|discussion|evaluation|experiments?(al\s+results)?|analysis)\b') THEN 'Results'
+  WHEN regexp_matches(b, '(?i)^(conclusions?|concluding\s+remarks?|final\s+remarks?)\b') THEN 'Conclusion' WHEN regexp_matches(b, '(?i)^(references|bibliography|works\s+cited)\b[:.\s]*$') THEN 'References' END AS cn,
+  regexp_matches(b, '(?i)^(keywords?|index\s+terms)\s*[—–·:\-.]') AS k,
+  length(trim(x)) <= 600 AND regexp_matches(trim(x), '^[A-Z][\w''’\-]+(?:\s+[A-Z][\w''’\-]+)?,(?:\s*[A-Z]\.(?:\s*[A-Z]\.)*|(?:\s+[A-Z][\w''’\-]+,\s*[A-Z]\.)+)[^:]{0,120}:') AND regexp_matches(trim(x), '(\(?(?:19|20)\d{2}[a-z]?\)?)') AS e FROM l),
+w AS (SELECT *, pos = min(pos) OVER (PARTITION BY doc_id) AND cn IS DISTINCT FROM 'Abstract' AS ti FROM c),
+i AS (SELECT doc_id, pos, e, sum(CASE WHEN e THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM c),
+rs AS (SELECT doc_id, max(start) AS ref_start FROM (SELECT doc_id, island, count(*) AS n, min(pos) AS start FROM i WHERE e GROUP BY 1, 2) WHERE n >= 2 GROUP BY 1),
+st AS (SELECT *, min(CASE WHEN NOT ti AND (cn IS NOT NULL OR k OR length(x) > 400) THEN pos END) OVER (PARTITION BY doc_id) AS stop FROM w),
+ty AS (SELECT st.*, CASE WHEN ti THEN 'title' WHEN stop IS NULL OR pos < stop THEN 'authors' WHEN cn IS NULL AND pos >= ref_start THEN 'references' WHEN cn IS NOT NULL THEN 'heading' WHEN k THEN 'keywords' WHEN length(x) <= 90 AND x = upper(x) AND x <> lower(x) THEN 'heading' END AS kind FROM st LEFT JOIN rs USING (doc_id)),
+sec AS (SELECT *, last_value(CASE WHEN kind = 'keywords' THEN 'Keywords' WHEN kind = 'heading' THEN coalesce(cn, x) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sn FROM ty),
+y AS (SELECT doc_id, pos, x, sn, coalesce(kind, CASE WHEN sn = 'Abstract' THEN 'abstract' ELSE 'body' END) AS kind FROM sec)"""
 
 
 QUERIES = {
     "p1_verdicts": (verdicts, f"WITH {_COUNTS} SELECT paper_id, batch_id, passed::BIGINT AS passed, failed::BIGINT AS failed, missing::BIGINT AS missing, not_applicable::BIGINT AS not_applicable, blocking::BIGINT AS blocking, warnings::BIGINT AS warnings, score, verdict FROM v"),
     "a6_batch_tally": (batch_tally, f"WITH {_COUNTS} SELECT batch_id, count(*) AS total, count(*) FILTER (verdict = 'accepted') AS accepted, count(*) FILTER (verdict = 'rejected') AS rejected, count(*) FILTER (verdict = 'needs_review') AS needs_review FROM v GROUP BY 1"),
-    "r_result_counts": (result_counts, None),
-    "d6_sections": (section_counts, None),
+    "r_result_counts": (result_counts, f"""WITH {_COUNTS},
+na(id, severity) AS (VALUES ('layout.columns', 'blocking'), ('layout.margins', 'warning'), ('layout.orientation', 'blocking'), ('layout.page_size', 'blocking'), ('paragraph.first_line_indent', 'warning'), ('paragraph.justified', 'advisory'), ('paragraph.line_spacing',
+  'warning'), ('paragraph.space_above', 'warning'), ('paragraph.space_below', 'warning'), ('paragraph.uniform_alignment', 'advisory'), ('structure.abstract', 'blocking'), ('structure.keywords', 'warning'), ('typography.abstract.alignment',
+  'advisory'), ('typography.abstract.bold', 'advisory'), ('typography.abstract.font_family', 'warning'), ('typography.abstract.font_size_pt', 'warning'), ('typography.body.alignment', 'advisory'), ('typography.body.bold', 'advisory'),
+  ('typography.body.font_family', 'warning'), ('typography.body.font_size_pt', 'warning'), ('typography.heading.alignment', 'advisory'), ('typography.heading.bold', 'advisory'), ('typography.heading.font_family', 'warning'),
+  ('typography.heading.font_size_pt', 'warning'), ('typography.title.alignment', 'advisory'), ('typography.title.bold', 'advisory'), ('typography.title.font_family', 'warning'), ('typography.title.font_size_pt', 'warning')),
+ok(id, severity) AS (VALUES ('anonymisation.acknowledgements', 'blocking'), ('anonymisation.affiliations', 'blocking'), ('anonymisation.author_block', 'blocking'), ('anonymisation.funding', 'blocking'), ('anonymisation.placeholder', 'advisory')),
+tested AS (SELECT unnest([{{'id': 'anonymisation.emails', 'severity': 'blocking', 'ok': ok_em}}, {{'id': 'anonymisation.forbidden_terms', 'severity': 'blocking', 'ok': ok_term}}, {{'id': 'anonymisation.orcid', 'severity': 'warning', 'ok': ok_id}}, {{'id': 'file.size', 'severity': 'blocking', 'ok': ok_size}}, {{'id': 'page.limit', 'severity': 'blocking', 'ok': ok_page}}]) AS v FROM y),
+rows AS (SELECT id, severity, 'not_applicable' AS status FROM na, y UNION ALL SELECT id, severity, 'passed' FROM ok, y UNION ALL SELECT v.id, v.severity, CASE WHEN v.ok = 1 THEN 'passed' ELSE 'failed' END FROM tested
+  UNION ALL SELECT CASE WHEN ok_ext = 1 THEN 'file.extension_present' ELSE 'file.extension_accepted' END, 'blocking', CASE WHEN ok_ext = 1 THEN 'passed' ELSE 'failed' END FROM y UNION ALL SELECT 'structure.title', 'blocking', CASE WHEN ok_title = 1 THEN 'passed' ELSE 'missing' END FROM y)
+SELECT id, split_part(id, '.', 1) AS category, severity, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'not_applicable') AS not_applicable FROM rows GROUP BY 1, 2, 3"""),
+    "d6_sections": (section_counts, f"WITH {_SECTIONS} SELECT doc_id, count(*) FILTER (kind = 'title') AS title, least(1, count(*) FILTER (kind = 'authors')) AS authors, count(*) FILTER (kind = 'heading') AS heading, count(*) FILTER (kind = 'body') AS body, (sum(length(x)) + greatest(0, count(*) FILTER (kind = 'authors') - 1))::BIGINT AS chars FROM y GROUP BY 1"),
     "d3_caps_headings": (caps_headings, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(x) <= 90 AND x = upper(x) AND x <> lower(x)) AS n_caps FROM l WHERE trim(x) <> '' GROUP BY 1"),
     "d7_weighted_mode": (weighted_mode, "WITH g AS (SELECT l_suppkey, l_returnflag || l_linestatus AS flag, sum(l_linenumber) AS w, min(l_orderkey * 10 + l_linenumber) AS o FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, arg_max(flag, (w, -o)) AS flag FROM g GROUP BY 1"),
     "d7_majority": (majority, "SELECT l_suppkey, sum(CASE WHEN l_linestatus = 'O' THEN l_linenumber ELSE -l_linenumber END) >= 0 AS open FROM lineitem GROUP BY 1"),
@@ -351,7 +379,8 @@ SELECT doc_id, page, block, CASE WHEN x > 0.5 AND x < 4 THEN round(x, 2) END AS
 SELECT doc_id, page, block, CASE WHEN alignment IN ('left', 'justified') AND d IS NOT NULL THEN CASE WHEN d > 3 THEN round(d, 1) ELSE 0 END END AS indent FROM y JOIN al USING (doc_id, page, block)"""),
     "d19_font_names": (font_names, "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Times New Roman' WHEN 1 THEN 'Arial' WHEN 2 THEN 'Helvetica' WHEN 3 THEN 'Book' WHEN 4 THEN 'Minion' ELSE 'Bold' END AS family FROM part"),
     "d10_lengths": (lengths, "SELECT p_partkey, round(p_size * CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 72 WHEN 2 THEN 72 / 25.4 WHEN 3 THEN 72 / 2.54 WHEN 4 THEN 7200.0::DOUBLE / 7227 ELSE 12 * 1238.0::DOUBLE / 1157 END, 3)::DOUBLE AS points FROM part"),
-    "f1_identity": (identity, f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{ASCII_EMAIL}'))), ',') AS emails, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{ASCII_ID}'))), ',') AS orcids, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> ''))::INT AS words FROM documents"),
+    "f1_identity": (identity, f"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{_WORD}[{_CHARS}.+-]*@[{_CHARS}-]+\\.[{_CHARS}.-]+{_WORD}'))), ',') AS emails, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b(?:\\(?[0-9]{{4}}\\)?[-\\s]?){{3}}[0-9]{{3}}[0-9Xx]\\b'))), ',') AS orcids,
+  len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> ''))::INT AS words FROM documents"""),
     "f13_figures": (figure_counts, "SELECT p_partkey, greatest(p_size, p_partkey % 40)::INT AS figures, (p_size % 7)::INT AS tables, 1 AS self_citations FROM part"),
     "d1_heading_sections": (heading_sections, "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'Introduction' WHEN 1 THEN 'Methodology' WHEN 2 THEN 'Abstract' WHEN 3 THEN 'Results' WHEN 4 THEN 'Conclusion' WHEN 5 THEN 'References' END AS section, p_partkey % 8 = 7 AS keywords FROM part"),
     "a2_scores": (scores, f"WITH {_LI} SELECT paper_id, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status <> 'passed' AND severity = 'blocking') AS blocking, count(*) FILTER (status <> 'passed' AND severity = 'warning') AS warnings, round_even(100.0 * count(*) FILTER (status = 'passed') / count(*), 0)::INT AS score, round_even(100.0 * count(*) FILTER (status = 'passed') / count(*), 0)::INT AS report_score FROM li GROUP BY 1"),
@@ -388,8 +417,11 @@ SELECT paper_id, passed::BIGINT AS passed, failed::BIGINT AS failed, missing::BI
   'structure.reference_entry_count', 'structure.reference_count_confidence', 'structure.total_word_count', 'assets.figures', 'assets.tables', 'assets.confidence', 'identity.acknowledgement_present', 'latex.document_class']) AS field),
 u AS (SELECT 'layout.page_count' AS field, CASE WHEN p_partkey % 4 = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM p UNION ALL SELECT 'layout.page_size_label', CASE WHEN p_partkey % 5 > 1 THEN 'unchanged' ELSE 'unavailable' END FROM p UNION ALL SELECT 'structure.title_text', 'unchanged' FROM p
   UNION ALL SELECT field, 'unavailable' FROM p, f) SELECT field, state, count(*) AS n FROM u GROUP BY 1, 2"""),
-    "c8_inferred": (inferred, None),
+    "c8_inferred": (inferred, f"""WITH {_SECTIONS}, q AS (SELECT doc_id, pos, greatest(length(trim(x)), 1) AS w, CASE WHEN length(x) % 3 = 0 THEN 'Times' ELSE 'Arial' END AS font, (length(x) % 4 + 9)::DOUBLE AS size, kind, kind = 'body' AND NOT regexp_matches(x, '(?i)^\\s*(table|tab\\.|fig\\.|figure|algorithm|listing|scheme|chart)\\s*\\.?\\s*\\d+')
+  AND NOT regexp_matches(x, '(?i)^\\s*(acknowledg(e)?ments?|disclosure of interests?|competing interests?|conflict of interests?|ethical standards?|author contributions?)\\s*[.:]') AS body FROM y),
+f AS (SELECT doc_id, arg_max(font, (w, -p)) AS body_font FROM (SELECT doc_id, font, sum(w) AS w, min(pos) AS p FROM q WHERE body GROUP BY 1, 2) GROUP BY 1), z AS (SELECT doc_id, arg_max(size, (w, -p)) AS body_size FROM (SELECT doc_id, size, sum(w) AS w, min(pos) AS p FROM q WHERE body GROUP BY 1, 2) GROUP BY 1)
+SELECT d.doc_id, body_font, body_size, (SELECT min(font) FROM q WHERE q.doc_id = d.doc_id AND kind = 'title') AS title_font, (SELECT min(size) FROM q WHERE q.doc_id = d.doc_id AND kind = 'title') AS title_size FROM (SELECT DISTINCT doc_id FROM y) d LEFT JOIN f USING (doc_id) LEFT JOIN z USING (doc_id)"""),
     "s1_formats": (formats, "SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CASE p_partkey % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'latex' WHEN 2 THEN 'docx' WHEN 4 THEN 'latex' END END AS format FROM part"),
-    "s11_upload_limits": (upload_limits, "SELECT doc_id, source, n_chars, (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM documents WHERE n_chars <= 5000 QUALIFY total <= 20000"),
-    "r51_forbidden_terms": (forbidden_terms, "WITH b AS (SELECT DISTINCT lower(array_to_string(list_slice(string_split(text, ' '), 1, 1), ' ')) AS term FROM benchmark), d AS (SELECT DISTINCT doc_id, lower(array_to_string(list_slice(string_split(l, ' '), 1, 1), ' ')) AS term FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) SELECT doc_id, count(*) AS terms FROM d JOIN b USING (term) GROUP BY 1"),
+    "s11_upload_limits": (upload_limits, "SELECT doc_id, source, n_chars AS size FROM documents WHERE n_chars <= 5000 QUALIFY sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) <= 20000"),
+    "r51_forbidden_terms": (forbidden_terms, f"WITH {_COUNTS} SELECT paper_id, CASE WHEN ok_term = 1 THEN 'passed' ELSE 'failed' END AS status, 'blocking' AS severity FROM y"),
 }

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliolith.functions import values as V
+from foliolith.operators import decisions, portal
 from foliolith.operators import relational as R
 from foliolith.session import table as t
 
@@ -79,10 +80,8 @@ def threads(s, sf):
 
 
 QUERIES = {
-    "j8_expression_join": (lambda s, sf: t(s, sf, "events").join(t(s, sf, "supplier").select((F.col("s_suppkey") * 3).alias("event_id"), F.col("s_nationkey").alias("via")), "event_id", "left").withColumn("k", F.coalesce("via", F.col("event_id") % 25)).join(t(s, sf, "nation"), F.col("k") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n")), "SELECT n_name, count(*) AS n FROM events e LEFT JOIN supplier s ON e.event_id = s.s_suppkey * 3 JOIN nation ON coalesce(s_nationkey, e.event_id % 25) = n_nationkey GROUP BY 1"),
     "j11_enrich_latest": (lambda s, sf: t(s, sf, "customer").join(R.latest(t(s, sf, "orders"), ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", "left").select("c_custkey", "o_orderkey"), "SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
     "j14_dangling": (lambda s, sf: R.dangling(t(s, sf, "orders"), t(s, sf, "customer").filter("c_acctbal > 0"), "o_custkey", "c_custkey").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"),
-    "j17_duplicate_names": (lambda s, sf: t(s, sf, "part").alias("a").join(t(s, sf, "part").alias("b"), (F.lower("a.p_name") == F.lower("b.p_name")) & (F.col("a.p_partkey") != F.col("b.p_partkey")), "left_semi").select("p_partkey"), "SELECT p_partkey FROM part a WHERE EXISTS (SELECT 1 FROM part b WHERE lower(a.p_name) = lower(b.p_name) AND a.p_partkey <> b.p_partkey)"),
     "k1_upsert": (upsert, "WITH n AS (SELECT c_custkey * 2 AS k, CASE WHEN c_custkey % 2 = 0 THEN 99 END AS nk FROM customer WHERE c_custkey % 7 = 0) SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN k IS NULL THEN c_mktsegment ELSE 'NEW' END AS c_mktsegment, CASE WHEN k IS NULL THEN c_nationkey ELSE coalesce(nk, c_nationkey) END::INT AS c_nationkey FROM customer FULL JOIN n ON c_custkey = k"),
     "k4_insert_ignore": (lambda s, sf: R.insert_ignore(t(s, sf, "nation").filter("n_nationkey < 10").select("n_nationkey", "n_name"), t(s, sf, "nation").filter("n_nationkey > 5").select("n_nationkey", F.lower("n_name").alias("n_name")), ["n_nationkey"]), "SELECT n_nationkey, CASE WHEN n_nationkey < 10 THEN n_name ELSE lower(n_name) END AS n_name FROM nation"),
     "k5_sequence": (sequence, "WITH a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS r, count(*) FILTER (o_orderkey % 2 = 0) OVER (PARTITION BY o_custkey) AS e FROM orders) SELECT o_custkey, o_orderkey, (r + CASE WHEN o_orderkey % 2 = 1 THEN e ELSE 0 END)::BIGINT AS sequence FROM a"),
@@ -95,14 +94,17 @@ QUERIES = {
     "q10_redact": (lambda s, sf: R.redact(t(s, sf, "customer"), F.col("c_nationkey") < 5, "c_name", "c_acctbal").select("c_custkey", "c_name"), "SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN c_name END AS c_name FROM customer"),
     "q13_gaps": (lambda s, sf: t(s, sf, "part").withColumn("a", F.when(F.col("p_size") > 10, F.col("p_name"))).withColumn("b", F.when(F.col("p_partkey") % 2 == 0, " ")).select("p_partkey", F.array_join(R.missing_fields(["a", "b", "p_type"]), ",").alias("gaps")), "SELECT p_partkey, CASE WHEN p_size > 10 THEN 'b' ELSE 'a,b' END AS gaps FROM part"),
     "q15_comments": (comments, "SELECT conv_id AS thread_id, turn, CASE WHEN turn % 3 = 2 THEN 0 ELSE length(text) END::INT AS chars, CASE WHEN role = 'user' OR turn % 2 = 0 THEN role END AS author, role = 'user' AND turn % 3 <> 2 AS can_edit FROM conversations"),
-    "o1_order": (lambda s, sf: t(s, sf, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey").limit(50), "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50"),
     "o4_latest": (lambda s, sf: R.latest(t(s, sf, "events"), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id"), "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1"),
-    "o5_earliest": (lambda s, sf: t(s, sf, "lineitem").groupBy("l_suppkey").agg(F.min_by("l_orderkey", F.struct("l_shipdate", "l_orderkey")).alias("first_order")), "SELECT l_suppkey, arg_min(l_orderkey, (l_shipdate, l_orderkey)) AS first_order FROM lineitem GROUP BY 1"),
     "o6_first_page": (page, "SELECT o_orderdate, o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P' ORDER BY 1 DESC, 2 DESC LIMIT 101"),
-    "o6_second_page": (second_page, None),
     "o9_numbers": (lambda s, sf: R.numbered(t(s, sf, "orders"), ["o_custkey"], F.col("o_orderdate"), F.col("o_orderkey")).select("o_orderkey", F.col("number").cast("bigint").alias("number")), "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number FROM orders"),
-    "a10_next_number": (lambda s, sf: t(s, sf, "customer").select(F.col("c_custkey").alias("o_custkey")).join(t(s, sf, "orders"), "o_custkey", "left").groupBy("o_custkey").agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_number")), "SELECT c_custkey AS o_custkey, coalesce(max(o_orderkey), 0) + 1 AS next_number FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
     "w11_first_requests": (first_requests, "SELECT o_custkey AS paper, o_orderpriority AS request_key, min(o_orderkey) AS o_orderkey, min(o_orderstatus) <> max(o_orderstatus) AS conflict FROM orders GROUP BY 1, 2"),
     "w12_invitations": (invitations, "SELECT CASE WHEN event_id % 4 = 0 THEN 'accepted' WHEN ts <= TIMESTAMP '2024-01-15' THEN 'expired' WHEN event_id % 3 <> 0 THEN 'invalidated' ELSE 'pending' END AS status, count(*) AS n FROM events GROUP BY 1"),
-    "w13_rate_limit": (rate_limit, None),
+    "o1_order": (lambda s, sf: portal.newest_first(t(s, sf, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey").limit(50), "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50"),
+    "o5_earliest": (lambda s, sf: R.earliest(t(s, sf, "lineitem"), ["l_suppkey"], "l_orderkey", "l_shipdate", "l_orderkey"), "SELECT l_suppkey, arg_min(l_orderkey, (l_shipdate, l_orderkey)) AS l_orderkey FROM lineitem GROUP BY 1"),
+    "o6_second_page": (second_page, """WITH k AS (SELECT quantile_disc(o_orderkey, 0.5) AS k FROM orders), a AS (SELECT o_orderdate AS d, o_orderkey AS n FROM orders JOIN k ON o_orderkey = k)
+SELECT o_orderdate, o_orderkey, o_custkey FROM orders, a WHERE o_orderstatus <> 'P' AND (o_orderdate, o_orderkey) < (d, n) ORDER BY 1 DESC, 2 DESC LIMIT 101"""),
+    "a10_next_number": (lambda s, sf: decisions.next_number(t(s, sf, "customer").select(F.col("c_custkey").alias("o_custkey")).join(t(s, sf, "orders"), "o_custkey", "left"), ["o_custkey"], "o_orderkey"), "SELECT c_custkey AS o_custkey, coalesce(max(o_orderkey), 0) + 1 AS next_number FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
+    "w13_rate_limit": (rate_limit, """WITH RECURSIVE w(user_id, start) AS (SELECT user_id, min(ts) FROM events GROUP BY 1 UNION ALL SELECT w.user_id, (SELECT min(ts) FROM events e WHERE e.user_id = w.user_id AND e.ts >= w.start + INTERVAL 3600 SECOND) FROM w WHERE w.start IS NOT NULL),
+c AS (SELECT w.user_id, w.start, (SELECT count(*) FROM events e WHERE e.user_id = w.user_id AND e.ts >= w.start AND e.ts < w.start + INTERVAL 3600 SECOND) AS n FROM w WHERE w.start IS NOT NULL)
+SELECT user_id, sum(n)::INT AS hits, count(*)::INT AS windows, sum(greatest(0, n - 2))::INT AS rejected FROM c GROUP BY 1"""),
 }

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolith.functions import values as V
+from foliolith.operators.relational import running_total
 from foliolith.operators.structure import FORMAT
 from foliolith.sources.docx import docx_info, parse_docx
 from foliolith.sources.gdoc import gdoc_info, parse_google_doc
@@ -31,10 +32,8 @@ def read_folder(spark: SparkSession, path: str, most: int | None = None) -> Data
 
 def bounded(files: DataFrame, batch: str, order: str, per_file: int = FILE_LIMIT, per_batch: int = BATCH_LIMIT) -> DataFrame:
     """Files within the limits: each, and the running total of its batch."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return files.filter(F.col("size") <= per_file).withColumn("__t", F.sum("size").over(w)).filter(F.col("__t") <= per_batch).drop("__t")
+    fit = files.filter(F.col("size") <= per_file)
+    return running_total(fit, batch, order, "size", "__t").filter(F.col("__t") <= per_batch).drop("__t")
 
 
 def container_error(data: bytes, fmt: str) -> str | None:
