@@ -34,13 +34,18 @@ def verdict(reject_blocking: Column, reject_warning: Column, min_score: Column)
     )
 
 
-def assess(results: DataFrame, policies: DataFrame) -> DataFrame:
+def assess(results: DataFrame, policies: DataFrame | dict, keys: list[str] = ("paper_id",)) -> DataFrame:
     """One row a paper: counters, score, verdict, the first blocking names, a summary line.
     ``policies``: paper_id, reject_blocking, reject_warning, min_score (a missing row or field takes
-    the default)."""
+    the default), or one policy for all as a dict. ``keys``: paper_id and what goes with it."""
     reasons = F.filter(F.sort_array(F.collect_list(F.when(F.col("status").isin(*ISSUES) & (F.col("severity") == "blocking"), F.struct("ord", "name")))), lambda x: x.isNotNull())
-    a = results.groupBy("paper_id").agg(*counters(), F.transform(F.slice(reasons, 1, 3), lambda x: x["name"]).alias("reasons"))
-    a = a.withColumn("score", score()).join(policies, "paper_id", "left")
+    a = results.groupBy(*keys).agg(*counters(), F.transform(F.slice(reasons, 1, 3), lambda x: x["name"]).alias("reasons"))
+    a = a.withColumn("score", score())
+    if isinstance(policies, dict):
+        kinds = {"reject_blocking": "boolean", "reject_warning": "boolean", "min_score": "int"}
+        a = a.withColumns({k: F.lit(policies.get(k)).cast(t) for k, t in kinds.items()})
+    else:
+        a = a.join(policies, "paper_id", "left")
     v = verdict(F.coalesce("reject_blocking", F.lit(True)), F.coalesce("reject_warning", F.lit(False)), F.col("min_score"))
     a = a.withColumn("verdict", v).drop("reject_blocking", "reject_warning", "min_score")
     more = F.when(F.col("blocking") > 3, F.format_string(" (+%d more)", F.col("blocking") - 3)).otherwise("")

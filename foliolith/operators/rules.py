@@ -99,6 +99,16 @@ def facts_schema() -> str:
     return f"struct<{_compact(FACTS)}>"
 
 
+def facts_of(groups: dict[str, dict[str, Column]]) -> Column:
+    """A struct of all facts from those given by group and name; the others are null."""
+    from pyspark.sql.types import StructType
+
+    kinds = StructType.fromDDL(FACTS.replace("\n", " "))
+    return F.struct(*[
+        F.struct(*[groups.get(g.name, {}).get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in g.dataType.fields]).alias(g.name) for g in kinds.fields
+    ])
+
+
 def _f(path: str) -> Column:
     return F.col(f"facts.{path}")
 
@@ -305,8 +315,8 @@ GROUPS: dict[str, Callable[[], list[Column]]] = {
 _EMPTY = RESULT.replace("ord:int,", "")
 
 
-def check_results(papers: DataFrame, groups: dict | None = None) -> DataFrame:
-    """One row for each paper and rule that speaks.
+def check_results(papers: DataFrame, groups: dict | None = None, carry: list[str] = ()) -> DataFrame:
+    """One row for each paper and rule that speaks, with the paper's ``carry`` columns.
 
     ``papers``: paper_id, facts, rules, and error (null, or why the file can't be read; such
     a paper has one failed row). One projection builds all rows of a paper as an array, which
@@ -316,11 +326,11 @@ def check_results(papers: DataFrame, groups: dict | None = None) -> DataFrame:
     none = F.array().cast(f"array<{_EMPTY}>")
     every = F.filter(F.concat(*[F.coalesce(r, none) for r in rows]), lambda x: x.isNotNull())
     unread = F.array(_row("file.ingest", "Readable file", "failed", B, "readable", "unreadable", "Submit a readable file.", F.col("error"))).cast(f"array<{_EMPTY}>")
-    out = papers.select("paper_id", F.posexplode(F.when(F.col("error").isNotNull(), unread).otherwise(every)).alias("ord", "x"))
-    return out.select("paper_id", "ord", "x.*")
+    out = papers.select("paper_id", *carry, F.posexplode(F.when(F.col("error").isNotNull(), unread).otherwise(every)).alias("ord", "x"))
+    return out.select("paper_id", *carry, "ord", "x.*")
 
 
 def with_rules(facts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(paper_id, facts, rules, error): every paper with the rule set it names (rules_id).
-    Rule sets are configuration rows; the optimiser broadcasts them while they are small."""
-    return facts.join(rules, "rules_id", "left").select("paper_id", "facts", "rules", "error")
+    """Papers (paper_id, facts, error, more) with the rule set they name (rules_id). Rule sets
+    are configuration rows; the optimiser broadcasts them while they are small."""
+    return facts.join(rules, "rules_id", "left")

@@ -25,25 +25,24 @@ def paper_facts(docs: DataFrame) -> DataFrame:
     """(paper_id, batch_id, rules_id, facts, error) of documents: what their text tells."""
     text = F.coalesce("text", F.lit(""))
     words = F.size(F.array_remove(F.split(text, "[ \\t\\n\\r]+"), ""))
-    facts = F.struct(
-        F.struct(F.col("doc_id").cast("string").alias("filename"), F.col("lang").alias("extension"), F.lit("pdf").alias("format"), F.col("n_chars").alias("size_bytes")).alias("file"),
-        F.struct(F.greatest(F.lit(1), F.ceil(words / 300)).cast("int").alias("page_count"), F.lit(False).alias("page_count_exact")).alias("layout"),
-        F.struct(F.substring_index(text, "\n", 1).alias("title_text"), F.lit(False).alias("has_abstract"), words.cast("bigint").alias("total_words")).alias("structure"),
-        F.struct(T.distinct_matches(text, ASCII_EMAIL).alias("emails"), T.distinct_matches(text, ASCII_ID).alias("orcids")).alias("identity"),
-    )
-    full = F.from_json(F.to_json(facts), rules.facts_schema())
-    return docs.select(F.col("doc_id").alias("paper_id"), F.col("source").alias("batch_id"), F.lit("house").alias("rules_id"), full.alias("facts"), F.when(F.col("text").isNull(), "no text").alias("error"))
+    facts = rules.facts_of({
+        "file": {"filename": F.col("doc_id").cast("string"), "extension": F.col("lang"), "format": F.lit("pdf"), "size_bytes": F.col("n_chars")},
+        "layout": {"page_count": F.greatest(F.lit(1), F.ceil(words / 300)), "page_count_exact": F.lit(False)},
+        "structure": {"title_text": F.substring_index(text, "\n", 1), "has_abstract": F.lit(False), "total_words": words},
+        "identity": {"emails": T.distinct_matches(text, ASCII_EMAIL), "orcids": T.distinct_matches(text, ASCII_ID)},
+    })
+    return docs.select(F.col("doc_id").alias("paper_id"), F.col("source").alias("batch_id"), F.lit("house").alias("rules_id"), facts.alias("facts"), F.when(F.col("text").isNull(), "no text").alias("error"))
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
     papers = paper_facts(t(spark, sf, "documents"))
-    return rules.check_results(rules.with_rules(papers, rules.rules_frame(spark, {"house": RULESET})))
+    return rules.check_results(rules.with_rules(papers, rules.rules_frame(spark, {"house": RULESET})), carry=["batch_id"])
 
 
 def verdicts(spark, sf):
-    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("batch_id"))
-    policy = docs.select("paper_id", F.lit(True).alias("reject_blocking"), F.lit(False).alias("reject_warning"), F.lit(60).alias("min_score"))
-    return decisions.assess(results(spark, sf), policy).join(docs, "paper_id").select("paper_id", "batch_id", "passed", "failed", "missing", "not_applicable", "blocking", "warnings", "score", "verdict")
+    policy = {"reject_blocking": True, "reject_warning": False, "min_score": 60}
+    a = decisions.assess(results(spark, sf), policy, ["paper_id", "batch_id"])
+    return a.select("paper_id", "batch_id", "passed", "failed", "missing", "not_applicable", "blocking", "warnings", "score", "verdict")
 
 
 _COUNTS = f"""
