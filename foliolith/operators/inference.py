@@ -78,6 +78,19 @@ COMPARED = (
 )
 
 
+def compared_facts(f: Column) -> Column:
+    """What the older comparison looks at, from the facts of a paper or template."""
+    t, l, m = f["typography"], f["layout"], f["layout"]["margins"]
+    known = {
+        "width": l["width"], "height": l["height"], "orientation": l["orientation"], "columns": l["columns"], "title_size": t["title_font_size_pt"], "heading_size": t["heading_font_size_pt"],
+        "body_font": t["body_font"], "body_size": t["body_font_size_pt"], "line_spacing": t["line_spacing"], "indent": t["first_line_indent_pt"], "space_below": t["space_below_pt"],
+        **{f"margin_{x}": m[x] for x in ("top", "bottom", "left", "right")},
+    }
+    text = ("orientation", "title_font", "abstract_font", "heading_font", "body_font")
+    cells = [known.get(c, F.lit(None)).cast("string" if c in text else "double").alias(c) for _, c, _ in COMPARED]
+    return F.struct(*cells, f["structure"]["sections"].alias("sections"))
+
+
 def run_comparison(pairs: DataFrame) -> DataFrame:
     """(paper_id, id, status) of ``pairs``: paper_id, structs template and paper with the
     fields of COMPARED and ``sections`` (names). Presence needs the exact name."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliolith.plans import papers, portal, reviewing, workflow
+from foliolith.plans import details, papers, portal, reviewing, workflow
 
-ALL = {**papers.QUERIES, **workflow.QUERIES, **reviewing.QUERIES, **portal.QUERIES}
+ALL = {**papers.QUERIES, **workflow.QUERIES, **reviewing.QUERIES, **portal.QUERIES, **details.QUERIES}
 
 
 def queries():
