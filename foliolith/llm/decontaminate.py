@@ -17,8 +17,6 @@ from foliolith.llm.util import Stage, small_batches
 WINDOW = 10
 #: Pattern bytes of one broadcast table; a larger benchmark is searched in several passes.
 BLOCK_BYTES = 8_000_000
-#: Passes between two cuts of lineage.
-PASSES = 4
 _GAP = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -88,11 +86,16 @@ class WuManber:
                 end += 1
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[dict[bytes, list[int]]]:
+def _id_kind(benchmark: DataFrame) -> str:
+    """The type in which item ids are held: whole numbers or strings."""
+    return "bigint" if benchmark.schema["item_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[dict[bytes, list]]:
     """Patterns in tables of at most BLOCK_BYTES (one item more at most), read row by row."""
     block: dict[bytes, list[int]] = {}
     size = 0
-    for row in benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast(_id_kind(benchmark)), F.col("text").cast("string")).toLocalIterator():
         if row[0] is None:
             continue
         for p in windows(row[1]):
@@ -108,7 +111,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[dict[bytes, list[int]]]:
         yield block
 
 
-def _pass(bc, cols: list[str]):
+def _pass(bc, cols: list[str], kind: str):
     """Adds one block's occurrences to __from/__to (word intervals, merged) and __items."""
 
     def run(batches):
@@ -142,7 +145,7 @@ def _pass(bc, cols: list[str]):
                 items.append(it)
             ints = pa.list_(pa.int64())
             out = {c: batch.column(c) for c in cols}
-            out |= {"__n": pa.array(n_words, pa.int64()), "__from": pa.array(los, ints), "__to": pa.array(his, ints), "__items": pa.array(items, ints)}
+            out |= {"__n": pa.array(n_words, pa.int64()), "__from": pa.array(los, ints), "__to": pa.array(his, ints), "__items": pa.array(items, pa.list_(pa.int64() if kind == "bigint" else pa.string()))}
             yield pa.RecordBatch.from_pydict(out)
 
     return run
@@ -150,7 +153,8 @@ def _pass(bc, cols: list[str]):
 
 def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row, text, n_words, hit_from, hit_to, items): word intervals of each document that
-    lie inside an occurrence of a benchmark window, and the items that occur.
+    lie inside an occurrence of a benchmark window, and the items that occur (ids as whole
+    numbers where item_id is one, else as strings).
 
     ``row`` holds all columns of ``docs``. Each pass streams every whole document past one
     block of patterns; there is no shuffle, so a hot item or copies don't matter. Null and
@@ -159,18 +163,17 @@ def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
     nothing.
     """
     small_batches(spark)
-    empty = F.array().cast("array<bigint>")
-    df = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text"), F.lit(0).cast("bigint").alias("__n"), empty.alias("__from"), empty.alias("__to"), empty.alias("__items"))
-    schema, stage, done = df.schema, None, 0
+    empty, kind = F.array().cast("array<bigint>"), _id_kind(benchmark)
+    df = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text"), F.lit(0).cast("bigint").alias("__n"), empty.alias("__from"), empty.alias("__to"), F.array().cast(f"array<{kind}>").alias("__items"))
+    schema, stage, cols = df.schema, None, ["row", "text"]
+    block = None
     for block in _blocks(benchmark):
-        bc = spark.sparkContext.broadcast(block)
-        df = df.mapInArrow(_pass(bc, ["row", "text"]), schema)
-        done += 1
-        if done % PASSES == 0:
-            stage = stage or Stage(spark, "decontaminate")
+        if stage:  # one table of patterns a task: what was found is written before the next pass
             df = stage.cut(df)
-    if not done:
-        df = df.mapInArrow(_pass(None, ["row", "text"]), schema)
+        stage = stage or Stage(spark, "decontaminate")
+        df = df.mapInArrow(_pass(spark.sparkContext.broadcast(block), cols, kind), schema)
+    if block is None:
+        df = df.mapInArrow(_pass(None, cols, kind), schema)
     return df.select("row", "text", F.col("__n").alias("n_words"), F.col("__from").alias("hit_from"), F.col("__to").alias("hit_to"), F.col("__items").alias("items"))
 
 

@@ -87,3 +87,72 @@ def test_short_pages_and_copies(spark):
     text = " ".join(f"line {k}" for k in range(12))
     want = {**{i: f"text {i}" for i in range(4)}, 10: f"one {text}", 11: f"two {text}", 13: f"two {text}", 12: "other words"}
     assert got == want
+
+
+def plain_extract(rows):
+    """The whole extraction, page by page, with a table for each alignment. The pages' shared
+    lines stand in one order, so their longest common subsequence is unique."""
+    def positions(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+        out, i, j = set(), 0, 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j] and t[i][j] == t[i + 1][j + 1] + 1:
+                out.add(i)
+                i, j = i + 1, j + 1
+            elif t[i + 1][j] >= t[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    pages = {}
+    for pid, url, body in rows:
+        host, _, path = url.split("//")[1].partition("/")
+        pages[pid] = (host.lower(), "/" + path.split("?")[0], html.lines(body))
+    out = {}
+    for pid, (host, path, own) in pages.items():
+        marked = any(k == html.MAIN for _, k in own)
+        near = []
+        for order, group in ((0, [p for p in pages if pages[p][0] == host and any(k == html.MAIN for _, k in pages[p][2]) == marked]), (1, [p for p in pages if pages[p][0] == host])):
+            group.sort(key=lambda p: (pages[p][1], p))
+            at = group.index(pid)
+            for step in (-1, 1, -2, 2):
+                if 0 <= at + step < len(group):
+                    other = pages[group[at + step]]
+                    same = 0
+                    while same < min(len(path), len(other[1])) and path[same] == other[1][same]:
+                        same += 1
+                    near.append(((order, -same, abs(step), step), [t for t, _ in other[2]]))
+        mine = [t for t, k in own if k == html.MAIN or not marked]
+        gone = None
+        for _, other in sorted(near):
+            found = positions(mine, other)
+            if len(found) <= html.COPY * len(mine):
+                gone = found
+                break
+            if len(found) < len(mine):
+                gone = found if gone is None else gone & found
+        out[pid] = " ".join(t for i, t in enumerate(mine) if i not in (gone or set()))
+    return out
+
+
+def test_whole_query_matches_plain_differencing(spark):
+    rng, rows = random.Random(8), []
+    for host in range(3):
+        top, low = [f"top {host} {i}" for i in range(4)], [f"low {host} {i}" for i in range(3)]
+        for n in range(14):
+            own = [f"own {host} {n} {i}" for i in range(rng.choice([1, 4, 9]))]
+            if n % 5 == 4:
+                own = [f"own {host} {n - 1} {i}" for i in range(6)] + own[:1]  # a near copy of the page before
+            body = "".join(f"<p>{x}</p>" for x in [*sorted(rng.sample(top, rng.randrange(2, 5))), *own, *sorted(rng.sample(low, 2))])
+            if n % 3 == 0:
+                body = f"<div>outside {host}</div><article>{body}</article>"
+            rows.append((100 * host + n, f"http://h{host}.org/{'ab'[n % 2]}/{n:02d}?x={n}", f"<html><body><nav>menu</nav>{body}</body></html>"))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark, spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    want = plain_extract(rows)
+    assert got == want
+    whole = {pid: " ".join(t for t, _ in html.lines(body)) for pid, _, body in rows}
+    assert sum(len(got[p]) < len(whole[p]) for p in got) > 30

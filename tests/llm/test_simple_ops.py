@@ -178,6 +178,8 @@ def test_decontaminate_is_exact(spark, monkeypatch):
                 assert (got[i]["n_words"], got[i]["n"], set(got[i]["items"])) == want, i
     kept = decontaminate.remove_hits(spark, d, bench)
     assert kept.columns == d.columns and kept.count() < d.count()
+    named = bench.selectExpr("concat('q', item_id) as item_id", "text")
+    assert {r[0] for r in decontaminate.find_items(spark, d, named).select(F.explode("items")).collect()} == {f"q{r[0]}" for r in decontaminate.find_items(spark, d, bench).select(F.explode("items")).collect()}
     assert decontaminate.remove_hits(spark, d, empty(spark, "item_id long, text string")).count() == d.count()
     assert decontaminate.find_items(spark, empty(spark), bench).count() == 0
 
