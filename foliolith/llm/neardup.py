@@ -23,6 +23,13 @@ LISTED, SMALL, OVERLAP = 32, 30, 24
 HOT = 64
 #: Lists that a member must share with its leader to be compared in the first round.
 AT_LEAST = 2
+#: A document stays open for further comparison if OPEN_SHARE of its first OPEN sketch values
+#: also stand in sketches of other components. Each value of a link's set is shared with
+#: chance 0.8 at least, so that fewer are (7 of 24) has a chance of 1e-7.
+OPEN, OPEN_SHARE = 24, 0.33
+#: Sets with more copies than a COPIESth of all documents (and than COPIES) are at most COPIES:
+#: as many rows are broadcast, and no task gathers a larger group.
+COPIES = 1000
 #: Pairs whose sketches estimate less than this are not verified.
 MIN_SHARE = 0.5
 #: Members that one task compares with a leader's set.
@@ -124,17 +131,15 @@ def _entries(stage: Stage, reps: DataFrame) -> DataFrame:
 
 
 def _open(hot: DataFrame, reps: DataFrame) -> DataFrame:
-    """The rows of ``hot`` whose document can pass the estimate with one of another component.
-
-    What passes shares MIN_SHARE of the union sketch, which is no smaller than either
-    sketch; so a document of which fewer values stand in sketches of other components
-    passes with none of them.
-    """
+    """The rows of ``hot`` whose document may be linked with one of another component: enough
+    of its first sketch values stand in other components' sketches, too (see OPEN)."""
     members = hot.select("id", "comp").distinct().join(reps.select("id", "sketch"), "id")
-    flat = members.select("id", "comp", F.size("sketch").alias("of"), F.explode("sketch").alias("v"))
-    both = flat.groupBy("v").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("v")
+    every = members.select("comp", F.explode("sketch").alias("v"))
+    both = every.groupBy("v").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("v")
+    first = F.slice("sketch", 1, OPEN)
+    flat = members.select("id", F.size(first).alias("of"), F.explode(first).alias("v"))
     some = flat.join(both, "v", "left_semi").groupBy("id").agg(F.count("*").alias("shared"), F.first("of").alias("of"))
-    return hot.join(some.filter(F.col("shared") >= MIN_SHARE * F.col("of")).select("id"), "id", "left_semi")
+    return hot.join(some.filter(F.col("shared") >= OPEN_SHARE * F.col("of")).select("id"), "id", "left_semi")
 
 
 def _families(stage: Stage, docs: DataFrame, hot: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -218,7 +223,7 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     small_batches(spark)
     stage = Stage(spark, "neardup")
     sk = stage.cut(sketches(docs, words))
-    classes = sk.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = sk.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = classes.groupBy("id").agg(F.min_by("n", "d1").alias("n"), F.min_by("sketch", "d1").alias("sketch"))
     reps = stage.cut(reps.withColumn("sketch", _unsigned_order("sketch")))
     entries = stage.cut(_entries(stage, reps))
@@ -235,10 +240,17 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     more = _check(spark, stage, docs, pairs, reps, words, percent)
     edges = edges.unionByName(more).unionByName(_families(stage, docs, e.filter("hot"), reps, words, percent))
     comps = stage.cut(components(stage, stage.cut(edges)))
-    ids = classes.select("d1", "d2", "id")
-    out = sk.join(ids, ["d1", "d2"], "left").join(comps, "id", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    found = stage.cut(classes.join(comps, "id", "left").select("d1", "d2", "copies", F.coalesce("comp", "id").alias("comp")))
+    rows = sk.select("doc_id", "n", "d1", "d2")
+    alone = rows.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("comp"))
+    rows = rows.filter("n > 0 and doc_id is not null")
+    many = F.greatest(F.lit(COPIES), F.lit(rows.count()) / COPIES)
+    # At most COPIES rows (see there), and what is left has no large group.
+    hot = F.broadcast(found.filter(F.col("copies") > many).select("d1", "d2", "comp"))
+    rest = found.filter(F.col("copies") <= many).select("d1", "d2", "comp")
+    out = rows.join(hot, ["d1", "d2"]).unionByName(rows.join(hot, ["d1", "d2"], "left_anti").join(rest, ["d1", "d2"]))
+    out = out.select("doc_id", "n", "comp").unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
 def _check(spark, stage, docs, pairs, reps, words, percent) -> DataFrame:

@@ -170,28 +170,42 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
+#: A key is hot if it has more than a HUBSth of all rows (and more than HUBS); there are at most
+#: HUBS such keys, a bound on what is broadcast.
+HUBS = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, a row a key with ``n``, its rows in ``left`` of ``total``:
+    hot keys by broadcast, so that their rows stay where they are, the others by a shuffle."""
+    many = max(HUBS, total / HUBS)
+    hot = F.broadcast(right.filter(F.col("n") > many).drop("n"))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col("n") <= many).drop("n"), key)
+    return left.join(hot, key).unionByName(rest)
+
+
 def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp) of every id in an edge, comp being the smallest id reachable.
 
     Alternating large-star and small-star steps; each step keeps the components and the
     number of rounds is logarithmic in the longest chain. Every step is a grouped minimum
-    (combined before the shuffle) and an equi-join, so a hub with many edges is split by
-    adaptive execution instead of being gathered.
+    (combined before the shuffle) and an equi-join in which hubs aren't gathered.
     """
     e = stage.cut(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     )
-    sign = None
+    sign, total = None, e.count()
+    least = lambda df: df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     while True:
         sym = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = least(sym).select("u", F.least("u", "m").alias("m"), "n")
         large = (
-            sym.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            join_hot(sym, low, "u", 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v").distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = least(large)
         small = (
-            large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            join_hot(large, low, "u", total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
         new = stage.cut(small)
@@ -200,6 +214,6 @@ def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> Da
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == sign:
             break
-        sign = now
+        sign, total = now, now[0]
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots)
