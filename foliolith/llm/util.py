@@ -175,10 +175,13 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 HUBS = 1000
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
-    """``left`` joined with ``right``, a row a key with ``n``, its rows in ``left`` of ``total``:
-    hot keys by broadcast, so that their rows stay where they are, the others by a shuffle."""
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, top: int) -> DataFrame:
+    """``left`` joined with ``right``, a row a key with ``n``, its rows in ``left`` of ``total``
+    (``top`` at most): hot keys by broadcast, so that their rows stay where they are, the
+    others by a shuffle."""
     many = max(HUBS, total / HUBS)
+    if top <= many:
+        return left.join(right.drop("n"), key)
     hot = F.broadcast(right.filter(F.col("n") > many).drop("n"))
     rest = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col("n") <= many).drop("n"), key)
     return left.join(hot, key).unionByName(rest)
@@ -199,13 +202,14 @@ def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> Da
     while True:
         sym = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = least(sym).select("u", F.least("u", "m").alias("m"), "n")
+        top = sym.groupBy("u").count().agg(F.max("count")).first()[0] or 0  # an end of a later edge has no more
         large = (
-            join_hot(sym, low, "u", 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            join_hot(sym, low, "u", 2 * total, top).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v").distinct()
         )
         low = least(large)
         small = (
-            join_hot(large, low, "u", total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            join_hot(large, low, "u", total, top).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
         new = stage.cut(small)

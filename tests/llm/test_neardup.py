@@ -2,7 +2,7 @@
 
 import random
 
-from foliolith.llm import neardup
+from foliolith.llm import neardup, util
 
 from .fixtures import docs, empty, texts
 
@@ -89,3 +89,17 @@ def test_awkward_rows(spark):
     assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
     assert {5, 6, 7} & set(ids) == {5} and {0, 1, 2, None} <= set(ids)
     assert neardup.dedup(spark, empty(spark)).count() == 0
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(5, 100 + i) for i in range(40)] + [(300 + i, 301 + i) for i in range(30)] + [(300, 120), (900, 100)] + [(rng.randrange(1000, 1040), rng.randrange(1000, 1040)) for _ in range(25)]
+    comp = {x: x for e in edges for x in e}
+    for _ in comp:
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    for hubs in (3, 1000):
+        monkeypatch.setattr(util, "HUBS", hubs)
+        got = {r[0]: r[1] for r in util.components(util.Stage(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()}
+        alone = {a for a, b in edges if a == b} - set(got)
+        assert got == {k: v for k, v in comp.items() if k not in alone}
