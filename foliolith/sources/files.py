@@ -17,15 +17,20 @@ from foliolith.sources.docx import docx_info, parse_docx
 from foliolith.sources.gdoc import gdoc_info, parse_google_doc
 from foliolith.sources.latex import latex_info, parse_latex
 
-# Limits of uploads and archives.
+# Limits of uploads, archives, PDF files and folder listings.
 FILE_LIMIT, BATCH_LIMIT, BATCH_FILES = 50 * 1024 * 1024, 100 * 1024 * 1024, 200
-ARCHIVE_ENTRIES, ARCHIVE_RATIO = 2000, 200
+ARCHIVE_ENTRIES, ARCHIVE_BYTES, ARCHIVE_RATIO = 2000, 100 * 1024 * 1024, 200
+PDF_PAGES, PDF_OBJECTS = 500, 100_000
+FOLDER_DEPTH = 3
 
 
-def read_folder(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """(filename, path, content, size) of the files below a folder, each once; ``most`` limits
-    the listing in order of path."""
+def read_folder(spark: SparkSession, path: str, most: int | None = None, depth: int = FOLDER_DEPTH) -> DataFrame:
+    """(filename, path, content, size) of the files below a folder, at most ``depth`` folders
+    down, each once; ``most`` limits the listing in order of path."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath()
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    below = F.substring_index(F.regexp_replace("path", "^[A-Za-z0-9+.-]+:(//[^/]*)?", ""), root.rstrip("/") + "/", -1)
+    df = df.filter(F.size(F.split(below, "/")) - 1 <= depth)
     df = df.select(F.substring_index("path", "/", -1).alias("filename"), "path", "content", F.col("length").alias("size")).dropDuplicates(["path"])
     return df.orderBy("path").limit(most) if most else df
 
@@ -36,33 +41,46 @@ def bounded(files: DataFrame, batch: str, order: str, per_file: int = FILE_LIMIT
     return running_total(fit, batch, order, "size", "__t").filter(F.col("__t") <= per_batch).drop("__t")
 
 
+def _archive_error(data: bytes) -> str | None:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        entries = z.infolist()
+        names = [e.filename for e in entries]
+        if len(entries) > ARCHIVE_ENTRIES or sum(e.file_size for e in entries) > ARCHIVE_BYTES:
+            return "expands too much"
+        if len(set(names)) != len(names):
+            return "duplicate entries"
+        if not {"[Content_Types].xml", "word/document.xml"} <= set(names):
+            return "no document"
+        for e in entries:
+            link = (e.external_attr >> 16) & 0o170000 == 0o120000
+            if link or e.filename.startswith("/") or "\\" in e.filename or ".." in e.filename.split("/"):
+                return "unsafe path"
+            if e.flag_bits & 1 or e.file_size > ARCHIVE_RATIO * max(1, e.compress_size):
+                return "encrypted or expands too much"
+            if e.filename.lower().endswith("vbaproject.bin"):
+                return "macros"
+            if e.filename.endswith((".xml", ".rels")) and re.search(rb"<!DOCTYPE|<!ENTITY", z.read(e), re.I):
+                return "document type declaration"
+    return None
+
+
 def container_error(data: bytes, fmt: str) -> str | None:
     """Why a file must not be parsed, or None."""
+    if len(data) > FILE_LIMIT:
+        return "too large"
     if fmt == "docx":
         try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                infos = z.infolist()
-                names = [i.filename for i in infos]
-                if len(infos) > ARCHIVE_ENTRIES:
-                    return "too many entries"
-                if len(set(names)) != len(names):
-                    return "duplicate entries"
-                if any(n.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", n) for n in names):
-                    return "unsafe path"
-                if sum(i.file_size for i in infos) > ARCHIVE_RATIO * max(1, len(data)):
-                    return "expands too much"
-                if any("vbaproject" in n.lower() for n in names):
-                    return "macros"
-                if any(b"<!DOCTYPE" in z.read(n)[:4096] or b"<!ENTITY" in z.read(n)[:4096] for n in names if n.endswith((".xml", ".rels"))):
-                    return "document type declaration"
-                if "word/document.xml" not in names:
-                    return "no document"
-        except (zipfile.BadZipFile, OSError, RuntimeError):
+            return _archive_error(data)
+        except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError):
             return "damaged archive"
     if fmt == "pdf":
         if re.search(rb"/Encrypt\b", data):
             return "encrypted"
-        if re.search(rb"/(JavaScript|JS|Launch|EmbeddedFile)\b", data):
+        if len(re.findall(rb"/Type\s*/Page\b", data)) > PDF_PAGES:
+            return "too many pages"
+        if len(re.findall(rb"\b\d+ \d+ obj\b", data)) > PDF_OBJECTS:
+            return "too many objects"
+        if re.search(rb"/(JavaScript|JS|Launch|EmbeddedFiles?)\b", data):
             return "active content"
     return None
 

@@ -26,7 +26,8 @@ TEX = r"""\documentclass[11pt,a4paper]{article}
 
 def docx(body, styles=None, extra=None):
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
         z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
         if styles:
             z.writestr("word/styles.xml", f"<w:styles {W}>{styles}</w:styles>")
@@ -88,6 +89,8 @@ def test_containers():
     assert files.container_error(docx(BODY, extra={"../x": "x"}), "docx") == "unsafe path"
     assert files.container_error(docx(BODY, extra={"a.xml": "<!DOCTYPE a>"}), "docx") == "document type declaration"
     assert files.container_error(docx(BODY, extra={"big": "0"}), "docx") is None and files.container_error(b"PK", "docx") == "damaged archive"
+    assert files.container_error(docx(BODY, extra={"bomb.bin": "0" * 400_000}), "docx") == "encrypted or expands too much"
+    assert files.container_error(b"%PDF " + b"/Type /Page " * 501, "pdf") == "too many pages"
     assert files.container_error(b"%PDF /Encrypt", "pdf") == "encrypted" and files.container_error(b"%PDF /JavaScript", "pdf") == "active content"
 
 
@@ -101,6 +104,22 @@ def test_folder_to_blocks(spark, tmp_path):
     assert errors == {"a.tex": None, "b.docx": None, "c.pdf": "no parser for this format here", "d.txt": "unsupported file type", "e.docx": "damaged archive"}
     assert sum(r["filename"] == "a.tex" for r in rows) == 7
     assert files.read_folder(spark, str(tmp_path), 2).count() == 2
+    deep = tmp_path / "1" / "2" / "3"
+    (deep / "4").mkdir(parents=True)
+    (deep / "in.tex").write_bytes(b"x")
+    (deep / "4" / "out.tex").write_bytes(b"x")
+    names = {r["filename"] for r in files.read_folder(spark, str(tmp_path)).select("filename").collect()}
+    assert "in.tex" in names and "out.tex" not in names
+
+
+def test_tables_are_copied_and_read_in_chunks(spark, tmp_path):
+    from foliolith.operators import portal, relational
+
+    df = spark.range(250).withColumnRenamed("id", "n")
+    assert relational.copy_table(df, str(tmp_path / "copy")) == (250, 250)
+    assert [len(c) for c in portal.in_chunks(files.read_stores(spark, {"t": str(tmp_path / "copy")})["t"], 100)] == [100, 100, 50]
+    files.write_report(df, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 250
 
 
 def test_event_stream_counts_each_event_once(spark, tmp_path):
