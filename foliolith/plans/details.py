@@ -108,7 +108,11 @@ SELECT d.doc_id, body_font, body_size, title_size, coalesce(sizes, '') AS sizes,
   regexp_matches(coalesce(full_text, ''), '(?i)\\b(we (thank|gratefully acknowledge|acknowledge)|this (work|research) (was|is) (supported|funded)|the authors (thank|acknowledge))\\b') AS acknowledged, coalesce(trim(au), '') <> '' AS author_block
 FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN z USING (doc_id) LEFT JOIN a USING (doc_id)"""),
     "x3_files_to_verdicts": (files_to_verdicts, None),
-    "x2_file_comparison": (file_comparison, None),
+    "x2_file_comparison": (file_comparison, f"""WITH {_SECTIONS}, {_BODY}, f AS (SELECT doc_id, arg_max(font, (n, -p)) AS font FROM (SELECT doc_id, font, count(*) AS n, min(pos) AS p FROM b WHERE kind = 'body' GROUP BY 1, 2) GROUP BY 1),
+z AS (SELECT doc_id, arg_max(size, (n, -p)) AS size FROM (SELECT doc_id, size, count(*) AS n, min(pos) AS p FROM b WHERE kind = 'body' GROUP BY 1, 2) GROUP BY 1), dd AS (SELECT doc_id, lang, font, size FROM documents LEFT JOIN f USING (doc_id) LEFT JOIN z USING (doc_id)),
+mm AS (SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY 1), ww AS (SELECT mm.lang, dd.font AS wf, dd.size AS ws FROM mm JOIN dd USING (doc_id)),
+u AS (SELECT 'typography.body_font' AS id, CASE WHEN font IS NULL THEN 'missing' WHEN font = wf THEN 'passed' ELSE 'failed' END AS status FROM dd JOIN ww USING (lang) WHERE wf IS NOT NULL UNION ALL SELECT 'typography.body_size', CASE WHEN size IS NULL THEN 'missing' WHEN abs(size - ws) <= 0.51 THEN 'passed' ELSE 'failed' END FROM dd JOIN ww USING (lang) WHERE ws IS NOT NULL)
+SELECT id, status, count(*) AS n FROM u GROUP BY 1, 2"""),
     "d4_reference_entries": (lambda s, sf: lines(s, sf).groupBy("doc_id").agg(F.count_if(T.is_reference_entry(F.col("text"))).alias("n")), f"WITH {_SECTIONS} SELECT doc_id, count(*) FILTER (e) AS n FROM c GROUP BY 1"),
     "d23_first_headings": (lambda s, sf: sections(s, sf).groupBy("doc_id").agg(structure.first_of(sections(s, sf), "heading").alias("heading"), F.length(structure.full_text()).alias("chars")),
         f"WITH {_SECTIONS} SELECT doc_id, arg_min(x, pos) FILTER (kind = 'heading') AS heading, (sum(length(x)) + count(*) - 1)::INT AS chars FROM y GROUP BY 1"),
@@ -127,5 +131,6 @@ FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN
     "x23_thread_views": (thread_views, "SELECT conv_id AS submission_id, (CASE WHEN conv_id % 2 = 0 AND conv_id % 5 > 0 THEN count(*) FILTER (role = 'assistant') ELSE 0 END)::INT AS hidden FROM conversations GROUP BY conv_id"),
     "q11_visible_answers": (lambda s, sf: t(s, sf, "part").select("p_partkey", R.visible_answers(F.create_map(F.lit("a"), "p_name", F.lit("b"), "p_type"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("c")))).alias("m")).select("p_partkey", F.array_join(F.map_values("m"), "|").alias("shown")),
         "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS shown FROM part"),
-    "c12_schema": (lambda s, sf: inference.rule_schema(s).groupBy("group").agg(F.count("*").alias("n")), None),
+    "c12_schema": (lambda s, sf: inference.rule_schema(s).groupBy("group").agg(F.count("*").alias("n")),
+        """SELECT * FROM (VALUES ('name', 1), ('file_type', 6), ('pages', 11), ('sections', 7), ('anonymisation', 11), ('typography', 40), ('paragraph', 10), ('decision', 3)) v("group", n)"""),
 }
