@@ -213,9 +213,9 @@ def all_spans(spark: SparkSession, docs: DataFrame, threshold: float = DISCLOSUR
     marks = stage.cut(disclosures(docs, hits, stage, threshold, min_docs, kind_docs))
     own = hits.dropDuplicates(["doc_id", "h"])
     kinds = F.transform("kinds", lambda k: F.concat(F.lit("kind:"), k))
-    pairs = own.select("doc_id", "h", F.explode(F.concat("entities", kinds)).alias("entity"), "terms")
-    pairs = pairs.join(_small(marks.select("entity").distinct()), "entity", "left_semi").select("doc_id", "h", "entity", F.explode("terms").alias("term"))
-    told = pairs.join(_small(marks), ["entity", "term"]).groupBy("doc_id", "h", "term").agg(F.max("total").alias("total"))
+    # A document's terms are looked up once, whatever the number of its entities.
+    pairs = own.select("doc_id", "h", F.concat("entities", kinds).alias("es"), F.explode("terms").alias("term"))
+    told = pairs.join(_small(marks), "term").filter(F.array_contains("es", F.col("entity"))).groupBy("doc_id", "h", "term").agg(F.max("total").alias("total"))
     told = told.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.map_from_entries(F.collect_list(F.struct("term", "total"))).alias("want"))
     same = (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     found = own.join(told, same, "left").select(
