@@ -134,7 +134,16 @@ def _open(hot: DataFrame, reps: DataFrame) -> DataFrame:
     """The rows of ``hot`` whose document may be linked with one of another component: enough
     of its first sketch values stand in other components' sketches, too (see OPEN)."""
     members = hot.select("id", "comp").distinct().join(reps.select("id", "sketch"), "id")
-    every = members.select("comp", F.explode("sketch").alias("v"))
+
+    def values(batches):
+        """(comp, v) of the sketches, once for each batch: members of a component are alike."""
+        for batch in batches:
+            sketch = batch.column("sketch")
+            comp = np.repeat(batch.column("comp").to_numpy(zero_copy_only=False), np.diff(sketch.offsets.to_numpy()))
+            both = np.unique(np.stack([comp, sketch.flatten().to_numpy(zero_copy_only=False)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["comp", "v"])
+
+    every = members.select("comp", "sketch").sortWithinPartitions("comp").mapInArrow(values, "comp bigint, v bigint")
     both = every.groupBy("v").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("v")
     first = F.slice("sketch", 1, OPEN)
     flat = members.select("id", F.size(first).alias("of"), F.explode(first).alias("v"))

@@ -170,21 +170,17 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
-#: A key is hot if it has more than a HUBSth of all rows (and more than HUBS); there are at most
-#: HUBS such keys, a bound on what is broadcast.
-HUBS = 1000
+#: A key with more than a HUBSth of all rows (and more than HUBS) is a hub; where there is one,
+#: the rows of every key are dealt over SPREAD tasks.
+HUBS, SPREAD = 1000, 16
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, top: int) -> DataFrame:
-    """``left`` joined with ``right``, a row a key with ``n``, its rows in ``left`` of ``total``
-    (``top`` at most): hot keys by broadcast, so that their rows stay where they are, the
-    others by a shuffle."""
-    many = max(HUBS, total / HUBS)
-    if top <= many:
-        return left.join(right.drop("n"), key)
-    hot = F.broadcast(right.filter(F.col("n") > many).drop("n"))
-    rest = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col("n") <= many).drop("n"), key)
-    return left.join(hot, key).unionByName(rest)
+def join_spread(left: DataFrame, right: DataFrame, key: str, by: str, total: int, top: int) -> DataFrame:
+    """``left`` (``total`` rows, ``top`` at most of a key) joined with ``right``, a row a key."""
+    if top <= max(HUBS, total / HUBS):
+        return left.join(right, key)
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
 
 
 def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -198,18 +194,18 @@ def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> Da
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     )
     sign, total = None, e.count()
-    least = lambda df: df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = lambda df: df.groupBy("u").agg(F.min("v").alias("m"))
     while True:
         sym = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = least(sym).select("u", F.least("u", "m").alias("m"), "n")
+        low = least(sym).select("u", F.least("u", "m").alias("m"))
         top = sym.groupBy("u").count().agg(F.max("count")).first()[0] or 0  # an end of a later edge has no more
         large = (
-            join_hot(sym, low, "u", 2 * total, top).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            join_spread(sym, low, "u", "v", 2 * total, top).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v").distinct()
         )
         low = least(large)
         small = (
-            join_hot(large, low, "u", total, top).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            join_spread(large, low, "u", "v", total, top).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
         new = stage.cut(small)
