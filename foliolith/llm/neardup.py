@@ -26,7 +26,9 @@ AT_LEAST = 2
 #: A document stays open for further comparison if OPEN_SHARE of its first OPEN sketch values
 #: also stand in sketches of other components. Each value of a link's set is shared with
 #: chance 0.8 at least, so that fewer are (7 of 24) has a chance of 1e-7.
-OPEN, OPEN_SHARE = 24, 0.33
+#: They are looked for among the first REACH values of the others: the first dozen of a link's
+#: shared values lie there with a chance of more than 1 - 1e-7.
+OPEN, OPEN_SHARE, REACH = 24, 0.33, 28
 #: Sets with more copies than a COPIESth of all documents (and than COPIES) are at most COPIES:
 #: as many rows are broadcast, and no task gathers a larger group.
 COPIES = 1000
@@ -132,7 +134,7 @@ def _entries(stage: Stage, reps: DataFrame) -> DataFrame:
 
 def _open(hot: DataFrame, reps: DataFrame) -> DataFrame:
     """The rows of ``hot`` whose document may be linked with one of another component: enough
-    of its first sketch values stand in other components' sketches, too (see OPEN)."""
+    of its first sketch values stand among the first of other components', too (see OPEN)."""
     members = hot.select("id", "comp").distinct().join(reps.select("id", "sketch"), "id")
 
     def values(batches):
@@ -143,7 +145,7 @@ def _open(hot: DataFrame, reps: DataFrame) -> DataFrame:
             both = np.unique(np.stack([comp, sketch.flatten().to_numpy(zero_copy_only=False)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["comp", "v"])
 
-    every = members.select("comp", "sketch").sortWithinPartitions("comp").mapInArrow(values, "comp bigint, v bigint")
+    every = members.select("comp", F.slice("sketch", 1, REACH).alias("sketch")).sortWithinPartitions("comp").mapInArrow(values, "comp bigint, v bigint")
     both = every.groupBy("v").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("v")
     first = F.slice("sketch", 1, OPEN)
     flat = members.select("id", F.size(first).alias("of"), F.explode(first).alias("v"))
