@@ -48,9 +48,9 @@ def page(s, sf, after=None):
 
 
 def second_page(s, sf):
-    """The page after the row with the median date: cursor values are few, not data."""
-    row = t(s, sf, "orders").agg(F.percentile_approx("o_orderkey", 0.5, 100000).alias("k")).first()
-    at = t(s, sf, "orders").filter(F.col("o_orderkey") == row[0]).select("o_orderdate", "o_orderkey").first()
+    """The page after the row with the median key: cursor values are few, not data."""
+    key = R.quantile_disc(t(s, sf, "orders"), "o_orderkey", 0.5)
+    at = t(s, sf, "orders").filter(F.col("o_orderkey") == key).select("o_orderdate", "o_orderkey").first()
     return page(s, sf, (at[0], at[1]))
 
 
