@@ -42,3 +42,12 @@ def test_quantiles_are_exact(spark, monkeypatch, few):
         for share in (0.0, 0.5, 0.97, 1.0):
             rank = max(1, -int(-share * len(want) // 1)) if want else 0
             assert R.quantile_disc(spark.createDataFrame([(v,) for v in values], "v int"), "v", share) == (want[rank - 1] if want else None)
+
+
+def lines(spark, folder, rows):
+    spark.createDataFrame(rows, LINES).write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_fresh_reviews_are_new_among_large_ids(spark, tmp_path):
+    lines(spark, tmp_path, [(k, 1, 1, n, 5.0, "N", "O") for k in (1, 2, 5_000_001, 5_000_002) for n in (1, 2)])
+    same_as_sql(spark, tmp_path, "x15_save_reviews")
