@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 AT = datetime(2024, 1, 1)
 ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp"
 LINES = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
-PAIRED = ["j12_visible_notifications", "j13_can_read", "j16_free_chairs", "j3_actor_role", "q6_visible_events", "w6_allowed_actions", "w8_review_visibility", "x12_issue_view", "x19_chair_notices", "x24_assignable", "x26_can_edit", "x26_managers"]
+PAIRED = ["j12_visible_notifications", "j13_can_read", "j16_free_chairs", "j3_actor_role", "k15_fan_out", "q6_visible_events", "w6_allowed_actions", "w8_review_visibility", "x12_issue_view", "x19_chair_notices", "x24_assignable", "x26_can_edit", "x26_managers"]
 
 
 def exchanged(spark, since):
