@@ -67,11 +67,13 @@ def compare_properties(base: DataFrame, target: DataFrame, keys: list[str], fiel
 def compare_facts(base: DataFrame, target: DataFrame, keys: list[str], facts_json: str = "facts") -> DataFrame:
     """One row for each of PROPERTIES of two stored checks, whose facts are JSON texts; checks
     without facts on either side are left out, as unavailable."""
-    def flat(df, s):
-        cells = F.array(*[F.struct(F.lit(p).alias("field"), F.get_json_object(facts_json, f"$.{p}").alias("v")) for p in PROPERTIES])
-        return df.filter(F.col(facts_json).isNotNull()).select(*keys, F.explode(cells).alias("x")).select(*keys, "x.field", F.col("x.v").alias(s))
-
-    j = flat(base, "before").join(flat(target, "after"), [*keys, "field"])
+    side = lambda df, s: df.filter(F.col(facts_json).isNotNull()).select(*keys, F.col(facts_json).alias(s))
+    # Whole texts meet once, before there is a row a property; both sides are tables of stored
+    # checks, so neither is sent to the driver.
+    j = side(base, "__b").join(side(target, "__t").hint("merge"), keys)
+    value = lambda s, p: F.get_json_object(s, f"$.{p}")
+    cells = F.array(*[F.struct(F.lit(p).alias("field"), value("__b", p).alias("before"), value("__t", p).alias("after")) for p in PROPERTIES])
+    j = j.select(*keys, F.explode(cells).alias("x")).select(*keys, "x.field", "x.before", "x.after")
     state = F.when(F.col("before").isNull() | F.col("after").isNull(), "unavailable").when(F.col("before") == F.col("after"), "unchanged").otherwise("changed")
     return j.withColumn("state", state)
 

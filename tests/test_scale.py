@@ -82,3 +82,13 @@ def test_chairs_are_not_exchanged_by_paper(spark, crowd, name):
     since = exchanged(spark, 0)[1]
     same_as_sql(spark, crowd, name)
     assert exchanged(spark, since)[0] < 150_000
+
+
+def test_facts_meet_as_whole_texts(spark, tmp_path):
+    k = F.col("id")
+    spark.range(3000).select(k.alias("p_partkey"), F.concat(F.lit("n"), k).alias("p_name"), (k % 50).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    since = exchanged(spark, 0)[1]
+    df = registry.queries()["v3_facts"](spark, str(tmp_path))
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    same_as_sql(spark, tmp_path, "v3_facts")
+    assert exchanged(spark, since)[0] < 10_000
