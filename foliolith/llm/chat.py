@@ -158,17 +158,25 @@ def _messages(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(messages.alias("messages"))
 
 
-def format_rows(rows: DataFrame) -> DataFrame:
+def format_rows(rows: DataFrame, mappings=MAPPINGS) -> DataFrame:
     """(conv_id, fingerprint, turns, formatted) of each conversation in ``rows``.
 
-    As ``format_records`` on ``records_from_rows``, but rows have a known layout, so no JSON
-    is written and parsed, whose parser ends at 20 million characters of a text and 128 MiB
-    of a record.
+    As ``format_records`` on ``records_from_rows``: every record's fingerprint selects its
+    mapping, and one without a mapping keeps null turns. But texts are never written as JSON
+    and parsed, whose parser ends at 20 million characters of a text and 128 MiB of a record:
+    the fingerprint is that of the record with empty leaves and equal messages once, which has
+    the same key paths, and the mapping is applied to the typed messages.
     """
-    paths = "messages[].content,messages[].role"
-    name, role, text = MAPPINGS[paths]["turns"]
-    out = _messages(rows).withColumn("turns", _read(F.col(name), role, text).cast(_TURN))
-    return out.select("conv_id", F.xxhash64(F.lit(paths)).alias("fingerprint"), "turns", format_turns(F.col("turns")).alias("formatted"))
+    # A text in the place of a text, so that the keys stay.
+    leaf = lambda x: F.substring(x, 1, 0)
+    bare = F.array_distinct(F.transform("messages", lambda x: F.struct(leaf(x["role"]).alias("role"), leaf(x["content"]).alias("content"))))
+    mark, turns = F.col("fingerprint"), F.lit(None).cast(_TURN)
+    for paths, how in mappings.items():
+        name, role, text = how.get("turns", (None, None, None))
+        if name == "messages" and {role, text} <= {"role", "content"}:
+            turns = F.when(mark == F.xxhash64(F.lit(paths)), _read(F.col(name), role, text).cast(_TURN)).otherwise(turns)
+    out = _messages(rows).withColumn("fingerprint", fingerprint(F.to_json(F.struct(bare.alias("messages"))))).withColumn("turns", turns)
+    return out.select("conv_id", "fingerprint", "turns", format_turns(F.col("turns")).alias("formatted"))
 
 
 def records_from_rows(rows: DataFrame) -> DataFrame:
