@@ -132,25 +132,46 @@ def _entries(stage: Stage, reps: DataFrame) -> DataFrame:
     return flat.join(stat, "value").select("value", "id", "lead", (F.col("size") > HOT).alias("hot"))
 
 
-def _open(hot: DataFrame, reps: DataFrame) -> DataFrame:
+def _open(stage: Stage, hot: DataFrame, reps: DataFrame) -> DataFrame:
     """The rows of ``hot`` whose document may be linked with one of another component: enough
-    of its first sketch values stand among the first of other components', too (see OPEN)."""
-    members = hot.select("id", "comp").distinct().join(reps.select("id", "sketch"), "id")
+    of its first sketch values stand among the first of other components', too (see OPEN).
+    Values are exchanged once for a batch of members, not for each of them."""
+    members = hot.select("id", "comp").distinct().join(reps.select("id", F.slice("sketch", 1, REACH).alias("sketch")), "id")
+    lists = ("id", "comp", "size", "v")
+
+    def pack(batches):
+        """A batch of members as one row: their ids, components, sizes of sketches and values."""
+        for batch in batches:
+            if batch.num_rows:
+                sketch, column = batch.column("sketch"), lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023
+                cells = [column("id"), column("comp"), np.diff(sketch.offsets.to_numpy()), sketch.flatten().to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([cells[0].min()]), *[pa.array([x], pa.list_(pa.int64())) for x in cells]], names=["part", *lists])
+
+    def cells_of(batch, *names):
+        for i, part in enumerate(batch.column("part").to_pylist()):
+            yield part, *[batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in names]
 
     def values(batches):
-        """(comp, v) of the sketches, once for each batch: members of a component are alike."""
+        """(part, comp, v) of the sketches, once for each part: members of a component are alike."""
         for batch in batches:
-            sketch = batch.column("sketch")
-            comp = np.repeat(batch.column("comp").to_numpy(zero_copy_only=False), np.diff(sketch.offsets.to_numpy()))
-            both = np.unique(np.stack([comp, sketch.flatten().to_numpy(zero_copy_only=False)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["comp", "v"])
+            for part, comp, size, v in cells_of(batch, "comp", "size", "v"):
+                both = np.unique(np.stack([np.repeat(comp, size), v]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(both.shape[1], part)), pa.array(both[0]), pa.array(both[1])], names=["part", "comp", "v"])
 
-    every = members.select("comp", F.slice("sketch", 1, REACH).alias("sketch")).sortWithinPartitions("comp").mapInArrow(values, "comp bigint, v bigint")
+    def still_open(batches):
+        for batch in batches:
+            for _, ids, size, v, found in cells_of(batch, "id", "size", "v", "found"):
+                at = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
+                row = np.repeat(np.arange(len(ids)), size)[np.isin(v, found) & (at < OPEN)]
+                shared = np.bincount(row, minlength=len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[(shared > 0) & (shared >= OPEN_SHARE * np.minimum(size, OPEN))])], names=["id"])
+
+    schema = "part bigint, " + ", ".join(f"{c} array<bigint>" for c in lists)
+    parts = stage.cut(members.sortWithinPartitions("comp").mapInArrow(pack, schema))
+    every = parts.mapInArrow(values, "part bigint, comp bigint, v bigint")
     both = every.groupBy("v").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("v")
-    first = F.slice("sketch", 1, OPEN)
-    flat = members.select("id", F.size(first).alias("of"), F.explode(first).alias("v"))
-    some = flat.join(both, "v", "left_semi").groupBy("id").agg(F.count("*").alias("shared"), F.first("of").alias("of"))
-    return hot.join(some.filter(F.col("shared") >= OPEN_SHARE * F.col("of")).select("id"), "id", "left_semi")
+    found = every.select("part", "v").join(both, "v", "left_semi").groupBy("part").agg(F.collect_set("v").alias("found"))
+    return hot.join(parts.join(found, "part").mapInArrow(still_open, "id bigint"), "id", "left_semi")
 
 
 def _families(stage: Stage, docs: DataFrame, hot: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -163,7 +184,7 @@ def _families(stage: Stage, docs: DataFrame, hot: DataFrame, reps: DataFrame, wo
     """
     spark = stage.spark
     schema = "a bigint, b bigint"
-    hot = stage.cut(_open(hot, reps))
+    hot = stage.cut(_open(stage, hot, reps))
     if hot.isEmpty():
         return spark.createDataFrame([], schema)
     lead = hot.groupBy("value").agg(F.min("id").alias("v"))

@@ -103,3 +103,14 @@ def test_components_with_hubs(spark, monkeypatch):
         got = {r[0]: r[1] for r in util.components(util.Stage(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()}
         alone = {a for a, b in edges if a == b} - set(got)
         assert got == {k: v for k, v in comp.items() if k not in alone}
+
+
+def test_alike_members_exchange_their_values_once(spark):
+    util.small_batches(spark)
+    stage = util.Stage(spark, "open")
+    hot = spark.createDataFrame([(7, i, 1, 1 if i < 250 else 2) for i in range(500)], "value long, id long, lead long, comp long").repartition(2)
+    reps = spark.createDataFrame([(i, 60, [j if i % 2 else 1000 * (i // 250) + j for j in range(60)]) for i in range(500)], "id long, n long, sketch array<bigint>")
+    df = neardup._open(stage, hot, reps)
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    # Even members of the first component have the values of odd ones, those of the second don't.
+    assert sorted(r["id"] for r in df.collect()) == [i for i in range(500) if i % 2 or i < 250]
