@@ -135,7 +135,8 @@ def _entries(stage: Stage, reps: DataFrame) -> DataFrame:
 def _open(stage: Stage, hot: DataFrame, reps: DataFrame) -> DataFrame:
     """The rows of ``hot`` whose document may be linked with one of another component: enough
     of its first sketch values stand among the first of other components', too (see OPEN).
-    Values are exchanged once for a batch of members, not for each of them."""
+    A batch of members exchanges each of its values once, whichever components it stands in, so
+    there are REACH rows for a member at most and one where members of a batch are alike."""
     members = hot.select("id", "comp").distinct().join(reps.select("id", F.slice("sketch", 1, REACH).alias("sketch")), "id")
     lists = ("id", "comp", "size", "v")
 
@@ -152,11 +153,14 @@ def _open(stage: Stage, hot: DataFrame, reps: DataFrame) -> DataFrame:
             yield part, *[batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in names]
 
     def values(batches):
-        """(part, comp, v) of the sketches, once for each part: members of a component are alike."""
+        """(part, v, low, high): each value of a part once, with its least and greatest component."""
         for batch in batches:
             for part, comp, size, v in cells_of(batch, "comp", "size", "v"):
-                both = np.unique(np.stack([np.repeat(comp, size), v]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(both.shape[1], part)), pa.array(both[0]), pa.array(both[1])], names=["part", "comp", "v"])
+                order = np.argsort(v, kind="stable")
+                v, owner = v[order], np.repeat(comp, size)[order]
+                at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+                cells = [np.full(len(at), part), v[at], np.minimum.reduceat(owner, at), np.maximum.reduceat(owner, at)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["part", "v", "low", "high"])
 
     def still_open(batches):
         for batch in batches:
@@ -168,8 +172,9 @@ def _open(stage: Stage, hot: DataFrame, reps: DataFrame) -> DataFrame:
 
     schema = "part bigint, " + ", ".join(f"{c} array<bigint>" for c in lists)
     parts = stage.cut(members.sortWithinPartitions("comp").mapInArrow(pack, schema))
-    every = parts.mapInArrow(values, "part bigint, comp bigint, v bigint")
-    both = every.groupBy("v").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("v")
+    # Written, as it is read twice.
+    every = stage.cut(parts.mapInArrow(values, "part bigint, v bigint, low bigint, high bigint"))
+    both = every.groupBy("v").agg((F.min("low") < F.max("high")).alias("open")).filter("open").select("v")
     found = every.select("part", "v").join(both, "v", "left_semi").groupBy("part").agg(F.collect_set("v").alias("found"))
     return hot.join(parts.join(found, "part").mapInArrow(still_open, "id bigint"), "id", "left_semi")
 

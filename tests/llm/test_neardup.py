@@ -114,3 +114,16 @@ def test_alike_members_exchange_their_values_once(spark):
     assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
     # Even members of the first component have the values of odd ones, those of the second don't.
     assert sorted(r["id"] for r in df.collect()) == [i for i in range(500) if i % 2 or i < 250]
+
+
+def test_values_of_a_batch_are_made_once_for_all_components(spark):
+    util.small_batches(spark)
+    stage = util.Stage(spark, "open")
+    hot = spark.createDataFrame([(7, i, 1, i) for i in range(300)], "value long, id long, lead long, comp long").coalesce(1)
+    reps = spark.createDataFrame([(i, 40, list(range(40)) if i % 3 else [1000 * (i + 1) + j for j in range(40)]) for i in range(300)], "id long, n long, sketch array<bigint>")
+    df = neardup._open(stage, hot, reps)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # what is read twice was written
+    parts, every = (spark.read.parquet(f"{stage.root}/{n}") for n in (1, 2))
+    # The alike members of all components have one row a value in each batch, 100 others their own.
+    assert 28 * 100 < every.count() <= 28 * (100 + parts.count())
+    assert sorted(r["id"] for r in df.collect()) == [i for i in range(300) if i % 3]
