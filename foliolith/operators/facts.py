@@ -95,14 +95,15 @@ def collected(sections: DataFrame) -> DataFrame:
     return sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "name", "text", "fmt"))).alias("s"))
 
 
-def assemble(sections: DataFrame, info: DataFrame) -> DataFrame:
+def assemble(sections: DataFrame, info: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     """(doc_id, error, facts, assets, identity_notes, typography_notes, structure_notes, warnings).
 
     ``sections`` as classify_blocks gives them; ``info``: doc_id, filename, extension, format,
     size, error, width, height, label, orientation, columns, top, bottom, left, right,
     page_count, page_count_exact, title, anonymous_package, metadata (map). ``facts`` is what
     rules look at; the rest is what reports show. A document without sections has its file
-    facts and an error.
+    facts and an error. ``only``: groups and facts (group.name) to compute, the others are null;
+    a struct is made whole, whatever a reader asks of it.
     """
     d = info.join(collected(sections), "doc_id", "left").withColumn("s", F.coalesce("s", F.array().cast(collected(sections).schema["s"].dataType)))
     body = _of("body")
@@ -148,7 +149,10 @@ def assemble(sections: DataFrame, info: DataFrame) -> DataFrame:
             "placeholder": T.has(full, T.PLACEHOLDER) | F.coalesce("anonymous_package", F.lit(False)), "leaks": F.when(F.col("format") == "pdf", leaks).otherwise(F.create_map().cast("map<string,string>")),
         },
     }
-    groups = F.struct(*[F.struct(*[c.alias(k) for k, c in g.items()]).alias(name) for name, g in facts.items()])
+    if only:
+        groups = rules.facts_of({name: {k: c for k, c in g.items() if name in only or f"{name}.{k}" in only} for name, g in facts.items()})
+    else:
+        groups = F.struct(*[F.struct(*[c.alias(k) for k, c in g.items()]).alias(name) for name, g in facts.items()])
     numbered = F.filter("heads", lambda x: x["text"].rlike(T._u(T.HEADING_NUMBER)))
     warnings = F.array_compact(F.array(
         F.when(F.col("page_count").isNotNull() & (F.col("page_count") > 0) & ~exact, F.format_string("Page count (%s) is an estimate: %s sources are not paginated until rendered.", F.col("page_count"), F.col("format"))),

@@ -78,6 +78,10 @@ COMPARED = (
 )
 
 
+#: The facts that it takes.
+COMPARED_FACTS = ("layout", "typography", "structure.sections")
+
+
 def compared_facts(f: Column) -> Column:
     """What the older comparison looks at, from the facts of a paper or template."""
     t, l, m = f["typography"], f["layout"], f["layout"]["margins"]

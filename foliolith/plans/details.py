@@ -13,10 +13,10 @@ from foliolith.session import table as t
 from foliolith.sources import files
 
 
-def info(spark, sf):
-    """Documents as papers whose files say little."""
+def info(spark, sf, docs=None):
+    """Documents (all, or ``docs``) as papers whose files say little."""
     none = {"error": "string", "width": "double", "height": "double", "label": "string", "orientation": "string", "columns": "int", "top": "double", "bottom": "double", "left": "double", "right": "double", "metadata": "map<string,string>"}
-    return t(spark, sf, "documents").select(
+    return (docs or t(spark, sf, "documents")).select(
         "doc_id", F.col("doc_id").cast("string").alias("filename"), F.lit("pdf").alias("extension"), F.lit("pdf").alias("format"), F.col("n_chars").alias("size"), *[F.lit(None).cast(k).alias(c) for c, k in none.items()],
         F.lit(2).alias("page_count"), F.lit(True).alias("page_count_exact"), F.lit("").alias("title"), F.lit(False).alias("anonymous_package"))
 
@@ -90,9 +90,13 @@ def thread_views(spark, sf):
 
 def file_comparison(spark, sf):
     """Every document's facts against those of the first of its language."""
-    f = facts.assemble(sections(spark, sf), info(spark, sf)).join(t(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    first = f.groupBy("lang").agg(F.min_by("facts", "doc_id").alias("template"))
-    pairs = f.join(first, "lang").select(F.col("doc_id").alias("paper_id"), inference.compared_facts(F.col("template")).alias("template"), inference.compared_facts(F.col("facts")).alias("paper"))
+    d = t(spark, sf, "documents")
+    # Only the compared facts leave assemble, and templates are found before theirs are made.
+    first = d.filter("lang is not null").groupBy("lang").agg(F.min("doc_id").alias("doc_id"))
+    of = lambda docs, name: facts.assemble(sections(spark, sf, docs), info(spark, sf, docs), inference.COMPARED_FACTS).select("doc_id", inference.compared_facts(F.col("facts")).alias(name))
+    template = of(d.join(first.select("doc_id"), "doc_id", "left_semi"), "template").join(first, "doc_id").drop("doc_id")
+    papers = of(d, "paper").join(d.select("doc_id", "lang"), "doc_id")
+    pairs = papers.join(template, "lang").select(F.col("doc_id").alias("paper_id"), "template", "paper")
     return inference.run_comparison(pairs).filter("id in ('typography.body_font', 'typography.body_size')").groupBy("id", "status").agg(F.count("*").alias("n"))
 
 

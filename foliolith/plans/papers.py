@@ -66,13 +66,14 @@ def batch_tally(spark, sf):
     return decisions.batch_tally(verdicts(spark, sf))
 
 
-def lines(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+def lines(spark, sf, docs=None):
+    d = (docs or t(spark, sf, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return d.filter(F.trim("text") != "")
 
 
-def sections(spark, sf):
-    b = lines(spark, sf)
+def sections(spark, sf, docs=None):
+    """The classified sections of all documents, or of ``docs``."""
+    b = lines(spark, sf, docs)
     fmt = F.struct(
         F.when(F.length("text") % 3 == 0, "Times").otherwise("Arial").alias("font_family"), (F.length("text") % 4 + 9).cast("double").alias("font_size_pt"), (F.col("pos") == 0).alias("bold"), F.lit(False).alias("italic"),
         *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in structure.FORMAT.split(", ")[4:]])

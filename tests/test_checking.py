@@ -91,3 +91,18 @@ def test_spans_to_verdicts(spark):
     house = rules.rules_frame(spark, {"house": {"sections": {"abstract_required": False}}})
     got = {r["filename"]: r for r in checking.check_batch(structure.classify_blocks(structure.blocks_from_spans(spans)), checking.span_info(spans, listing), house).collect()}
     assert got["a.pdf"]["verdict"] == "accepted" and got["scan.pdf"]["validation"] == "unable_to_validate"
+
+
+def test_comparison_computes_only_what_it_compares(spark):
+    from foliolith.operators import inference
+    from foliolith.plans import registry
+
+    s = sections(spark, [(1, "title", None, "Deep", "Arial", 16.0, None), (1, "heading", "Results", "Results", "Times", 12.0, None), (1, "body", "Results", "we thank a@b.org", "Times", 10.0, None)])
+    whole, part = (facts.assemble(s, info(spark, [1]), *only) for only in ((), (inference.COMPARED_FACTS,)))
+    got = part.select("facts").first()["facts"]
+    assert got["identity"]["emails"] is None and got["structure"]["sections"] == ["Results"]
+    assert part.schema == whole.schema
+    pick = lambda d: d.select(inference.compared_facts(F.col("facts"))).first()
+    assert pick(part) == pick(whole)
+    plan = registry.queries()["x2_file_comparison"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by(facts" not in plan
