@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliolith.llm.hashing import WordHash, shingles
-from foliolith.llm.util import Stage, components, let, small_batches
+from foliolith.llm.hashing import shingles
+from foliolith.llm.util import MOST_PARTS, Stage, components, let, small_batches
 
 #: Retained values of a sketch. A link has its 64 smallest union values in common with
 #: chance 0.8 each, so fewer than half of them (see MIN_SHARE) is six sigma away.
@@ -48,11 +48,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, d1, d2, sketch): size, digest and smallest hashes of each shingle set."""
 
     def run(batches):
-        seen = WordHash()
         for b in batches:
             n, d1, d2, sk = [], [], [], []
             for text in b.column(1).to_pylist():
-                s = shingles(text, words, seen)
+                s = shingles(text, words)
                 d = xxhash.xxh128_digest(s.tobytes())
                 n.append(len(s))
                 d1.append(int.from_bytes(d[:8], "big", signed=True))
@@ -100,11 +99,11 @@ def _verified(spark: SparkSession, stage: Stage, docs: DataFrame, pairs: DataFra
     members = p.join(texts, F.col("b") == F.col("doc_id")).select("a", "bucket", F.lit(1).alias("role"), "b", "text")
 
     def run(batches):
-        seen, now, own = WordHash(), None, None
+        now, own = None, None
         for batch in batches:
             at, out = [batch.column(i).to_pylist() for i in range(5)], ([], [])
             for a, bucket, role, b, text in zip(*at, strict=True):
-                s = shingles(text, words, seen)
+                s = shingles(text, words)
                 if role == 0:
                     now, own = (a, bucket), s
                 elif now == (a, bucket):
@@ -179,28 +178,78 @@ def _open(stage: Stage, hot: DataFrame, reps: DataFrame) -> DataFrame:
     return hot.join(parts.join(found, "part").mapInArrow(still_open, "id bigint"), "id", "left_semi")
 
 
+def _prefixes(stage: Stage, sets: DataFrame, percent: int) -> DataFrame:
+    """(value, id, comp, n): the shingles of a document under which it can meet all it is linked with.
+
+    A link has ceil(percent * n / 100) values in common at least, for each of its sizes n, so it
+    has one of any n + 1 less that of each set in common, if both are taken from the same end of
+    one order of all values. Rare ones come first: values of one document are never written, and
+    a document of which so much is its own has no list, whatever passages it shares.
+    """
+    flat = sets.select("id", "comp", "n", F.explode("shingles").alias("value"))
+    often = stage.cut(flat.groupBy("value").agg(F.count("*").alias("size")).filter("size > 1"))
+    many = F.greatest(F.lit(COPIES), F.lit(often.agg(F.sum("size")).first()[0] or 0) / COPIES)
+    # At most COPIES rows, as in link.
+    hot, rest = F.broadcast(often.filter(F.col("size") > many)), often.filter(F.col("size") <= many)
+    shared = flat.join(hot, "value").unionByName(flat.join(hot, "value", "left_anti").join(rest, "value"))
+    of = shared.groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("size", "value"))).alias("shared"))
+    first = F.size("shared") + 1 - F.ceil(percent * F.col("n") / 100).cast("int")
+    return of.filter(first > 0).select("id", "comp", "n", F.explode(F.slice("shared", 1, first)["value"]).alias("value"))
+
+
 def _families(stage: Stage, docs: DataFrame, hot: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between components among the members of hot lists.
 
-    Members of lists that overlap are one family, dealt into blocks; each task takes two
-    blocks, holds their sets and gives the links between different components. Within a
-    family every two members meet once, inside tasks of bounded size; no pair is sent or
-    written but links.
+    They are listed anew, under the rarest shingles of their full sets (see _prefixes). Short
+    lists give pairs. Members of hot ones that overlap are one family, dealt by size into blocks;
+    each task takes two blocks, holds their sets and gives the links between different
+    components. Within a family every two members whose sizes allow a link meet once, inside
+    tasks of bounded size; no pair is sent or written but links.
     """
     spark = stage.spark
     schema = "a bigint, b bigint"
     hot = stage.cut(_open(stage, hot, reps))
     if hot.isEmpty():
         return spark.createDataFrame([], schema)
-    lead = hot.groupBy("value").agg(F.min("id").alias("v"))
-    fam = components(stage, hot.join(lead, "value").select(F.col("id").alias("a"), F.col("v").alias("b")))
-    members = hot.select("id", "comp").distinct().join(fam.select("id", F.col("comp").alias("family")), "id")
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"), (F.min("comp") < F.max("comp")).alias("open")).filter("open")
-    members = members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(members.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    full = members.join(texts, "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    full = full.select("family", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own", "id", "comp", "text")
+    texts = texts.join(hot.select("id", "comp").distinct(), "id").dropDuplicates(["id"]).select("id", "comp", "text")
+
+    def full(batches):
+        for batch in batches:
+            sets = [shingles(text, words) for text in batch.column("text").to_pylist()]
+            size = [len(x) for x in sets]
+            values = pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())
+            cells = [batch.column("id"), batch.column("comp"), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]).astype(np.int32)), values)]
+            yield pa.RecordBatch.from_arrays(cells, names=["id", "comp", "n", "shingles"])
+
+    sets = stage.cut(texts.mapInArrow(full, "id bigint, comp bigint, n bigint, shingles array<bigint>"))
+    lists = stage.cut(_prefixes(stage, sets, percent))
+    live = lists.groupBy("value").agg(F.count("*").alias("size"), F.min("id").alias("v"), (F.min("comp") < F.max("comp")).alias("open")).filter("open")
+    lists = stage.cut(lists.join(live.drop("open"), "value"))
+    cold, rest = lists.filter(F.col("size") <= HOT), lists.filter(F.col("size") > HOT)
+    other = cold.select("value", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
+    pairs = cold.withColumnRenamed("id", "a").join(other, "value").filter("comp < comp_b").filter(100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+    found = _check(spark, stage, docs, pairs.select("a", "b").distinct(), reps, words, percent)
+    if rest.isEmpty():
+        return found
+    return found.unionByName(_blocks(stage, sets, rest, percent))
+
+
+def _blocks(stage: Stage, sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the members (id, v) of hot lists, v being each list's name,
+    an id; families are compared in blocks. Sizes of a link differ by one class at most."""
+    fam = components(stage, hot.select(F.col("id").alias("a"), F.col("v").alias("b")))
+    wide = np.log(max(1.1, 100 / percent) * 1.000001)
+    members = sets.select("id", "n").join(fam.select("id", F.col("comp").alias("family")), "id").select("id", "family", F.floor(F.log("n") / F.lit(float(wide))).cast("int").alias("class"))
+    sizes = stage.cut(members.groupBy("family", "class").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks")))
+    # A block is known by class and number; a block meets those of its class and the next ones.
+    name = lambda c, i: F.shiftleft(F.col(c).cast("bigint"), 32) + i
+    own = members.join(sizes, ["family", "class"]).withColumn("own", name("class", F.pmod(F.xxhash64("id"), F.col("blocks")))).drop("blocks")
+    own = own.withColumn("at", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])))
+    met = own.join(sizes.withColumnRenamed("class", "at"), ["family", "at"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("j", name("at", F.col("j"))).select("id", "family", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own")
+    tasks = sizes.agg(F.sum(F.col("blocks").cast("bigint") * F.col("blocks"))).first()[0] or 0
+    tasks = int(min(MOST_PARTS, max(tasks, 2 * stage.spark.sparkContext.defaultParallelism)))
 
     def links(ids, comps, owns, sets, i, j):
         every, back = np.unique(np.concatenate(sets), return_inverse=True)
@@ -209,10 +258,12 @@ def _families(stage: Stage, docs: DataFrame, hot: DataFrame, reps: DataFrame, wo
         often = np.bincount(back, minlength=len(every)) > 1
         keep = often[back]
         row, col = row[keep], (np.cumsum(often) - 1)[back[keep]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
         both = np.zeros((len(sets), len(sets)), np.float32)
         for at in range(0, int(often.sum()), 4096):
             m = np.zeros((len(sets), 4096), np.float32)
-            part = (col >= at) & (col < at + 4096)
+            part = slice(*np.searchsorted(col, [at, at + 4096]))
             m[row[part], col[part] - at] = 1
             both += m @ m.T
         near = (100 * both >= percent * (size[:, None] + size[None] - both)) & (comps[:, None] < comps[None])
@@ -222,23 +273,25 @@ def _families(stage: Stage, docs: DataFrame, hot: DataFrame, reps: DataFrame, wo
         return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
 
     def run(batches):
-        seen, key, held = WordHash(), None, []
+        key, held = None, []
 
         def close():
             ids, comps, owns, sets = zip(*held, strict=True)
             return links(np.array(ids), np.array(comps), np.array(owns), list(sets), key[1], key[2])
 
         for batch in batches:
-            for family, i, j, own, doc, comp, text in zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True):
+            of = [x.values.to_numpy() for x in batch.column("shingles")]
+            for family, i, j, own, doc, comp, values in zip(*[batch.column(c).to_pylist() for c in ("family", "i", "j", "own", "id", "comp")], of, strict=True):
                 if (family, i, j) != key:
                     if len(held) > 1:
                         yield close()
                     key, held = (family, i, j), []
-                held.append((doc, comp, own, shingles(text, words, seen)))
+                held.append((doc, comp, own, values))
         if len(held) > 1:
             yield close()
 
-    return full.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, schema)
+    rows = met.join(sets, "id").select("family", "i", "j", "own", "id", "comp", "shingles")
+    return rows.repartition(tasks, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
 
 def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

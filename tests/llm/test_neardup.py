@@ -127,3 +127,36 @@ def test_values_of_a_batch_are_made_once_for_all_components(spark):
     # The alike members of all components have one row a value in each batch, 100 others their own.
     assert 28 * 100 < every.count() <= 28 * (100 + parts.count())
     assert sorted(r["id"] for r in df.collect()) == [i for i in range(300) if i % 3]
+
+
+def test_hot_members_are_compared_by_rare_shingles_alone(spark, monkeypatch):
+    """Documents that share a hot passage and have a fifth of their own meet nobody; blocks of
+    families that can be linked give what all pairs give."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"u{i}x{k}" for k in range(20)])) for i in range(90)]
+    for size in (40, 47, 60, 90):  # siblings, most of which are no link of another
+        base = passage[:30] + [f"b{size}x{i}" for i in range(size)]
+        rows += [(len(rows) + k, edited(rng, base, rng.randrange(1, 4))) for k in range(45)]
+    monkeypatch.setattr(neardup, "HOT", 6)
+    monkeypatch.setattr(neardup, "FAMILY_BLOCK", 7)
+    listed, real = [], neardup._prefixes
+
+    def prefixes(*a):
+        out = real(*a)
+        listed.extend(r["id"] for r in out.select("id").distinct().collect())
+        return out
+
+    monkeypatch.setattr(neardup, "_prefixes", prefixes)
+    check(spark, rows)
+    assert listed and min(listed) >= 90
+
+
+def test_word_hashes_tell_words_apart():
+    from foliolith.llm.hashing import word_hashes, words
+
+    texts = ["", " \t\x0b", "A b\x00 b \x0bc", "12345678 123456789 1234567890123456 " + "q" * 255, "y" * 256 + " " + "y" * 257 + " ü Ü z\x85z", "a\x00 a A"]
+    for t in texts:
+        w, h = words(t), word_hashes(t).tolist()
+        assert len(w) == len(h) and len(set(zip(w, h, strict=True))) == len(set(w)) == len(set(h))
+    assert len(word_hashes(None)) == 0
