@@ -61,9 +61,18 @@ FONT_STYLES = (
     "bold", "light", "book", "medium", "regular", "oblique", "italic",
 )
 SNIPPET = 400
+# Unicode-aware borders are slow to look for. Before a word character a border can't follow an ASCII
+# letter, which is quick to see; so patterns that begin with words look there first. All hints do.
+WORD = r"(?<![A-Za-z0-9_])\b"
+AT_WORDS = (ACK_PHRASE, FUNDING, SELF_CITATION, PLACEHOLDER, FIGURE, TABLE, EQUATION)
+HINT = WORD + "(?:" + HINTS[1:-1].replace(r"|\b", "|").removeprefix(r"\b") + ")"
+#: Characters that a match of AFFILIATION has before its hint and after it, at most.
+BEFORE, AFTER = 70, 40
 
 
 def _u(p: str, ignore_case: bool = False) -> str:
+    if p in AT_WORDS:
+        p = p.replace(r"\b", WORD, 1)
     return ("(?iuU)" if ignore_case else "(?U)") + p
 
 
@@ -112,11 +121,11 @@ def distinct_matches(text: Column, pattern: str) -> Column:
 
 
 def emails(text: Column) -> Column:
-    return distinct_matches(text, _u(EMAIL))
+    return F.when(F.contains(text, F.lit("@")), distinct_matches(text, _u(EMAIL))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def orcids(text: Column) -> Column:
-    return distinct_matches(text, _u(ORCID))
+    return F.when(text.rlike(_u(r"\d{3}[\dXx]")), distinct_matches(text, _u(ORCID))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def urls(text: Column) -> Column:
@@ -124,8 +133,22 @@ def urls(text: Column) -> Column:
     return F.slice(F.array_sort(F.array_distinct(found)), 1, 20)
 
 
+def _near_hints(text: Column) -> Column:
+    """What of a text can be part of an affiliation: from every place only BEFORE characters are
+    tried to reach a hint, which is slow where there is none. The text is cut before every hint, and
+    what is farther from both its ends than a match reaches gives way to a bar that no match crosses
+    and that makes no border of words at its ends."""
+    def reduced(part):
+        head = F.length(F.regexp_extract(part, _u("^" + HINT, True), 0)) + AFTER + 2
+        long = F.length(part) > head + BEFORE + 2
+        return F.when(long, F.concat(F.substring(part, F.lit(1), head), F.lit("_;_"), F.substring(part, -(BEFORE + 2), BEFORE + 2))).otherwise(part)
+
+    parts = F.split(text, _u(f"(?={HINT})", True))
+    return F.when(F.size(parts) > 1, F.array_join(F.transform(parts, reduced), "")).otherwise(F.when(text.rlike(_u("^" + HINT, True)), text).when(text.isNotNull(), ""))
+
+
 def affiliations(text: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(_u(AFFILIATION, True)), F.lit(0)), lambda x: F.substring(F.trim(x), 1, SNIPPET))
+    found = F.transform(F.regexp_extract_all(_near_hints(text), F.lit(_u(AFFILIATION.replace(HINTS, HINT), True)), F.lit(0)), lambda x: F.substring(F.trim(x), 1, SNIPPET))
     return F.slice(F.array_sort(F.array_distinct(found)), 1, 10)
 
 

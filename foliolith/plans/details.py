@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from foliolith.functions import text as T
@@ -38,9 +39,13 @@ def files_to_verdicts(spark, sf):
     tex = F.concat(F.lit("\\documentclass{article}\\title{Paper}\\begin{document}\\maketitle\n\\section{Introduction}\n"), F.coalesce("text", F.lit("")), F.lit("\n\\end{document}"))
     name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 10 == 0, ".pdf").otherwise(".tex"))
     content = F.when(F.col("doc_id") % 10 == 0, F.lit("%PDF-1.4 x")).otherwise(tex)
-    parsed = files.parse_files(d.select(name.alias("filename"), name.alias("path"), F.encode(content, "UTF-8").alias("content")))
+    # Texts are dealt over all tasks, as a file is far less than a task of the reader; files are
+    # read and classified once, though several facts look at them.
+    d = d.select(name.alias("filename"), name.alias("path"), F.encode(content, "UTF-8").alias("content")).repartition("path")
+    parsed = files.parse_files(d).persist(StorageLevel.DISK_ONLY)
+    sections = checking.sections_of(parsed).persist(StorageLevel.DISK_ONLY)
     house = rules.rules_frame(spark, {"house": {"file_type": {"accepted": ["tex"]}, "sections": {"abstract_required": False}}})
-    return checking.check_files(parsed, house).groupBy(F.col("error").isNotNull().alias("unreadable"), "validation").agg(F.count("*").alias("n"))
+    return checking.check_batch(sections, checking.info_of(parsed, sections), house).groupBy(F.col("error").isNotNull().alias("unreadable"), "validation").agg(F.count("*").alias("n"))
 
 
 def urls(spark, sf):

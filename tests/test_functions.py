@@ -61,3 +61,23 @@ def test_values(spark):
     assert one(spark, V.number(F.lit(595.280))) == "595.28" and one(spark, V.number(F.lit(20.0))) == "20"
     for data, name, want in [(b"%PDF-1.7", "x", "pdf"), (b"PK\x03\x04", "x.pdf", "docx"), (b"\\documentclass{a}", "x", "latex"), (b"text", "x.tex", "latex"), (b"text", "x.txt", "unknown"), (b"\xff\xfe", "y.pdf", "pdf")]:
         assert one(spark, V.sniff_format(F.col("d"), F.col("n")), d=data, n=name) == want
+
+
+def test_affiliations_are_those_of_the_plain_pattern(spark):
+    import random
+
+    rng = random.Random(3)
+    bits = ["University", "college", "colleges", "school of", "school \n of", "xlab", "lab", "labs", "research centre", "inc.", "Inc", "ltd", "ünlab", "lab́", "department", ". ", "; ", "\n", "_", "é", "word", "x" * 30, "the quick brown fox " * 3, "y" * 75]
+    rows = [(None,), ("",), ("lab",)] + [("".join(rng.choice(bits) + rng.choice([" ", " ", "", ", "]) for _ in range(rng.randrange(1, 50))),) for _ in range(800)]
+    found = F.transform(F.regexp_extract_all("t", F.lit(T._u(T.AFFILIATION, True)), F.lit(0)), lambda x: F.substring(F.trim(x), 1, T.SNIPPET))
+    plain = F.slice(F.array_sort(F.array_distinct(found)), 1, 10)
+    d = spark.createDataFrame(rows, "t string")
+    assert d.filter(~plain.eqNullSafe(T.affiliations(F.col("t")))).count() == 0
+    assert d.filter(F.size(plain) > 1).count() > 300
+
+
+def test_text_far_from_hints_is_not_searched_for_affiliations(spark):
+    far = "word " * 20_000
+    near = T._near_hints(F.col("t"))
+    assert one(spark, near, t=far) == ""
+    assert one(spark, F.length(near), t=far + "University of X" + " and so on" * 20_000) < 300
