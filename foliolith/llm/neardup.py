@@ -232,7 +232,7 @@ def _families(stage: Stage, docs: DataFrame, hot: DataFrame, reps: DataFrame, wo
     found = _check(spark, stage, docs, pairs.select("a", "b").distinct(), reps, words, percent)
     if rest.isEmpty():
         return found
-    return found.unionByName(_blocks(stage, sets, rest, percent))
+    return found.unionByName(stage.cut(_blocks(stage, sets, rest, percent)))
 
 
 def _blocks(stage: Stage, sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
@@ -319,7 +319,6 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     entries = stage.cut(_entries(stage, reps))
     stars = entries.filter("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("lists"))
     edges = _check(spark, stage, docs, stars.filter(F.col("lists") >= AT_LEAST).select("a", "b"), reps, words, percent)
-    edges = stage.cut(edges)
     comps = stage.cut(components(stage, edges))
     e = entries.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     live = e.groupBy("value").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("value")
@@ -329,7 +328,7 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     pairs = cold.select("value", F.col("id").alias("a"), "comp").join(other, "value").filter("comp < comp_b").select("a", "b").distinct()
     more = _check(spark, stage, docs, pairs, reps, words, percent)
     edges = edges.unionByName(more).unionByName(_families(stage, docs, e.filter("hot"), reps, words, percent))
-    comps = stage.cut(components(stage, stage.cut(edges)))
+    comps = stage.cut(components(stage, edges))
     found = stage.cut(classes.join(comps, "id", "left").select("d1", "d2", "copies", F.coalesce("comp", "id").alias("comp")))
     rows = sk.select("doc_id", "n", "d1", "d2")
     alone = rows.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("comp"))
@@ -344,8 +343,9 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
 
 
 def _check(spark, stage, docs, pairs, reps, words, percent) -> DataFrame:
+    """The links among the pairs, written."""
     near = stage.cut(_estimated(pairs, reps, percent))
-    return _verified(spark, stage, docs, near, words, percent)
+    return stage.cut(_verified(spark, stage, docs, near, words, percent))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -160,3 +160,27 @@ def test_word_hashes_tell_words_apart():
         w, h = words(t), word_hashes(t).tolist()
         assert len(w) == len(h) and len(set(zip(w, h, strict=True))) == len(set(w)) == len(set(h))
     assert len(word_hashes(None)) == 0
+
+
+def test_components_of_few_edges_take_one_task_and_of_many_take_rounds(spark, monkeypatch):
+    rng = random.Random(10)
+    edges = [(300 - i, 301 - i) for i in range(200)] + [(5, 1000 + i) for i in range(60)] + [(rng.randrange(2000, 2090), rng.randrange(2000, 2090)) for _ in range(70)] + [(7, 7)]
+    comp = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in comp:
+        for a, b in edges[:-1]:
+            if a != b:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for tree, most in ((util.TREE, 1), (40, 9)):
+        monkeypatch.setattr(util, "TREE", tree)
+        stage = util.Stage(spark, "test")
+        got = util.components(stage, df).collect()
+        assert len(got) == len(comp) and {r[0]: r[1] for r in got} == comp
+        assert (stage.n == 1) == (most == 1) and stage.n <= most
+    assert util.components(util.Stage(spark, "test"), df.filter("a = b")).count() == 0
+    many = [*range(1, 1000), *range(1, 1000)]  # more ids than a task keeps: trees come in parts
+    monkeypatch.setattr(util, "TREE", 10)
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([i + 1]), pa.array([i])], names=["u", "v"]) for i in many]
+    assert len(list(util._trees(batches))) > 1
