@@ -313,9 +313,13 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     small_batches(spark)
     stage = Stage(spark, "neardup")
     sk = stage.cut(sketches(docs, words))
-    classes = sk.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = sk.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = classes.groupBy("id").agg(F.min_by("n", "d1").alias("n"), F.min_by("sketch", "d1").alias("sketch"))
     reps = stage.cut(reps.withColumn("sketch", _unsigned_order("sketch")))
+    # Sketches make up most of what was written; from here on only those of reps are read.
+    rows = stage.cut(sk.select("doc_id", "n", "d1", "d2"))
+    stage.drop(sk)
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     entries = stage.cut(_entries(stage, reps))
     stars = entries.filter("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("lists"))
     edges = _check(spark, stage, docs, stars.filter(F.col("lists") >= AT_LEAST).select("a", "b"), reps, words, percent)
@@ -323,6 +327,7 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     e = entries.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     live = e.groupBy("value").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("value")
     e = stage.cut(e.join(live, "value", "left_semi"))
+    stage.drop(entries)
     cold = e.filter("not hot")
     other = cold.select("value", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
     pairs = cold.select("value", F.col("id").alias("a"), "comp").join(other, "value").filter("comp < comp_b").select("a", "b").distinct()
@@ -330,7 +335,6 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
     edges = edges.unionByName(more).unionByName(_families(stage, docs, e.filter("hot"), reps, words, percent))
     comps = stage.cut(components(stage, edges))
     found = stage.cut(classes.join(comps, "id", "left").select("d1", "d2", "copies", F.coalesce("comp", "id").alias("comp")))
-    rows = sk.select("doc_id", "n", "d1", "d2")
     alone = rows.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("comp"))
     rows = rows.filter("n > 0 and doc_id is not null")
     many = F.greatest(F.lit(COPIES), F.lit(rows.count()) / COPIES)
@@ -343,7 +347,7 @@ def link(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80
 
 
 def _check(spark, stage, docs, pairs, reps, words, percent) -> DataFrame:
-    """The links among the pairs, written."""
+    """The links among the pairs, written: shuffled texts of one call are gone before the next."""
     near = stage.cut(_estimated(pairs, reps, percent))
     return stage.cut(_verified(spark, stage, docs, near, words, percent))
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from foliolith.llm import neardup, util
 
 from .fixtures import docs, empty, texts
@@ -184,3 +186,28 @@ def test_components_of_few_edges_take_one_task_and_of_many_take_rounds(spark, mo
 
     batches = [pa.RecordBatch.from_arrays([pa.array([i + 1]), pa.array([i])], names=["u", "v"]) for i in many]
     assert len(list(util._trees(batches))) > 1
+
+
+def test_written_stages_leave_no_shuffle_files(spark):
+    import re
+    import time
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return set(re.findall(r"shuffle_\w+\.\w+", found.toString()))
+
+    before, conf = files(), spark.conf.get(util.CLEANUP, None)
+    out = util.Stage(spark, "test").cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 5
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(util.CLEANUP, None) == conf and out.count() == 7
+
+
+def test_sketches_of_all_rows_go_once_those_of_sets_are_written(spark):
+    from pathlib import Path
+
+    made = len(util.Stage.roots)
+    neardup.link(spark, spark.createDataFrame([(i, f"a b c d e {i // 2}") for i in range(20)], "doc_id long, text string"))
+    root = Path(util.Stage.roots[made].removeprefix("file://"))
+    assert not (root / "1").exists() and (root / "2").exists()
